@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mask_metrics"]
+MODULES = ["mask_metrics", "gray_layers"]
 
 
 def load() -> tuple[dict, dict]:

@@ -4,22 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panescan import schema
-from panescan.checks.derived import MASK_H, MASK_W, class_runs, r6, with_sql
+from panescan.checks.derived import MASK_H, MASK_W, class_runs, r6
+from panescan.checks.registry import registry
 from panescan.operators import metrics, raster, summary
 
-QUERIES, SQL = {}, {}
-
-
-def query(name, needs=None, sql=None):
-    def keep(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = with_sql(needs, sql)
-        return fn
-
-    return keep
-
+QUERIES, SQL, query = registry()
 
 JOINED = """, j as (select p.image_id, p.y, p.x, p.value p, t.value t from
  (select * from mask where layer='pred') p join (select * from mask where layer='truth') t using (image_id,y,x)),

@@ -37,8 +37,20 @@ def class_stats(runs: DataFrame, frame_pixels: int | Column, keys: Sequence[str]
 
 
 def class_distribution(runs: DataFrame) -> DataFrame:
-    """Exact pixels per class over the whole set and their share."""
-    sums = runs.groupBy("class_id").agg(F.sum(length()).alias("pixels"))
-    # at most 256 class rows reach the total, one scalar row comes back
-    total = sums.agg(F.sum("pixels").alias("total"))
-    return sums.join(F.broadcast(total)).withColumn("share", F.col("pixels") / F.col("total")).drop("total")
+    """Exact pixels per class over the whole set and their share; absent classes do not appear."""
+    classes = range(schema.CLASS_COUNT)
+    one = runs.agg(
+        F.sum(length()).alias("total"),
+        *[F.sum(F.when(F.col("class_id") == c, length()).otherwise(0)).alias(f"n{c}") for c in classes],
+    )
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("class_id"),
+                F.col(f"n{c}").alias("pixels"),
+                (F.col(f"n{c}") / F.col("total")).alias("share"),
+            )
+            for c in classes
+        ]
+    )
+    return one.select(F.inline(cells)).where("pixels > 0")
