@@ -119,48 +119,60 @@ def tile_array(px: bytes, h: int, w: int) -> np.ndarray:
     return np.frombuffer(px, dtype=np.uint8).reshape(h, w)
 
 
-def _tile_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+ROWS_PER_BATCH = 1 << 18
+
+
+def _emit(pieces: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """One batch out of per-tile pieces (image_id, layer, columns...)."""
+    sizes = np.array([len(p[2]) for p in pieces])
+    columns = {
+        "image_id": pa.array(np.repeat(np.array([p[0] for p in pieces], np.int64), sizes)),
+        "layer": pa.array(np.repeat(np.array([p[1] for p in pieces], object), sizes), pa.string()),
+    }
+    for i, name in enumerate(names, start=2):
+        columns[name] = pa.array(np.concatenate([p[i] for p in pieces]).astype(np.int32))
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _expand_tiles(batches: Iterator[pa.RecordBatch], cells, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Apply ``cells(tile) -> column arrays`` and emit batches of bounded size."""
+    held, rows = [], 0
     for batch in batches:
         for t in batch.to_pylist():
-            h, w = t["h"], t["w"]
-            n = h * w
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "image_id": pa.array(np.full(n, t["image_id"], np.int64)),
-                    "layer": pa.array([t["layer"]] * n, pa.string()),
-                    "y": pa.array(np.repeat(np.arange(h, dtype=np.int32), w) + np.int32(t["y0"])),
-                    "x": pa.array(np.tile(np.arange(w, dtype=np.int32), h) + np.int32(t["x0"])),
-                    "value": pa.array(tile_array(t["px"], h, w).ravel().astype(np.int32)),
-                }
-            )
+            held.append((t["image_id"], t["layer"], *cells(t)))
+            rows += len(held[-1][2])
+            if rows >= ROWS_PER_BATCH:
+                yield _emit(held, names)
+                held, rows = [], 0
+    if held:
+        yield _emit(held, names)
+
+
+def _cells_of(t: dict) -> tuple:
+    h, w = t["h"], t["w"]
+    return np.repeat(np.arange(h), w) + t["y0"], np.tile(np.arange(w), h) + t["x0"], np.frombuffer(t["px"], np.uint8)
+
+
+def _tile_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _expand_tiles(batches, _cells_of, ["y", "x", "value"])
 
 
 def tiles_to_pixels(tiles: DataFrame) -> DataFrame:
     return tiles.mapInArrow(_tile_cells, "image_id long, layer string, y int, x int, value int")
 
 
+def _runs_of(t: dict) -> tuple:
+    a = tile_array(t["px"], t["h"], t["w"])
+    first = np.ones(a.shape, bool)
+    first[:, 1:] = a[:, 1:] != a[:, :-1]
+    last = np.ones(a.shape, bool)
+    last[:, :-1] = first[:, 1:]
+    ys, xs = np.nonzero(first)
+    return a[ys, xs], ys + t["y0"], xs + t["x0"], np.nonzero(last)[1] + t["x0"]
+
+
 def _tile_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for t in batch.to_pylist():
-            h, w = t["h"], t["w"]
-            a = tile_array(t["px"], h, w)
-            first = np.ones((h, w), bool)
-            first[:, 1:] = a[:, 1:] != a[:, :-1]
-            last = np.ones((h, w), bool)
-            last[:, :-1] = first[:, 1:]
-            ys, xs = np.nonzero(first)
-            xe = np.nonzero(last)[1]
-            n = len(ys)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "image_id": pa.array(np.full(n, t["image_id"], np.int64)),
-                    "layer": pa.array([t["layer"]] * n, pa.string()),
-                    "class_id": pa.array(a[ys, xs].astype(np.int32)),
-                    "y": pa.array((ys + t["y0"]).astype(np.int32)),
-                    "x0": pa.array((xs + t["x0"]).astype(np.int32)),
-                    "x1": pa.array((xe + t["x0"]).astype(np.int32)),
-                }
-            )
+    yield from _expand_tiles(batches, _runs_of, ["class_id", "y", "x0", "x1"])
 
 
 def tiles_to_runs(tiles: DataFrame) -> DataFrame:
