@@ -54,3 +54,42 @@ def class_distribution(runs: DataFrame) -> DataFrame:
         ]
     )
     return one.select(F.inline(cells)).where("pixels > 0")
+
+
+def with_labels(df: DataFrame) -> DataFrame:
+    """Name and weight of each class id; an unknown id keeps its row with nulls."""
+    return df.join(F.broadcast(schema.labels_dim(df.sparkSession)), "class_id", "left")
+
+
+# --------------------------------------------------------------------------- annotations
+DEFECT_NAMES = [name for name, index, _ in schema.LABELS if index > 0]
+
+
+def category_stats(annotations: DataFrame, rule: str = "name_then_id") -> DataFrame:
+    """Annotations per image and defect category, zero rows and ``unknown`` included.
+
+    ``name_then_id``: the name counts; the id only where the name is missing or unknown.
+    ``name_or_id``: the first label in index order that fits by name or by id.
+    """
+    name, cid = F.col("category_name"), F.col("category_id")
+    if rule == "name_then_id":
+        found = F.when(name.isNull() | (name == "unknown"), schema.class_name_of(cid)).otherwise(name)
+        category = F.when(found.isin(DEFECT_NAMES), found).otherwise("unknown")
+    elif rule == "name_or_id":
+        category = F.coalesce(
+            *[F.when((F.coalesce(name, F.lit("")) == n) | (cid == i), F.lit(n)) for n, i, _ in schema.LABELS if i > 0], F.lit("unknown")
+        )
+    else:
+        raise ValueError(f"unknown rule {rule!r}")
+    kinds = [*DEFECT_NAMES, "unknown"]
+    wide = annotations.groupBy("image_id").agg(*[F.count_if(category == k).alias(k) for k in kinds])
+    return wide.select(
+        "image_id", F.inline(F.array(*[F.struct(F.lit(k).alias("category"), F.col(k).alias("n")) for k in kinds]))
+    )
+
+
+def success_rates(attempted: DataFrame, placed: DataFrame, contours: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attempts, placements and contours side by side; the rate is contours per attempt."""
+    joined = attempted.join(placed, list(keys), "full").join(contours, list(keys), "full").na.fill(0)
+    rate = F.coalesce(F.try_divide(F.col("contours").cast("double"), F.col("attempted").cast("double")), F.lit(0.0)) * 100
+    return joined.withColumn("success_rate_percent", F.round(rate, 2))
