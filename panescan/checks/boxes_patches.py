@@ -86,8 +86,7 @@ def box_polygons(spark, sf_dir):
 
 @query("clipped_polygon_area", "boxes frames", CLIP + "select image_id, patch_id, ann_id, (bw*bh)::bigint area from cl")
 def clipped_polygon_area(spark, sf_dir):
-    runs = geo.polygon_to_runs(box_polygons(spark, sf_dir), ["image_id", "ann_id"])
-    return patches.clipped_area(runs, frames(spark, sf_dir), 512, 0.2)
+    return patches.clipped_area(box_polygons(spark, sf_dir), frames(spark, sf_dir), 512, 0.2)
 
 
 @query("polygon_fill", "boxes", """select image_id, ann_id, h::bigint n_rows, (w*h)::bigint pixels, (w*(h*y+h*(h-1)//2))::bigint y_moment,

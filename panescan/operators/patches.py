@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panescan.operators.geometry import polygon_to_runs
+
 
 def grid_step(size: int, overlap: float | int) -> int:
     """Whole-number overlap in pixels, or a share in [0, 1)."""
@@ -55,12 +57,16 @@ def _cells(low: Column, high: Column, origin: Column, extent: Column, size: int,
     return F.when((first <= last) & (low < origin + extent) & (high > origin), F.sequence(first, last))
 
 
-def _met_patches(items: DataFrame, frames: DataFrame, size: int, overlap, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
-    """``items`` joined to their frame and exploded to the patches that [x0,x1) x [y0,y1) meets."""
-    step = grid_step(size, overlap)
+def _with_frame(items: DataFrame, frames: DataFrame) -> DataFrame:
+    """One frame row per image: AQE splits a hot image on the item side."""
     fr = frames.select("image_id", F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("w").alias("fw"), F.col("h").alias("fh"))
-    # one frame row per image: AQE splits a hot image on the item side
-    met = items.join(fr, "image_id").withColumns(
+    return items.join(fr, "image_id")
+
+
+def _met_patches(framed: DataFrame, size: int, overlap, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """Rows exploded to the patches of their frame that [x0,x1) x [y0,y1) meets."""
+    step = grid_step(size, overlap)
+    met = framed.withColumns(
         {
             "cols": _cells(x0, x1, F.col("fx"), F.col("fw"), size, step),
             "rows": _cells(y0, y1, F.col("fy"), F.col("fh"), size, step),
@@ -90,7 +96,7 @@ def _met_patches(items: DataFrame, frames: DataFrame, size: int, overlap, x0: Co
 def boxes_to_patches(boxes: DataFrame, frames: DataFrame, size: int, overlap: float | int, keep_empty: bool = False) -> DataFrame:
     """Boxes clipped to every patch they overlap, in patch coordinates, area counted filled."""
     x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
-    met = _met_patches(boxes, frames, size, overlap, x, y, x + w, y + h)
+    met = _met_patches(_with_frame(boxes, frames), size, overlap, x, y, x + w, y + h)
     clipped = met.select(
         "image_id",
         "patch_id",
@@ -106,10 +112,16 @@ def boxes_to_patches(boxes: DataFrame, frames: DataFrame, size: int, overlap: fl
     return patch_grid(frames, size, overlap).select("image_id", "patch_id").join(clipped, ["image_id", "patch_id"], "left")
 
 
-def clipped_area(runs: DataFrame, frames: DataFrame, size: int, overlap: float | int) -> DataFrame:
-    """Filled pixels of each annotation's runs (image_id, ann_id, y, x0, x1) inside each patch."""
+def clipped_area(polygons: DataFrame, frames: DataFrame, size: int, overlap: float | int) -> DataFrame:
+    """Filled pixels of each polygon (image_id, ann_id, points) inside each patch.
+
+    Only polygons are shuffled (to meet their frame); their runs are made, cut and
+    partially summed in the same task.
+    """
+    carried = ["image_id", "ann_id", "fx", "fy", "fw", "fh"]
+    runs = polygon_to_runs(_with_frame(polygons, frames), carried)
     y = F.col("y").cast("bigint")
-    met = _met_patches(runs, frames, size, overlap, F.col("x0").cast("bigint"), y, F.col("x1").cast("bigint") + 1, y + 1)
+    met = _met_patches(runs, size, overlap, F.col("x0").cast("bigint"), y, F.col("x1").cast("bigint") + 1, y + 1)
     inside = F.least(F.col("x1") + 1, F.col("px1")) - F.greatest("x0", "px0")
     return met.groupBy("image_id", "patch_id", "ann_id").agg(F.sum(inside).cast("bigint").alias("area")).where("area > 0")
 
