@@ -50,11 +50,11 @@ def patch_grid(frames: DataFrame, size: int, overlap: float | int) -> DataFrame:
     )
 
 
-def _cells(low: Column, high: Column, origin: Column, extent: Column, size: int, step: int) -> Column:
-    """Grid numbers whose half-open patch strictly overlaps the half-open [low, high)."""
+def _first_last(low: Column, high: Column, origin: Column, extent: Column, size: int, step: int) -> tuple[Column, Column]:
+    """First and last grid number whose half-open patch strictly overlaps [low, high)."""
     first = F.greatest(F.lit(0).cast("bigint"), F.floor((low - origin - size) / F.lit(step)).cast("bigint") + 1)
     last = F.least(_count(extent, step) - 1, F.ceil((high - origin) / F.lit(step)).cast("bigint") - 1)
-    return F.when((first <= last) & (low < origin + extent) & (high > origin), F.sequence(first, last))
+    return first, last
 
 
 def _with_frame(items: DataFrame, frames: DataFrame) -> DataFrame:
@@ -66,16 +66,15 @@ def _with_frame(items: DataFrame, frames: DataFrame) -> DataFrame:
 def _met_patches(framed: DataFrame, size: int, overlap, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
     """Rows exploded to the patches of their frame that [x0,x1) x [y0,y1) meets."""
     step = grid_step(size, overlap)
-    met = framed.withColumns(
-        {
-            "cols": _cells(x0, x1, F.col("fx"), F.col("fw"), size, step),
-            "rows": _cells(y0, y1, F.col("fy"), F.col("fh"), size, step),
-        }
-    )
+    fx, fy, fw, fh = (F.col(c) for c in ("fx", "fy", "fw", "fh"))
+    c0, c1 = _first_last(x0, x1, fx, fw, size, step)
+    r0, r1 = _first_last(y0, y1, fy, fh, size, step)
+    inside = (x0 < fx + fw) & (x1 > fx) & (y0 < fy + fh) & (y1 > fy)
+    met = framed.where(inside).withColumns({"c0": c0, "c1": c1, "r0": r0, "r1": r1}).where("c0 <= c1 and r0 <= r1")
+    # the ranges are never empty here; the outer form only spares a second evaluation in a filter
     return (
-        met.where("cols is not null and rows is not null")
-        .withColumn("row", F.explode("rows"))
-        .withColumn("col", F.explode("cols"))
+        met.withColumn("row", F.explode_outer(F.sequence("r0", "r1")))
+        .withColumn("col", F.explode_outer(F.sequence("c0", "c1")))
         .withColumns(
             {
                 "patch_id": F.col("row") * _count(F.col("fw"), step) + F.col("col"),
@@ -89,7 +88,7 @@ def _met_patches(framed: DataFrame, size: int, overlap, x0: Column, y0: Column,
                 "py1": F.least(F.col("py0") + size, F.col("fy") + F.col("fh")),
             }
         )
-        .drop("cols", "rows", "row", "col", "fx", "fy", "fw", "fh")
+        .drop("c0", "c1", "r0", "r1", "row", "col", "fx", "fy", "fw", "fh")
     )
 
 
