@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panescan import schema
@@ -93,3 +93,202 @@ def success_rates(attempted: DataFrame, placed: DataFrame, contours: DataFrame,
     joined = attempted.join(placed, list(keys), "full").join(contours, list(keys), "full").na.fill(0)
     rate = F.coalesce(F.try_divide(F.col("contours").cast("double"), F.col("attempted").cast("double")), F.lit(0.0)) * 100
     return joined.withColumn("success_rate_percent", F.round(rate, 2))
+
+
+# ------------------------------------------------------------------- patches and images
+def patch_class_shares(pixels: DataFrame, keys: Sequence[str] = ("image_id", "patch_id")) -> DataFrame:
+    """Share of each class per patch, in percent, from pixels with ``class_id``."""
+    wide = pixels.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pixels"),
+        *[F.count_if(F.col("class_id") == c).alias(f"n{c}") for c in range(schema.CLASS_COUNT)],
+    )
+    return wide.select(*keys, "pixels", *[(F.col(f"n{c}") / F.col("pixels") * 100).alias(f"pct{c}") for c in range(schema.CLASS_COUNT)])
+
+
+def defect_percent() -> Column:
+    """Share of all non-background classes of a patch row."""
+    return sum((F.col(f"pct{c}") for c in range(1, schema.CLASS_COUNT)), F.lit(0.0))
+
+
+def patch_stats(patches: DataFrame, min_percent: float = 0.01) -> DataFrame:
+    """Per image: patch counts and spread of every class share; failed patches count only in total."""
+    ok = F.coalesce("status", F.lit("ok")) == "ok"
+    figures = []
+    for c in range(schema.CLASS_COUNT):
+        v = F.when(ok, F.col(f"pct{c}"))
+        figures += [F.avg(v).alias(f"avg{c}"), F.max(v).alias(f"max{c}"), F.min(v).alias(f"min{c}"), F.stddev_pop(v).alias(f"std{c}")]
+    return patches.groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("total_patches"),
+        F.count_if(ok).alias("valid_patches"),
+        F.count_if(ok & (defect_percent() > min_percent)).alias("patches_with_defects"),
+        *figures,
+    )
+
+
+def confidence_bands(voted: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Per image and class: mean and top score, pixels above .8, in (.5, .8], up to .5, and cover figures."""
+    wide = voted.groupBy(*keys).agg(
+        F.max("n").alias("max_cover"),
+        F.min("n").alias("min_cover"),
+        F.avg("n").alias("avg_cover"),
+        *[
+            figure
+            for c in range(schema.CLASS_COUNT)
+            for p in [F.col("probs")[c]]
+            for figure in (
+                F.avg(p).alias(f"avg{c}"), F.max(p).alias(f"max{c}"), F.count_if(p > 0.8).alias(f"hi{c}"),
+                F.count_if((p > 0.5) & (p <= 0.8)).alias(f"mid{c}"), F.count_if(p <= 0.5).alias(f"lo{c}"),
+            )
+        ],
+    )
+    rows = [
+        F.struct(
+            F.lit(c).alias("class_id"), F.col(f"avg{c}").alias("avg_confidence"), F.col(f"max{c}").alias("max_confidence"),
+            F.col(f"hi{c}").alias("high"), F.col(f"mid{c}").alias("medium"), F.col(f"lo{c}").alias("low"),
+        )
+        for c in range(schema.CLASS_COUNT)
+    ]
+    return wide.select(*keys, "max_cover", "min_cover", "avg_cover", F.inline(F.array(*rows)))
+
+
+def top_score(probs: Column, defects_only: bool = False) -> Column:
+    """Largest class score of a pixel, over all classes or over defects only."""
+    return F.array_max(F.slice(probs, 2, schema.CLASS_COUNT) if defects_only else probs)
+
+
+def perf_stats(rows: DataFrame, seconds: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Total and mean seconds and rows per second; 0 when there is no time."""
+    total, n = F.sum(seconds), F.count(seconds)
+    return rows.groupBy(*keys).agg(
+        F.coalesce(total, F.lit(0.0)).alias("total_time"),
+        F.coalesce(F.try_divide(total, n), F.lit(0.0)).alias("avg_time"),
+        F.coalesce(F.try_divide(n.cast("double"), total), F.lit(0.0)).alias("per_second"),
+    )
+
+
+def batch_summary(shares: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Spread of the class percentages over images, zero where an image lacks the class.
+
+    ``shares`` is wide: one row per image with pct0..pctN, so missing classes are plain nulls.
+    """
+    figures = []
+    for c in range(schema.CLASS_COUNT):
+        v = F.coalesce(F.col(f"pct{c}"), F.lit(0.0))
+        figures.append(
+            F.struct(
+                F.lit(c).alias("class_id"), F.avg(v).alias("avg"), F.stddev_pop(v).alias("std"),
+                F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.lit(0.5)).alias("median"),
+            ).alias(f"f{c}")
+        )
+    wide = shares.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_images"), *figures)
+    return wide.select(*keys, "total_images", F.inline(F.array(*[F.col(f"f{c}") for c in range(schema.CLASS_COUNT)]))).withColumn(
+        "class_name", schema.class_name_of(F.col("class_id"))
+    )
+
+
+def truth_batch_summary(results: DataFrame, class_iou: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """Batch against truth: counts by status and kind, spread of IoU, mean Dice and precision.
+
+    ``results``: status, sample_type, mean_iou, mean_dice, precision; per-class means in
+    ``class_iou`` columns are taken over positive values only.
+    """
+    ok = F.col("status") == "completed"
+    multi, binary = ok & (F.col("sample_type") == "multiclass"), ok & (F.col("sample_type") == "binary")
+    iou = F.when(ok, F.col("mean_iou"))
+    return results.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_samples"),
+        F.count_if(ok).alias("successful_samples"),
+        F.count_if(F.col("status") == "error").alias("error_samples"),
+        F.count_if(multi).alias("multiclass_samples"),
+        F.count_if(binary).alias("binary_samples"),
+        F.avg(iou).alias("avg_mean_iou"),
+        F.stddev_pop(iou).alias("std_mean_iou"),
+        F.min(iou).alias("min_mean_iou"),
+        F.max(iou).alias("max_mean_iou"),
+        F.avg(F.when(ok, F.col("mean_dice"))).alias("avg_mean_dice"),
+        F.avg(F.when(binary, F.col("precision"))).alias("avg_precision"),
+        *[F.avg(F.when(ok & (F.col(c) > 0), F.col(c))).alias(f"avg_{c}") for c in class_iou],
+    )
+
+
+def source_stats(patches: DataFrame) -> DataFrame:
+    """Patches per source; the totals are a rollup row with a null source."""
+    return patches.rollup("source").agg(
+        F.count(F.lit(1)).alias("patches"), F.count_distinct("source_key").alias("sources")
+    )
+
+
+def dataset_totals(results: DataFrame) -> DataFrame:
+    """Pixels, class pixels, their share and mean placements over a set of results.
+
+    ``results``: total_pixels, n1..nN, placed.
+    """
+    defects = range(1, schema.CLASS_COUNT)
+    sums = results.agg(
+        F.count(F.lit(1)).alias("images"),
+        F.sum("total_pixels").alias("pixels"),
+        F.avg("placed").alias("avg_placed"),
+        *[F.sum(f"n{c}").alias(f"n{c}") for c in defects],
+    )
+    return sums.select(
+        "images", "pixels", "avg_placed", *[f"n{c}" for c in defects],
+        *[(F.coalesce(F.try_divide(F.col(f"n{c}").cast("double"), F.col("pixels").cast("double")), F.lit(0.0)) * 100).alias(f"pct{c}") for c in defects],
+    )
+
+
+def image_confidence(crops: DataFrame) -> DataFrame:
+    """Largest crop score per image, rounded to 3 places; unreadable crops are left out."""
+    read = crops.where(F.coalesce("status", F.lit("ok")) == "ok")
+    return read.groupBy("image_id").agg(F.round(F.max("confidence"), 3).alias("confidence"))
+
+
+def detection_ratio(images: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Detected images and their percentage, rounded to 2 places."""
+    return images.agg(
+        F.count(F.lit(1)).alias("images"), F.count_if(F.col("confidence") > threshold).alias("detected")
+    ).withColumn("ratio", F.round(F.coalesce(F.try_divide(F.lit(100.0) * F.col("detected"), F.col("images").cast("double")), F.lit(0.0)), 2))
+
+
+def equal_width_histogram(values: DataFrame, columns: Sequence[str], bins: int = 15) -> DataFrame:
+    """Counts per series over equal bins between the common minimum and maximum, last bin closed.
+
+    Series of a constant value fall into the first bin.
+    """
+    series = F.inline(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("v")) for c in columns]))
+    long = values.select(series).where("v is not null")
+    # a scalar pair of ends, not data, comes back
+    ends = values.agg(
+        F.min(F.least(*[F.col(c) for c in columns])).alias("lo"), F.max(F.greatest(*[F.col(c) for c in columns])).alias("hi")
+    )
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    bin_of = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(0))).cast("int")
+    return long.join(F.broadcast(ends)).groupBy("series", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def visible_shares(shares: DataFrame, min_percent: float = 0.01) -> DataFrame:
+    """Class rows of a distribution that are large enough to show."""
+    return shares.where(F.col("percentage") > min_percent)
+
+
+def top_detections(detections: DataFrame, min_confidence: float = 0.636, k: int = 15) -> DataFrame:
+    """At most ``k`` boxes per image by falling confidence; a partial top-k runs before the shuffle."""
+    order = Window.partitionBy("image_id").orderBy(F.col("conf").desc(), F.col("det_id"))
+    ranked = detections.where(F.col("conf") >= min_confidence).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k)
+
+
+def dataset_manifest(results: DataFrame, parameters: dict) -> DataFrame:
+    """One JSON document per image: dataset facts, parameters, per-version metadata.
+
+    Versions per image are a plan parameter, so a list is bounded.
+    """
+    params = F.struct(*[F.lit(v).alias(k) for k, v in parameters.items()])
+    meta = F.struct(*[c for c in results.columns if c != "image_id"])
+    grouped = results.groupBy("image_id").agg(F.array_sort(F.collect_list(meta)).alias("versions"))
+    info = F.struct(F.col("image_id"), F.size("versions").alias("n_versions"))
+    return grouped.select("image_id", F.to_json(F.struct(info.alias("dataset_info"), params.alias("processing_parameters"), "versions")).alias("json"))
+
+
+def detail_json(results: DataFrame, key: str = "image_id") -> DataFrame:
+    """Each result row as a JSON document; types are plain already."""
+    return results.select(key, F.to_json(F.struct("*")).alias("json"))
