@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from panescan import schema
 from panescan.operators.metrics import ratio
 from panescan.operators.raster import length, overlay, run_events, sweep
+from panescan.operators.summary import exact_median
 from panescan.session import cut_lineage
 
 # a pixel position as one number: row * X_SPAN + column
@@ -243,8 +244,8 @@ def region_summary(regions: DataFrame, masks: DataFrame, classes: Sequence[int]
         F.max("area").alias("largest"),
         F.min("area").alias("smallest"),
         F.avg("area").alias("mean"),
-        F.percentile("area", 0.5).alias("median"),
     )
+    stats = stats.join(exact_median(regions, LAYER_KEY, "area"), list(LAYER_KEY))
     wanted = masks.select("image_id", "layer", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class_id"))
     return wanted.join(stats, list(LAYER_KEY), "left").na.fill(0, ["num", "total", "largest", "smallest", "mean", "median"])
 

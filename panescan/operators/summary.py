@@ -166,24 +166,50 @@ def perf_stats(rows: DataFrame, seconds: Column, keys: Sequence[str] = ()) -> Da
     )
 
 
+def exact_median(rows: DataFrame, keys: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
+    """Interpolated median per key without holding a group: keys, median.
+
+    Equal values are counted first, the counts fall into equal-width buckets, and only the
+    bucket that holds the middle ranks is looked into.  The bucket window has a fixed
+    length, and the value window sorts with spill.
+    """
+    keys = list(keys)
+    v = F.col("v")
+    counts = rows.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    place = F.coalesce(F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * buckets
+    placed = counts.join(ends, keys).withColumn("b", F.least(F.lit(buckets - 1), F.floor(place)).cast("int"))
+    in_order = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    sums = placed.groupBy(*keys, "b").agg(F.sum("n").alias("bn"), F.first("total").alias("total"))
+    chosen = (
+        sums.withColumn("before", F.sum("bn").over(in_order) - F.col("bn"))
+        .where((F.col("before") <= high) & (F.col("before") + F.col("bn") > low))
+        .select(*keys, "b", "before")
+    )
+    within = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.join(chosen, [*keys, "b"]).withColumn("upto", F.col("before") + F.sum("n").over(within))
+
+    def at(rank):
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (F.col("upto") > rank), v))
+
+    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def batch_summary(shares: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Spread of the class percentages over images, zero where an image lacks the class.
 
     ``shares`` is wide: one row per image with pct0..pctN, so missing classes are plain nulls.
     """
-    figures = []
-    for c in range(schema.CLASS_COUNT):
-        v = F.coalesce(F.col(f"pct{c}"), F.lit(0.0))
-        figures.append(
-            F.struct(
-                F.lit(c).alias("class_id"), F.avg(v).alias("avg"), F.stddev_pop(v).alias("std"),
-                F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.lit(0.5)).alias("median"),
-            ).alias(f"f{c}")
-        )
-    wide = shares.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_images"), *figures)
-    return wide.select(*keys, "total_images", F.inline(F.array(*[F.col(f"f{c}") for c in range(schema.CLASS_COUNT)]))).withColumn(
-        "class_name", schema.class_name_of(F.col("class_id"))
+    keys = list(keys)
+    rows = [F.struct(F.lit(c).alias("class_id"), F.coalesce(F.col(f"pct{c}"), F.lit(0.0)).alias("pct")) for c in range(schema.CLASS_COUNT)]
+    long = shares.select(*keys, F.inline(F.array(*rows)))
+    group = [*keys, "class_id"]
+    spread = long.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("total_images"), F.avg("pct").alias("avg"), F.stddev_pop("pct").alias("std"),
+        F.min("pct").alias("min"), F.max("pct").alias("max"),
     )
+    return spread.join(exact_median(long, group, "pct"), group).withColumn("class_name", schema.class_name_of(F.col("class_id")))
 
 
 def truth_batch_summary(results: DataFrame, class_iou: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
@@ -256,13 +282,12 @@ def equal_width_histogram(values: DataFrame, columns: Sequence[str], bins: int =
     """
     series = F.inline(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("v")) for c in columns]))
     long = values.select(series).where("v is not null")
-    # a scalar pair of ends, not data, comes back
-    ends = values.agg(
-        F.min(F.least(*[F.col(c) for c in columns])).alias("lo"), F.max(F.greatest(*[F.col(c) for c in columns])).alias("hi")
-    )
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    bin_of = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(0))).cast("int")
-    return long.join(F.broadcast(ends)).groupBy("series", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    low, high = F.least(*[F.col(c) for c in columns]), F.greatest(*[F.col(c) for c in columns])
+    # two scalar subqueries, each run once
+    lo, hi = values.agg(F.min(low)).scalar(), values.agg(F.max(high)).scalar()
+    width = (hi - lo) / F.lit(float(bins))
+    bin_of = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("v") - lo, width)), F.lit(0))).cast("int")
+    return long.groupBy("series", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def visible_shares(shares: DataFrame, min_percent: float = 0.01) -> DataFrame:

@@ -25,33 +25,38 @@ def improvements(epochs: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFr
 def early_stop_epoch(epochs: DataFrame, patience: int, min_delta: float = 0.0, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """First epoch at which ``patience`` epochs in a row failed to improve; runs that never stop give no row.
 
-    Without a delta the counter is the distance to the last new minimum, a window that
-    sorts with spill.  With a delta the best value only moves on accepted improvements, so
-    each run is folded in order; a run has one row per epoch.
+    Only a strict new minimum can be an accepted improvement, with or without a delta, so
+    the windows reduce a run to its minima.  With a delta those minima are folded in order
+    (best moves only on an accepted one); the stop is the first gap of ``patience`` behind
+    an accepted epoch.
     """
+    keys = list(keys)
+    order = Window.partitionBy(*keys).orderBy("epoch")
+    before = F.min("value").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    seen = epochs.select(*keys, "epoch", "value", F.row_number().over(order).cast("bigint").alias("pos"), before.alias("before"))
+    better = F.col("before").isNull() | (F.col("value") < F.col("before"))
     if min_delta == 0:
-        order = Window.partitionBy(*keys).orderBy("epoch")
-        upto = order.rowsBetween(Window.unboundedPreceding, -1)
-        seen = epochs.withColumns({"best": F.min("value").over(upto), "pos": F.row_number().over(order)})
-        better = F.col("best").isNull() | (F.col("value") < F.col("best"))
         last = F.max(F.when(better, F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
         counted = seen.withColumn("counter", F.col("pos") - last)
         return counted.where(F.col("counter") >= patience).groupBy(*keys).agg(F.min("epoch").alias("stop_epoch"))
-    rows = epochs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("epoch", "value"))).alias("h"))
-    start = F.struct(
-        F.lit(None).cast("double").alias("best"), F.lit(0).cast("bigint").alias("counter"), F.lit(None).cast("bigint").alias("stop")
+    minima = seen.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(better, F.struct("pos", "value")))).alias("m"), F.max("pos").alias("n")
     )
+    none = F.lit(None)
+    start = F.struct(none.cast("double").alias("best"), none.cast("bigint").alias("at"), none.cast("bigint").alias("stop"))
 
     def step(s, r):
-        better = s["best"].isNull() | (r["value"] < s["best"] - min_delta)
-        counter = F.when(better, F.lit(0).cast("bigint")).otherwise(s["counter"] + 1)
+        gap = s["at"].isNotNull() & (r["pos"] - 1 - s["at"] >= patience)
+        accepted = s["best"].isNull() | (r["value"] < s["best"] - min_delta)
         return F.struct(
-            F.when(better, r["value"]).otherwise(s["best"]).alias("best"),
-            counter.alias("counter"),
-            F.coalesce(s["stop"], F.when(counter >= patience, r["epoch"])).alias("stop"),
+            F.when(accepted, r["value"]).otherwise(s["best"]).alias("best"),
+            F.when(accepted, r["pos"]).otherwise(s["at"]).alias("at"),
+            F.coalesce(s["stop"], F.when(gap, s["at"] + patience)).alias("stop"),
         )
 
-    return rows.select(*keys, F.aggregate("h", start, step, lambda s: s["stop"]).alias("stop_epoch")).where("stop_epoch is not null")
+    stop = F.aggregate("m", start, step, lambda s: F.coalesce(s["stop"], s["at"] + patience))
+    found = minima.select(*keys, "n", stop.alias("pos")).where("pos <= n").select(*keys, "pos")
+    return seen.join(found, [*keys, "pos"]).select(*keys, F.col("epoch").alias("stop_epoch"))
 
 
 def checkpoints_to_drop(checkpoints: DataFrame, keep: int = 3, keys: Sequence[str] = ("run_id",)) -> DataFrame:

@@ -26,3 +26,78 @@ def random_crops(rects: DataFrame, n: int, ratio: float, seed: int) -> DataFrame
             "size": (F.col("w") * ratio).cast("bigint"),
         }
     )
+
+
+# --- fixed values: scale and turn of a placed sample -------------------------------------
+SCALE_RANGE, ANGLE_RANGE = (0.9, 1.15), (0.0, 360.0)
+
+
+def placement_candidates(slots: DataFrame, attempts: int, seed: int) -> DataFrame:
+    """Turned and scaled sample boxes at random legal places, ``attempts`` per slot.
+
+    ``slots``: image_id, slot, frame x, y, w, h and sample size sw, sh.  A sample that does
+    not fit gives no row for that attempt.
+    """
+    tries = slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
+    key = [F.col("image_id"), F.col("slot"), F.col("attempt")]
+
+    def draw(name, ends):
+        return ends[0] + uniform(seed, F.lit(name), *key) * (ends[1] - ends[0])
+
+    sized = (
+        tries.withColumns({"scale": draw("scale", SCALE_RANGE), "angle": draw("angle", ANGLE_RANGE)})
+        .withColumn("size", turned_size(F.col("sw"), F.col("sh"), F.col("angle"), F.col("scale")))
+        .where((F.col("size.tw") <= F.col("w")) & (F.col("size.th") <= F.col("h")) & (F.col("size.sw") > 0) & (F.col("size.sh") > 0))
+    )
+    px = uniform_int(F.col("x"), F.col("x") + F.col("w") - F.col("size.tw"), seed, F.lit("x"), *key)
+    py = uniform_int(F.col("y"), F.col("y") + F.col("h") - F.col("size.th"), seed, F.lit("y"), *key)
+    return sized.withColumns({"x0": px, "y0": py}).select(
+        "image_id", "slot", "attempt", "scale", "angle", "x0", "y0",
+        (F.col("x0") + F.col("size.tw")).alias("x1"), (F.col("y0") + F.col("size.th")).alias("y1"),
+    )
+
+
+def accept_non_overlapping(candidates: DataFrame) -> DataFrame:
+    """Accepted placements: in slot order, the first attempt that overlaps nothing accepted before.
+
+    A group is one image's candidates: slots times attempts of the plan, never data sized.
+    """
+    c = F.struct("slot", "attempt", "x0", "y0", "x1", "y1")
+    grouped = candidates.groupBy("image_id").agg(F.array_sort(F.collect_list(c)).alias("c"))
+    none = F.array().cast("array<struct<slot:int,attempt:int,x0:bigint,y0:bigint,x1:bigint,y1:bigint>>")
+
+    def step(acc, n):
+        hit = F.exists(
+            acc,
+            lambda a: (a["slot"] == n["slot"])
+            | ((n["x0"] < a["x1"]) & (n["x1"] > a["x0"]) & (n["y0"] < a["y1"]) & (n["y1"] > a["y0"])),
+        )
+        return F.when(hit, acc).otherwise(F.concat(acc, F.array(n)))
+
+    return grouped.select("image_id", F.inline(F.aggregate("c", none, step)))
+
+
+def jitter_polygon(shapes: DataFrame, per_side: int, distortion: float, seed: int, key: str = "image_id") -> DataFrame:
+    """Distorted square outlines fitted to (w, h): key, i, px, py in ring order."""
+    side = per_side + 1
+    # corners of the unit square in ring order
+    cx, cy = F.array(*[F.lit(v) for v in (0.0, 1.0, 1.0, 0.0)]), F.array(*[F.lit(v) for v in (0.0, 0.0, 1.0, 1.0)])
+
+    def point(i):
+        a, t = F.floor(i / side).cast("int"), (i % side) / F.lit(float(side))
+        b = (a + 1) % 4
+
+        def coordinate(corners, name):
+            start, end = F.get(corners, a), F.get(corners, b)
+            shift = (uniform(seed, F.lit(name), F.col(key), i) * 2 - 1) * distortion
+            return start + t * (end - start) + shift
+
+        return F.struct(i.alias("i"), coordinate(cx, "x").alias("x"), coordinate(cy, "y").alias("y"))
+
+    ring = shapes.select(key, "w", "h", F.transform(F.sequence(F.lit(0), F.lit(4 * side - 1)), point).alias("p"))
+    xs, ys = F.transform("p", lambda q: q["x"]), F.transform("p", lambda q: q["y"])
+    ends = ring.withColumns({"lx": F.array_min(xs), "hx": F.array_max(xs), "ly": F.array_min(ys), "hy": F.array_max(ys)})
+    fit = lambda v, lo, hi, size: ((v - F.col(lo)) / (F.col(hi) - F.col(lo)) * F.col(size)).cast("int")
+    return ends.select(key, "w", "h", "lx", "hx", "ly", "hy", F.inline("p")).select(
+        key, "i", fit(F.col("x"), "lx", "hx", "w").alias("px"), fit(F.col("y"), "ly", "hy", "h").alias("py")
+    )
