@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mask_metrics", "gray_layers", "mask_layers", "boxes_patches", "mask_regions", "scores_votes", "training_history", "files_plans"]
+MODULES = ["mask_metrics", "gray_layers", "mask_layers", "boxes_patches", "mask_regions", "scores_votes", "training_history", "files_plans", "scoring_streams"]
 
 
 def load() -> tuple[dict, dict]:
