@@ -156,36 +156,26 @@ def _border_edges(labelled: DataFrame, block: int, connectivity: int) -> DataFra
 
 
 def contract(edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> DataFrame | None:
-    """Map keys, node -> root for all nodes on edges (u, v); None when there is no edge.
+    """Map keys, node -> root (smallest node) for all nodes on edges (u, v); None without edges.
 
-    Round: every node takes the smallest of itself and its neighbours (a map-side combined
-    minimum), pointers jump once, edges move to the new nodes.  Every joined side that may
-    be hot meets a side with one row per node, which AQE splits.  Each round is
-    checkpointed, so a lost executor costs one round.
+    Round: every node points at its neighbour of the lowest hash if that is below its own,
+    pointers jump once, edges move to the new nodes.  Hashes differ per round, so chains of
+    pointers stay short and the graph shrinks by a constant factor whatever its shape.
+    Minima combine map-side; a joined side that may be hot meets one row per node, which
+    AQE splits.  Rounds are checkpointed, so a lost executor costs one round.
     """
     keys = list(keys)
-    low, high = F.least("u", "v"), F.greatest("u", "v")
-    edges = cut_lineage(edges.select(*keys, low.alias("u"), high.alias("v")).distinct())
+    edges = cut_lineage(edges.select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if edges.isEmpty():
         return None
     labels: DataFrame | None = None
-    for _ in range(max_rounds):
-        both = edges.select(
-            *keys,
-            F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other")))),
-        )
-        step = both.groupBy(*keys, "node").agg(F.min("other").alias("near")).select(
-            *keys, "node", F.least("node", "near").alias("parent")
-        )
-        step = cut_lineage(step)
-        up = step.select(*keys, F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        step = cut_lineage(step.join(up, [*keys, "parent"]).select(*keys, "node", F.col("grand").alias("root")))
+    for turn in range(max_rounds):
+        step = cut_lineage(_point_and_jump(edges, keys, turn))
         if labels is None:
             labels = step
         else:
             moved = step.select(*keys, F.col("node").alias("root"), F.col("root").alias("next"))
             labels = labels.join(moved, [*keys, "root"], "left").select(*keys, "node", F.coalesce("next", "root").alias("root"))
-        labels = cut_lineage(labels)
         to_u = step.select(*keys, F.col("node").alias("u"), F.col("root").alias("ru"))
         to_v = step.select(*keys, F.col("node").alias("v"), F.col("root").alias("rv"))
         edges = cut_lineage(
@@ -193,10 +183,26 @@ def contract(edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> Dat
             .select(*keys, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
         )
         if edges.isEmpty():
-            return labels
+            labels = cut_lineage(labels)
+            names = labels.groupBy(*keys, "root").agg(F.min("node").alias("first"))
+            return labels.join(names, [*keys, "root"]).select(*keys, "node", F.col("first").alias("root"))
     raise RuntimeError(f"regions did not settle in {max_rounds} rounds")
 
 
+def _point_and_jump(edges: DataFrame, keys: list[str], turn: int) -> DataFrame:
+    ends = F.array(
+        F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other"))
+    )
+
+    def rank(c):
+        return F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
+
+    near = edges.select(*keys, F.inline(ends)).groupBy(*keys, "node").agg(F.min(rank("other")).alias("near"))
+    step = near.select(*keys, "node", F.least(F.col("near"), rank("node"))["n"].alias("parent"))
+    up = step.select(*keys, F.col("node").alias("parent"), F.col("parent").alias("root"))
+    return step.join(up, [*keys, "parent"]).select(*keys, "node", "root")
+
+
 def label_runs(runs: DataFrame, connectivity: int = 4, block: int = 1024) -> DataFrame:
     """Runs of defect classes with ``region``: the first pixel of the whole region."""
     if connectivity not in (4, 8):
