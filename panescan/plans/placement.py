@@ -38,22 +38,26 @@ def placement_candidates(slots: DataFrame, attempts: int, seed: int) -> DataFram
     ``slots``: image_id, slot, frame x, y, w, h and sample size sw, sh.  A sample that does
     not fit gives no row for that attempt.
     """
-    tries = slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
-    key = [F.col("image_id"), F.col("slot"), F.col("attempt")]
 
-    def draw(name, ends):
-        return ends[0] + uniform(seed, F.lit(name), *key) * (ends[1] - ends[0])
+    def draws(attempt):
+        key = [F.col("image_id"), F.col("slot"), attempt]
+        between = lambda name, ends: ends[0] + uniform(seed, F.lit(name), *key) * (ends[1] - ends[0])
+        return F.struct(
+            attempt.alias("attempt"), between("scale", SCALE_RANGE).alias("scale"), between("angle", ANGLE_RANGE).alias("angle"),
+            uniform(seed, F.lit("x"), *key).alias("ux"), uniform(seed, F.lit("y"), *key).alias("uy"),
+        )
 
-    sized = (
-        tries.withColumns({"scale": draw("scale", SCALE_RANGE), "angle": draw("angle", ANGLE_RANGE)})
-        .withColumn("size", turned_size(F.col("sw"), F.col("sh"), F.col("angle"), F.col("scale")))
-        .where((F.col("size.tw") <= F.col("w")) & (F.col("size.th") <= F.col("h")) & (F.col("size.sw") > 0) & (F.col("size.sh") > 0))
+    # each inline fixes its columns, so no draw is computed again in later expressions
+    tries = slots.select("*", F.inline(F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), draws)))
+    sized = tries.select("*", F.inline(F.array(turned_size(F.col("sw"), F.col("sh"), F.col("angle"), F.col("scale")).alias("t"))).alias("dw", "dh", "tw", "th"))
+    fits = (F.col("tw") <= F.col("w")) & (F.col("th") <= F.col("h")) & (F.col("dw") > 0) & (F.col("dh") > 0)
+    spot = F.struct(
+        (F.col("x") + F.floor(F.col("ux") * (F.col("w") - F.col("tw") + 1))).cast("bigint").alias("x0"),
+        (F.col("y") + F.floor(F.col("uy") * (F.col("h") - F.col("th") + 1))).cast("bigint").alias("y0"),
     )
-    px = uniform_int(F.col("x"), F.col("x") + F.col("w") - F.col("size.tw"), seed, F.lit("x"), *key)
-    py = uniform_int(F.col("y"), F.col("y") + F.col("h") - F.col("size.th"), seed, F.lit("y"), *key)
-    return sized.withColumns({"x0": px, "y0": py}).select(
-        "image_id", "slot", "attempt", "scale", "angle", "x0", "y0",
-        (F.col("x0") + F.col("size.tw")).alias("x1"), (F.col("y0") + F.col("size.th")).alias("y1"),
+    return sized.where(fits).select(
+        "image_id", "slot", "attempt", "scale", "angle", spot["x0"].alias("x0"), spot["y0"].alias("y0"),
+        (spot["x0"] + F.col("tw")).alias("x1"), (spot["y0"] + F.col("th")).alias("y1"),
     )
 
 
