@@ -15,30 +15,46 @@ def best_epoch(epochs: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFram
     )
 
 
+EPOCHS_PER_PIECE = 4096
+
+
+def _running_minimum(epochs: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``pos`` (1-based) and ``before``: the minimum of all earlier epochs of the run.
+
+    A run is worked on in pieces of some thousand epochs: piece minima run ahead, one row
+    per piece, so a run that holds much of the table spreads over many tasks.
+    """
+    split = epochs.withColumn("piece", F.floor(F.col("epoch") / EPOCHS_PER_PIECE))
+    pieces = split.groupBy(*keys, "piece").agg(F.min("value").alias("low"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = pieces.select(
+        *keys, "piece", F.min("low").over(earlier).alias("low"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skipped")
+    )
+    order = Window.partitionBy(*keys, "piece").orderBy("epoch")
+    within = order.rowsBetween(Window.unboundedPreceding, -1)
+    return split.join(ahead, [*keys, "piece"]).select(
+        *epochs.columns,
+        (F.col("skipped") + F.row_number().over(order)).cast("bigint").alias("pos"),
+        F.least(F.col("low"), F.min("value").over(within)).alias("before"),
+    )
+
+
 def improvements(epochs: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Epochs whose loss is strictly below every earlier one: the moments a best model is kept."""
-    before = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    marked = epochs.withColumn("best_before", F.min("value").over(before))
-    return marked.where(F.col("best_before").isNull() | (F.col("value") < F.col("best_before"))).drop("best_before")
+    marked = _running_minimum(epochs, list(keys))
+    return marked.where(F.col("before").isNull() | (F.col("value") < F.col("before"))).drop("pos", "before")
 
 
 def early_stop_epoch(epochs: DataFrame, patience: int, min_delta: float = 0.0, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """First epoch at which ``patience`` epochs in a row failed to improve; runs that never stop give no row.
 
-    Only a strict new minimum can be an accepted improvement, with or without a delta, so
-    the windows reduce a run to its minima.  With a delta those minima are folded in order
-    (best moves only on an accepted one); the stop is the first gap of ``patience`` behind
-    an accepted epoch.
+    Only a strict new minimum can be an accepted improvement, with or without a delta, so a
+    run shrinks to its minima first.  Those are folded in order (best moves only on an
+    accepted one); the stop is the first gap of ``patience`` behind an accepted epoch.
     """
     keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy("epoch")
-    before = F.min("value").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    seen = epochs.select(*keys, "epoch", "value", F.row_number().over(order).cast("bigint").alias("pos"), before.alias("before"))
+    seen = _running_minimum(epochs, keys)
     better = F.col("before").isNull() | (F.col("value") < F.col("before"))
-    if min_delta == 0:
-        last = F.max(F.when(better, F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        counted = seen.withColumn("counter", F.col("pos") - last)
-        return counted.where(F.col("counter") >= patience).groupBy(*keys).agg(F.min("epoch").alias("stop_epoch"))
     minima = seen.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(better, F.struct("pos", "value")))).alias("m"), F.max("pos").alias("n")
     )
@@ -60,12 +76,17 @@ def early_stop_epoch(epochs: DataFrame, patience: int, min_delta: float = 0.0, k
 
 
 def checkpoints_to_drop(checkpoints: DataFrame, keep: int = 3, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Checkpoints older than the last ``keep`` epochs of their run; ``keep`` <= 0 keeps all."""
+    """Checkpoints older than the last ``keep`` epochs of their run; ``keep`` <= 0 keeps all.
+
+    The kept ones are a top-k, cut down before the shuffle; the rest lies below the oldest kept.
+    """
     if keep <= 0:
         return checkpoints.where(F.lit(False))
+    keys = list(keys)
     newest = Window.partitionBy(*keys).orderBy(F.col("epoch").desc())
-    ranked = checkpoints.withColumn("rank", F.row_number().over(newest))
-    return ranked.where(F.col("rank") > keep).drop("rank")
+    kept = checkpoints.select(*keys, "epoch").withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= keep)
+    oldest = kept.groupBy(*keys).agg(F.min("epoch").alias("oldest"))
+    return checkpoints.join(oldest, keys).where(F.col("epoch") < F.col("oldest")).drop("oldest")
 
 
 def final_metrics(epochs: DataFrame, keys: Sequence[str] = ("run_id", "split")) -> DataFrame:
@@ -77,11 +98,25 @@ def final_metrics(epochs: DataFrame, keys: Sequence[str] = ("run_id", "split"))
 
 
 def memory_growth(samples: DataFrame, threshold_mb: float, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Growth over the first sample, alarm flag and running peak per sample."""
-    in_time = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first("mb").over(in_time)
-    return samples.withColumns(
-        {"increase": F.col("mb") - first, "peak": F.max("mb").over(in_time), "alarm": F.col("mb") - first > threshold_mb}
+    """Growth over the first sample, alarm flag and running peak per sample.
+
+    ``order[0]`` is a timestamp.  Hours of a run are worked on apart, with hourly peaks run
+    ahead, so a run that holds much of the table spreads over many tasks.
+    """
+    keys = list(keys)
+    split = samples.withColumn("hour", F.date_trunc("hour", order[0]))
+    hours = split.groupBy(*keys, "hour").agg(F.max("mb").alias("peak"), F.min_by("mb", F.struct(*order)).alias("first"))
+    in_time = Window.partitionBy(*keys).orderBy("hour")
+    ahead = hours.select(
+        *keys, "hour",
+        F.max("peak").over(in_time.rowsBetween(Window.unboundedPreceding, -1)).alias("peak_before"),
+        F.first("first").over(in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first_mb"),
+    )
+    within = Window.partitionBy(*keys, "hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    increase = F.col("mb") - F.col("first_mb")
+    return split.join(ahead, [*keys, "hour"]).select(
+        *samples.columns, increase.alias("increase"), F.greatest(F.col("peak_before"), F.max("mb").over(within)).alias("peak"),
+        (increase > threshold_mb).alias("alarm"),
     )
 
 
