@@ -8,7 +8,6 @@ from panescan import schema
 from panescan.checks.derived import boxes, files, frames, paths, photo_paths, r6, table
 from panescan.checks.registry import registry
 from panescan.functions.hashing import uniform
-from panescan.functions import paths as fp
 from panescan.operators import summary
 from panescan.plans import placement, sampling
 from panescan.sources import catalog, labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panescan import schema
-from panescan.checks.derived import MASK_H, MASK_W, class_runs, gray, table, with_sql
+from panescan.checks.derived import MASK_H, MASK_W, class_runs, gray, table
 from panescan.checks.registry import registry
 from panescan.operators import masks, metrics, raster
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panescan.checks.derived import boxes, class_runs, gray, r6
+from panescan.checks.derived import class_runs, gray, r6
 from panescan.checks.registry import registry
 from panescan.operators import gray as g
 from panescan.operators import masks, raster, regions

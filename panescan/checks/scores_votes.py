@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panescan import schema
-from panescan.checks.derived import class_runs, logits, paths, photo_paths, r6, score_pixels, table
+from panescan.checks.derived import class_runs, paths, r6, score_pixels, table
 from panescan.checks.registry import registry
 from panescan.functions import scores as sc
 from panescan.operators import metrics, raster, summary, voting

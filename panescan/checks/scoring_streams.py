@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panescan.checks.derived import gray, r6, table
 from panescan.checks.registry import registry
-from panescan.operators import raster, scoring, summary, voting
+from panescan.operators import raster, scoring, summary
 from panescan.plans.inspect import inspect
 from panescan.session import checkpoint_folder
 from panescan.streaming import monitors
