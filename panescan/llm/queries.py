@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panescan.llm import bpe, exact_dedup, packing, sharding
+from panescan.llm import bpe, embedding_dedup, exact_dedup, packing, secret_scan, sharding, toxicity
 from panescan.llm.common import table
 from panescan.session import ship_package
 
@@ -39,6 +39,18 @@ def op1(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+@query("op2_secret_scan")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs))
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op5_packing")
 def op5(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary()).drop("ids")
@@ -52,3 +64,8 @@ def op6(spark, sf_dir):
 @query("op8_sharding")
 def op8(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_embedding_dedup", embedding_dedup.SQL)
+def op10(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
