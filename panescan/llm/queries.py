@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panescan.llm import bpe, embedding_dedup, exact_dedup, packing, secret_scan, sharding, toxicity
+from panescan.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, secret_scan, sharding, toxicity
 from panescan.llm.common import table
 from panescan.session import ship_package
 
@@ -66,6 +66,11 @@ def op8(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op9_minhash_dedup", minhash_dedup.SQL)
+def op9(spark, sf_dir):
+    return minhash_dedup.near_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op10_embedding_dedup", embedding_dedup.SQL)
 def op10(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
