@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panescan.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, secret_scan, sharding, toxicity
+from panescan.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, secret_scan, sharding, substring_dedup, toxicity
 from panescan.llm.common import table
 from panescan.session import ship_package
 
@@ -51,6 +51,11 @@ def op3(spark, sf_dir):
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op4_substring_dedup", substring_dedup.SQL)
+def op4(spark, sf_dir):
+    return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 @query("op5_packing")
 def op5(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary()).drop("ids")
