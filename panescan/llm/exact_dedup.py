@@ -211,7 +211,7 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None) -> DataFrame
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that lose to an equal text; all columns as they were."""
     lost = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_lost")), "left_anti")
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
 
 
 SQL = """

@@ -204,7 +204,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
 def drop_near(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id; all columns as they were."""
     lost = near_documents(docs).where("not kept").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_lost")), "left_anti")
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
 
 
 SQL = r"""

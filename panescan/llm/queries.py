@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panescan.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, secret_scan, sharding, substring_dedup, toxicity
+from panescan.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, secret_scan, sharding, substring_dedup, toxicity, url_filter
 from panescan.llm.common import table
 from panescan.session import ship_package
 
@@ -66,6 +66,11 @@ def op6(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op7_url_filter")
+def op7(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 @query("op8_sharding")
 def op8(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
