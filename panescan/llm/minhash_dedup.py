@@ -11,11 +11,13 @@ No bucket is expanded into its pairs:
 * documents of equal sets are one row from the start;
 * round one links every document to the first of one of its buckets, the one it shares most bands with,
   and contracts what is confirmed into components;
-* round two takes only buckets that still hold several components, and there the members outside the
-  bucket's largest component, against the members of other components. After it, no two documents that
-  share a band and are similar are in different components.
+* round two takes only buckets that still hold several components. The members outside a bucket's
+  largest component are compared with all members of buckets around that component, block against
+  block, sizes of intersections by one matrix product, and a pair of blocks returns a star forest. After
+  it, no two documents that share a band and are similar are in different components.
 
-Confirmation deals sets by (first document, slice): each set travels once, and a hub is cut into slices.
+Round one deals sets by (first document, slice): each set travels once, and a hub is cut into slices.
+Round two cuts both sides into blocks of bounded shingles; a set travels once per block of the other side.
 """
 
 from __future__ import annotations
@@ -30,11 +32,14 @@ from pyspark.sql import functions as F
 
 from panescan.llm.common import keep, partitions
 from panescan.llm.components import components
+from panescan.llm.embedding_dedup import join_labels
 
 WORDS, BANDS, ROWS = 5, 32, 4
 REGISTERS = BANDS * ROWS
 PERCENT = 75
 MARGIN = 0.23  # six standard deviations of the estimate at the threshold
+BLOCK = 400_000  # shingles of a block of round two
+TOGETHER = 100_000  # shingles of the sets multiplied at once
 SLICE = 256  # documents that are compared with one copy of a hub
 BROADCAST_ROWS = 1_000_000  # more routes than this meet the documents by a shuffle
 CHUNK = 1 << 15  # shingles hashed at once
@@ -165,6 +170,86 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted distinct sets, over the values that occur on both sides."""
+    total = np.zeros((len(left), len(right)))
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def places(sets):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        hit = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        return owner[hit][order], at[hit][order]
+
+    (lo, lp), (ro, rp) = places(left), places(right)
+    width = max(1, 2_000_000 // (len(left) + len(right)))  # columns held dense at once
+    for at in range(0, len(shared), width):
+        dense = []
+        for owner, place, n in ((lo, lp, len(left)), (ro, rp, len(right))):
+            a, b = np.searchsorted(place, [at, at + width])
+            block = np.zeros((n, min(width, len(shared) - at)), np.float32)
+            block[owner[a:b], place[a:b] - at] = 1
+            dense.append(block)
+        total += dense[0] @ dense[1].T
+    return total
+
+
+def confirm_blocks(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is similar among ``roles`` (hub, id, n, outside): of each hub, the ids outside against all its ids."""
+    spark = docs.sparkSession
+    size = lambda c: F.floor(F.coalesce(F.sum(c), F.lit(0)) / BLOCK + 1).cast("int")
+    cuts = roles.groupBy("hub").agg(size(F.when(F.col("outside") == 1, F.col("n"))).alias("rows"), size(F.col("n")).alias("cols"))
+    met = roles.join(keep(cuts), "hub").withColumn("r", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int")).withColumn("c", F.pmod(F.xxhash64("id", F.lit(1)), F.col("cols")).cast("int"))
+    some = ["id", "hub"]
+    one = met.where("outside = 1").select(*some, "r", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(0).alias("kind"))
+    two = met.select(*some, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), "c", F.lit(1).alias("kind"))
+    routes = keep(one.unionByName(two))
+    ids = keep(roles.select(F.col("id").alias("doc_id")).distinct())
+    if routes.count() <= BROADCAST_ROWS:  # 36 bytes each; ids are fewer
+        routes, ids = F.broadcast(routes), F.broadcast(ids)
+
+    def sets(batches):
+        for batch in batches:
+            data = pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["id", "data"])
+
+    made = _texts(docs).join(ids, "doc_id").select("doc_id", "text").mapInArrow(sets, "id long, data binary")
+    dealt = made.join(routes, "id").select("hub", "r", "c", "kind", "id", "data")
+    dealt = dealt.repartition(partitions(spark), "hub", "r", "c").sortWithinPartitions("hub", "r", "c", "kind", "id")
+
+    def links(own_ids, own, ids, others):
+        both = overlaps(own, others)
+        total = np.array([len(s) for s in own])[:, None] + np.array([len(s) for s in others])
+        near = (100 * both >= PERCENT * (total - both)) & (np.array(own_ids)[:, None] != np.array(ids))
+        a, b = np.nonzero(near)
+        nodes, place = np.unique(np.r_[np.array(own_ids)[a], np.array(ids)[b]], return_inverse=True)
+        labels = join_labels(np.arange(len(nodes)), place[: len(a)], place[len(a) :])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[labels], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
+
+    def compare(batches):
+        at, own_ids, own, ids, others, held = None, [], [], [], [], 0
+        for batch in batches:
+            for hub, r, c, kind, doc, data in zip(*(batch.column(n) for n in ("hub", "r", "c", "kind", "id", "data"))):
+                where, values = (hub.as_py(), r.as_py(), c.as_py()), np.frombuffer(data.as_buffer(), np.uint64).copy()
+                if others and (where != at or held > TOGETHER):
+                    yield links(own_ids, own, ids, others)
+                    ids, others, held = [], [], 0
+                if where != at:
+                    at, own_ids, own = where, [], []
+                if kind.as_py() == 0:
+                    own_ids.append(doc.as_py())
+                    own.append(values)
+                elif own:
+                    ids.append(doc.as_py())
+                    others.append(values)
+                    held += len(values)
+        if others:
+            yield links(own_ids, own, ids, others)
+
+    return dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+
 def near_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -188,11 +273,9 @@ def near_documents(docs: DataFrame) -> DataFrame:
     counts = inside.groupBy("key", "component").agg(F.count("*").alias("size"))
     mixed = counts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     mixed = keep(mixed.select("key", F.col("main.component").alias("main")))
-    inside = keep(inside.join(mixed, "key"))
-    outside = inside.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("xc"))
-    pairs = inside.join(outside, "key").where("component <> xc").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = keep(confirm(docs, keep(likely(pairs, sets))))
+    roles = inside.join(mixed, "key").groupBy(F.col("main").alias("hub"), "id").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("outside"))
+    roles = keep(roles.join(sets.select("id", "n"), "id"))
+    more = keep(confirm_blocks(docs, roles))
     groups = components(links.unionByName(more))
 
     facts = keep(sets.select("n", "lo", "hi", "id").join(groups, "id", "left").select("n", "lo", "hi", F.coalesce("component", "id").alias("component_id")))

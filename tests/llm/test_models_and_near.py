@@ -225,8 +225,10 @@ def near_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_documents(spark, seed):
+@pytest.mark.parametrize("seed, block", [(1, 400_000), (2, 300)])
+def test_near_documents(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "SLICE", 2 if block < 1000 else 256)
     texts = near_texts(seed)
     rows = list(enumerate(texts))
     assert by_id(minhash_dedup.near_documents(documents(spark, texts))) == brute_near(rows)
@@ -238,6 +240,14 @@ def test_near_documents_odd(spark, odd, empty):
     assert minhash_dedup.near_documents(empty).count() == 0
 
 
+def test_overlaps():
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 40, 80, 3)]
+    other = [np.unique(draw.integers(30, 90, n).astype(np.uint64)) for n in (2, 50)] + [np.array([999], np.uint64)]
+    want = [[len(np.intersect1d(a, b)) for b in other] for a in sets]
+    assert minhash_dedup.overlaps(sets, other).tolist() == want and minhash_dedup.overlaps(sets, other[2:]).tolist() == [[0]] * 5
+
+
 def test_estimate_is_corrected_for_collisions():
     draw = np.random.default_rng(2)
     for share in (0.0, 0.5, 0.9):
