@@ -7,7 +7,7 @@ tile then meets at most a fixed number of pieces, whatever the image size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -89,19 +89,39 @@ def _rank_by_level(padded: np.ndarray, h: int, w: int, size: int, k: int) -> np.
     return out
 
 
-def focal(tiles: DataFrame, size_px: int, frame: tuple[int, int], stat: str, size: int, shape: str = "rect", rank: float = 0.5, border: str = "edge") -> DataFrame:
-    """Filter a tiled layer; ``size_px`` is the tile edge, ``frame`` the image (height, width).
+FRAMED = schema.TILE + ", fh int, fw int"
+FRAMED_ARROW = pa.schema([*TILE_ARROW, ("fh", pa.int32()), ("fw", pa.int32())])
+
+
+def with_frames(tiles: DataFrame, frame: tuple[int, int] | DataFrame) -> DataFrame:
+    """Tiles with their image's height and width as ``fh`` and ``fw``.
+
+    ``frame`` is a table (image_id, height, width), one row per image, or one size that all
+    images share.  Images without a frame are an error: nothing may be cut or invented.
+    """
+    if isinstance(frame, DataFrame):
+        sizes = frame.select("image_id", F.col("height").cast("int").alias("fh"), F.col("width").cast("int").alias("fw"))
+        tiles = tiles.join(sizes, "image_id", "left")
+    else:
+        tiles = tiles.withColumns({"fh": F.lit(frame[0]), "fw": F.lit(frame[1])})
+    inside = F.coalesce((F.col("y0") + F.col("h") <= F.col("fh")) & (F.col("x0") + F.col("w") <= F.col("fw")), F.lit(False))
+    lost = F.raise_error(F.concat(F.lit("a tile lies outside the frame of image "), F.col("image_id").cast("string")))
+    tiles = tiles.withColumn("fh", F.when(inside, F.col("fh")).otherwise(lost.cast("int")))
+    return tiles.select(*TILE_ARROW.names, "fh", "fw")
+
+
+def focal(tiles: DataFrame, size_px: int, frame: tuple[int, int] | DataFrame, stat: str, size: int, shape: str = "rect", rank: float = 0.5, border: str = "edge") -> DataFrame:
+    """Filter a tiled layer; ``size_px`` is the tile edge, ``frame`` the images' sizes (``with_frames``).
 
     ``border`` is ``edge`` (replicate) or ``reflect``; ``binomial`` is the 5x5 smoothing.
     """
     margin = size // 2
-    height, width = frame
     window = footprint(size, shape)
     reach = -(-margin // size_px)
-    last_ty, last_tx = (height - 1) // size_px, (width - 1) // size_px
 
     def pieces_of(t: dict) -> Iterator[dict]:
         a = raster.tile_array(t["px"], t["h"], t["w"])
+        last_ty, last_tx = (t["fh"] - 1) // size_px, (t["fw"] - 1) // size_px
         for ty in range(max(0, t["ty"] - reach), min(last_ty, t["ty"] + reach) + 1):
             for tx in range(max(0, t["tx"] - reach), min(last_tx, t["tx"] + reach) + 1):
                 top = max(0, ty * size_px - margin - t["y0"])
@@ -112,17 +132,19 @@ def focal(tiles: DataFrame, size_px: int, frame: tuple[int, int], stat: str, siz
                     yield {
                         "image_id": t["image_id"], "layer": t["layer"], "ty": ty, "tx": tx,
                         "y0": t["y0"] + top, "x0": t["x0"] + left, "h": bottom - top, "w": right - left,
-                        "px": a[top:bottom, left:right].tobytes(),
+                        "px": a[top:bottom, left:right].tobytes(), "fh": t["fh"], "fw": t["fw"],
                     }
 
     def filtered(key: tuple, pieces: Iterator[dict]) -> dict:
         image_id, layer, ty, tx = key
         y0, x0 = ty * size_px, tx * size_px
+        first = next(pieces)
+        height, width = first["fh"], first["fw"]
         h, w = min(size_px, height - y0), min(size_px, width - x0)
         top, left = max(0, y0 - margin), max(0, x0 - margin)
         bottom, right = min(height, y0 + h + margin), min(width, x0 + w + margin)
         area = np.zeros((bottom - top, right - left), np.uint8)
-        for p in pieces:
+        for p in chain([first], pieces):
             area[p["y0"] - top : p["y0"] - top + p["h"], p["x0"] - left : p["x0"] - left + p["w"]] = raster.tile_array(p["px"], p["h"], p["w"])
         pads = ((top - (y0 - margin), y0 + h + margin - bottom), (left - (x0 - margin), x0 + w + margin - right))
         done = filter_array(np.pad(area, pads, mode=border), h, w, stat, window, rank)
@@ -130,27 +152,27 @@ def focal(tiles: DataFrame, size_px: int, frame: tuple[int, int], stat: str, siz
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (t for batch in batches for t in batch.to_pylist())
-        yield from _batched(p for t in rows for p in pieces_of(t))
+        yield from _batched((p for t in rows for p in pieces_of(t)), FRAMED_ARROW)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (p for batch in batches for p in batch.to_pylist())
         yield from _batched(filtered(key, pieces) for key, pieces in groupby(rows, key=itemgetter(*TILE_KEY)))
 
     # pieces of one target tile lie next to each other after the sort, so tiles stream through
-    met = tiles.mapInArrow(send, schema.TILE).repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    met = with_frames(tiles, frame).mapInArrow(send, FRAMED).repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
     return met.mapInArrow(combine, schema.TILE)
 
 
-def _batched(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+def _batched(rows: Iterator[dict], arrow: pa.Schema = TILE_ARROW) -> Iterator[pa.RecordBatch]:
     held, weight = [], 0
     for row in rows:
         held.append(row)
         weight += len(row["px"])
         if weight > 1 << 22 or len(held) >= 4096:
-            yield pa.RecordBatch.from_pylist(held, schema=TILE_ARROW)
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
             held, weight = [], 0
     if held:
-        yield pa.RecordBatch.from_pylist(held, schema=TILE_ARROW)
+        yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
 
 def opened(tiles: DataFrame, size_px: int, frame, size: int, shape: str = "rect") -> DataFrame:
