@@ -6,13 +6,15 @@ result.  ``onnx_model`` makes one from a model file shipped with ``addFile``.
 
 from __future__ import annotations
 
+import hashlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -32,13 +34,21 @@ _SCORED_ARROW = pa.schema(
     + [(c, pa.int32()) for c in ("x0", "y0", "h", "w")]
     + [("status", pa.string()), ("error", pa.string()), ("probs", pa.binary())]
 )
-_loaded: dict = {}
+LOADED = 2  # models a worker keeps
+_loaded: OrderedDict = OrderedDict()
 
 
-def _worker_scorer(factory: Scorer):
-    key = getattr(factory, "cache_key", None) or id(factory)
+def _scorer_key(factory: Scorer) -> str:
+    """Name of a scorer for the workers' caches, made on the driver from what is sent to them."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def _worker_scorer(key: str, factory: Scorer):
     if key not in _loaded:
+        while len(_loaded) >= LOADED:
+            _loaded.popitem(last=False)
         _loaded[key] = factory()
+    _loaded.move_to_end(key)
     return _loaded[key]
 
 
@@ -47,7 +57,6 @@ class onnx_model:
 
     def __init__(self, file_name: str):
         self.file_name = file_name
-        self.cache_key = ("onnx", file_name)
 
     def __call__(self):
         import onnxruntime
@@ -81,11 +90,12 @@ def score(patches: DataFrame, scorer: Scorer, target: tuple[int, int] | None = N
     """Class scores per patch (float32, class-major); a failing patch becomes an error row.
 
     The patch is brought to ``target``, scaled to 0..1, scored, and the scores are brought
-    back to the patch size.
+    back to the patch size, by nearest; a patch is scored alone.
     """
+    key = _scorer_key(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = _worker_scorer(scorer)
+        predict = _worker_scorer(key, scorer)
 
         def rows():
             for batch in batches:
@@ -196,9 +206,10 @@ def detect(photos: DataFrame, scorer: Scorer, factor: int = 25) -> DataFrame:
     The detector sees a 3-channel copy of the grey photo and returns rows x0, y0, x1, y1,
     conf, cls; boxes come back in photo pixels.  A failing photo gives one error row.
     """
+    key = _scorer_key(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = _worker_scorer(scorer)
+        predict = _worker_scorer(key, scorer)
 
         def rows():
             none = dict.fromkeys(("x0", "y0", "x1", "y1", "conf", "cls"))

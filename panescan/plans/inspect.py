@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from panescan import schema
 from panescan.operators import metrics, raster, regions, scoring, summary, voting
+from panescan.session import cut_lineage
+
+
+class Tables(dict):
+    """Tables by name; those in ``later`` are made when first asked for."""
+
+    def __init__(self, ready: dict[str, DataFrame]):
+        super().__init__(ready)
+        self.later: dict = {}
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.later[name]()
+        return self[name]
 
 
 def inspect(tiles: DataFrame, frames: DataFrame, scorer: scoring.Scorer, *, patch_size: int = 1024, overlap: float | int = 0.2, tile: int = 1024, full: bool = True, truth: DataFrame | None = None, only_image: int | None = None) -> dict[str, DataFrame]:
@@ -17,11 +30,14 @@ def inspect(tiles: DataFrame, frames: DataFrame, scorer: scoring.Scorer, *, patc
     eight modes share one plan.  ``full`` votes overlapping patches into the screen; without
     it every patch is an image of its own, named image_id * 2**20 + patch_id, and truth uses
     the same names.
+
+    Patches are scored once: scores and class runs are checkpointed, and every table reads
+    those.  Regions are found when ``tables["regions"]`` is first asked for.
     """
     if only_image is not None:
         tiles, frames = (d.where(F.col("image_id") == only_image) for d in (tiles, frames))
         truth = truth if truth is None or not full else truth.where(F.col("image_id") == only_image)
-    scored = scoring.score(scoring.cut_patches(tiles, frames, patch_size, overlap), scorer)
+    scored = cut_lineage(scoring.score(scoring.cut_patches(tiles, frames, patch_size, overlap), scorer))
     if full:
         size = frames.select("image_id", "h", "w")
         voted = voting.vote_tiles(scored.select("image_id", "patch_id", "x0", "y0", "h", "w", "status", "probs"), size, tile)
@@ -30,16 +46,14 @@ def inspect(tiles: DataFrame, frames: DataFrame, scorer: scoring.Scorer, *, patc
         units = scored.withColumns({"image_id": own, "x0": F.lit(0).cast("int"), "y0": F.lit(0).cast("int")})
         size = units.select("image_id", "h", "w")
         voted = voting.vote_tiles(units.select("image_id", "patch_id", "x0", "y0", "h", "w", "status", "probs"), size, tile)
-    runs = raster.tiles_to_runs(voted.select("image_id", "layer", "ty", "tx", "y0", "x0", "h", "w", "px"))
+    runs = cut_lineage(raster.tiles_to_runs(voted.select("image_id", "layer", "ty", "tx", "y0", "x0", "h", "w", "px")))
     pixels = size.select("image_id", (F.col("h").cast("bigint") * F.col("w")).alias("frame_pixels"))
     stats = summary.class_stats(runs.join(pixels, "image_id"), F.col("frame_pixels"), ("image_id", "layer", "frame_pixels")).drop("frame_pixels")
-    found = regions.connected_regions(runs)
     wide = stats.groupBy("image_id").agg(
         *[F.max(F.when(F.col("class_id") == c, F.col("percentage"))).alias(f"pct{c}") for c in range(schema.CLASS_COUNT)]
     )
-    tables = {
-        "status": scored.drop("probs"), "class_runs": runs, "class_stats": stats, "regions": found, "summary": summary.batch_summary(wide),
-    }
+    tables = Tables({"status": scored.drop("probs"), "class_runs": runs, "class_stats": stats, "summary": summary.batch_summary(wide)})
+    tables.later["regions"] = lambda: regions.connected_regions(runs)
     if truth is not None:
         columns = ["image_id", "layer", "class_id", "y", "x0", "x1"]
         both = runs.select(columns).unionByName(truth.withColumn("layer", F.lit("truth")).select(columns))

@@ -239,3 +239,13 @@ def test_vote_forms_agree_with_overlap(spark):
         tiles = voting.vote_tiles(packed, frames, size)
         got = {(r["y"], r["x"]): r["value"] for r in raster.tiles_to_pixels(tiles.drop("probs", "cover")).collect()}
         assert got == {k: v[0] for k, v in by_pixel.items()}
+
+
+def test_every_scorer_is_its_own(spark):
+    """Closures made and dropped one after another never get each other's model, and a worker keeps few."""
+    patch = spark.createDataFrame([(1, 0, 0, 0, 2, 2, bytearray(4))], scoring.PATCH)
+    for level in range(6):
+        scored = scoring.score(patch, lambda level=level: lambda images: np.full((1, 4, *images.shape[1:]), level, np.float32)).first()
+        assert np.frombuffer(scored["probs"], np.float32)[0] == level
+    for i in range(10):
+        assert scoring._worker_scorer(str(i), lambda i=i: i) == i and len(scoring._loaded) <= scoring.LOADED
