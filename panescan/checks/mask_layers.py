@@ -39,9 +39,9 @@ def merge_highest(spark, sf_dir):
     return by_row(masks.merge_masks(class_runs(spark, sf_dir), "highest"))
 
 
-@query("merge_scratch_first", "mask", WIDE + ", m as (select image_id,y,x,case when p=1 or t=1 then 1 when p=2 or t=2 then 2 else 0 end c from w) " + BY_ROW)
+@query("merge_scratch_first", "mask", WIDE + ", m as (select image_id,y,x,case when p=1 or t=1 then 1 when p=2 or t=2 then 2 when p=3 or t=3 then 3 else 0 end c from w) " + BY_ROW)
 def merge_scratch_first(spark, sf_dir):
-    return by_row(masks.merge_masks(class_runs(spark, sf_dir).where("class_id < 3"), "scratch_first"))
+    return by_row(masks.merge_masks(class_runs(spark, sf_dir), "scratch_first"))
 
 
 @query("binary_union", "mask", WIDE + ", m as (select image_id,y,x,(p>0 or t>0)::int c from w) " + BY_ROW)

@@ -101,14 +101,14 @@ def _class_counts(runs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 # --- fixed values: class order of the two merge rules, strongest first -----------------
-MERGE_ORDER = {"highest": [3, 2, 1], "scratch_first": [1, 2]}
+MERGE_ORDER = {"highest": [3, 2, 1], "scratch_first": [1, 2, 3]}
 
 
 def merge_masks(runs: DataFrame, rule: str = "highest") -> DataFrame:
     """One class per pixel out of overlapping layers.
 
     ``highest``: the larger class index wins.  ``scratch_first``: the old three-class
-    numbering, in which class 1 beats class 2.
+    numbering, in which class 1 beats class 2; class 3, unknown to it, is the weakest.
     """
     segments, _ = _class_counts(runs)
     winner = F.coalesce(*[F.when(F.col(f"n{c}") > 0, F.lit(c)) for c in MERGE_ORDER[rule]])
@@ -140,18 +140,19 @@ def except_runs(runs: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def _against(runs: DataFrame, other: DataFrame, inside: bool) -> DataFrame:
-    row = ("image_id", "y")
-    zero = F.lit(0).cast("bigint")
-    events = run_events(runs, row, c=F.col("class_id").cast("bigint"), o=zero).unionByName(
-        run_events(other, row, c=zero, o=F.lit(1).cast("bigint"))
+    """Classes are counted apart, so runs of several layers may overlap; a class comes out once per pixel."""
+    row, classes = ("image_id", "y"), range(1, schema.CLASS_COUNT)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    names = [f"n{c}" for c in classes]
+    own = {f"n{c}": (F.col("class_id") == c).cast("bigint") for c in classes}
+    events = run_events(runs.where("class_id > 0"), row, **own, o=zero).unionByName(
+        run_events(other, row, **dict.fromkeys(names, zero), o=one)
     )
     hit = F.col("o") > 0 if inside else F.col("o") == 0
-    return coalesce_runs(
-        sweep(events, row, ["c", "o"])
-        .where((F.col("c") > 0) & hit)
-        .select("image_id", "y", "x0", "x1", F.col("c").cast("int").alias("class_id")),
-        ("image_id",),
-    )
+    found = F.filter(F.array(*[F.when(F.col(f"n{c}") > 0, F.lit(c)) for c in classes]), lambda c: c.isNotNull())
+    parts = sweep(events, row, [*names, "o"]).where(hit).select(*row, "x0", "x1", F.explode(found).alias("class_id"))
+    apart = parts.withColumn("own", F.col("class_id"))  # runs of different classes may overlap
+    return coalesce_runs(apart, ("image_id", "own")).drop("own")
 
 
 # --------------------------------------------------------------------- colour operators

@@ -10,6 +10,7 @@ pixel in raster order, so names do not depend on partitioning.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -155,27 +156,28 @@ def _border_edges(labelled: DataFrame, block: int, connectivity: int) -> DataFra
     return across_rows.select(*pair).unionByName(across_cols.select(*pair)).where("u <> v")
 
 
-def contract(edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> DataFrame | None:
+def contract(edges: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Map keys, node -> root (smallest node) for all nodes on edges (u, v); None without edges.
 
     Round: every node points at its neighbour of the lowest hash if that is below its own,
     pointers jump once, edges move to the new nodes.  Hashes differ per round, so chains of
     pointers stay short and the graph shrinks by a constant factor whatever its shape.
     Minima combine map-side; a joined side that may be hot meets one row per node, which
-    AQE splits.  Rounds are checkpointed, so a lost executor costs one round.
+    AQE splits.  Rounds go on until no edge is left; edges and labels are checkpointed in each,
+    so a lost executor costs one round and the plan does not grow.
     """
     keys = list(keys)
     edges = cut_lineage(edges.select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if edges.isEmpty():
         return None
     labels: DataFrame | None = None
-    for turn in range(max_rounds):
+    for turn in count():
         step = cut_lineage(_point_and_jump(edges, keys, turn))
         if labels is None:
             labels = step
         else:
             moved = step.select(*keys, F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = labels.join(moved, [*keys, "root"], "left").select(*keys, "node", F.coalesce("next", "root").alias("root"))
+            labels = cut_lineage(labels.join(moved, [*keys, "root"], "left").select(*keys, "node", F.coalesce("next", "root").alias("root")))
         to_u = step.select(*keys, F.col("node").alias("u"), F.col("root").alias("ru"))
         to_v = step.select(*keys, F.col("node").alias("v"), F.col("root").alias("rv"))
         edges = cut_lineage(
@@ -183,10 +185,8 @@ def contract(edges: DataFrame, keys: Sequence[str], max_rounds: int = 64) -> Dat
             .select(*keys, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
         )
         if edges.isEmpty():
-            labels = cut_lineage(labels)
             names = labels.groupBy(*keys, "root").agg(F.min("node").alias("first"))
             return labels.join(names, [*keys, "root"]).select(*keys, "node", F.col("first").alias("root"))
-    raise RuntimeError(f"regions did not settle in {max_rounds} rounds")
 
 
 def _point_and_jump(edges: DataFrame, keys: list[str], turn: int) -> DataFrame:
@@ -294,23 +294,25 @@ def iou_pairs(labelled: DataFrame, regions: DataFrame, pred: str, truth: str) ->
     return joined.withColumn("iou", F.col("inter") / (F.col("p_area") + F.col("t_area") - F.col("inter")))
 
 
-def greedy_match(pairs: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("image_id", "class_id"), max_rounds: int = 1000) -> DataFrame:
+def greedy_match(pairs: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("image_id", "class_id")) -> DataFrame:
     """One-to-one pairs by falling IoU, ties by (p, t).
 
     A pair that is best for both its ends is what the greedy walk takes first; taking all
-    such pairs and dropping what they use, until nothing is left, gives the greedy result.
-    From .5 upwards disjoint regions leave no second choice, so one round settles it.
+    such pairs and dropping what they use, until nothing is left, gives the greedy result;
+    there is no limit to the rounds, and a chain of falling IoU takes one for every two links.
+    From .5 upwards regions that are disjoint on each side leave no second choice, so one
+    round settles it; overlapping regions of one side must not be matched at such thresholds.
     """
     keys = list(keys)
     left = cut_lineage(pairs.where(F.col("iou") >= threshold).select(*keys, "p", "t", "iou"))
     taken: DataFrame | None = None
     rank = F.struct((-F.col("iou")).alias("r"), F.col("p"), F.col("t"))
-    for _ in range(max_rounds):
+    while True:
         best_p = left.groupBy(*keys, "p").agg(F.min(rank).alias("best_p"))
         best_t = left.groupBy(*keys, "t").agg(F.min(rank).alias("best_t"))
         ranked = left.join(best_p, [*keys, "p"]).join(best_t, [*keys, "t"])
         mutual = cut_lineage(ranked.where((rank == F.col("best_p")) & (rank == F.col("best_t"))).select(*keys, "p", "t", "iou"))
-        taken = mutual if taken is None else taken.unionByName(mutual)
+        taken = mutual if taken is None else cut_lineage(taken.unionByName(mutual))
         if threshold >= 0.5:
             return taken
         left = cut_lineage(
@@ -318,7 +320,6 @@ def greedy_match(pairs: DataFrame, threshold: float = 0.5, keys: Sequence[str] =
         )
         if left.isEmpty():
             return taken
-    raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
 
 
 def object_metrics(regions: DataFrame, matches: DataFrame, pred: str, truth: str) -> DataFrame:

@@ -11,10 +11,11 @@ from panescan import schema
 from panescan.operators.raster import length
 
 
-def class_stats(runs: DataFrame, frame_pixels: int | Column, keys: Sequence[str] = ("image_id", "layer")) -> DataFrame:
+def class_stats(runs: DataFrame, frame_pixels: int | Column, keys: Sequence[str] = ("image_id", "layer"), masks: DataFrame | None = None) -> DataFrame:
     """Pixels and percentage per class, zero rows included.
 
-    Background is what the defect runs leave of the frame, so background runs may be
+    ``masks`` lists the masks that exist (the keys, one row each), so that one without runs is
+    all background; without it such a mask gives no rows.  Background is what the defect runs leave of the frame, so background runs may be
     present or not.  One aggregation, then an in-row expansion.
     """
     frame = F.lit(frame_pixels) if isinstance(frame_pixels, int) else frame_pixels
@@ -22,6 +23,8 @@ def class_stats(runs: DataFrame, frame_pixels: int | Column, keys: Sequence[str]
     wide = runs.groupBy(*keys).agg(
         *[F.sum(F.when(F.col("class_id") == c, length()).otherwise(0)).alias(f"n{c}") for c in defects]
     )
+    if masks is not None:
+        wide = masks.select(*keys).join(wide, list(keys), "left").na.fill(0, [f"n{c}" for c in defects])
     rest = frame - sum((F.col(f"n{c}") for c in defects), F.lit(0))
     cells = F.array(
         F.struct(F.lit(0).alias("class_id"), rest.cast("bigint").alias("pixels")),

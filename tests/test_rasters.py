@@ -173,6 +173,44 @@ def test_focal_over_tile_borders(spark, stat, size, shape):
             assert got[y, x] == want, (y, x)
 
 
+@pytest.mark.parametrize("stat,size", [("max", 3), ("median", 5)])
+def test_focal_of_images_of_different_sizes(spark, stat, size):
+    arrays = {1: RNG.integers(0, 256, (8, 8)), 2: RNG.integers(0, 256, (12, 13)), 3: RNG.integers(0, 256, (6, 5))}
+    tiles = raster.pixels_to_tiles(pixel_rows(spark, {(i, "g"): a for i, a in arrays.items()}), 4)
+    frames = spark.createDataFrame([(i, *a.shape) for i, a in arrays.items()], "image_id long, height int, width int")
+    out = raster.tiles_to_pixels(focal.focal(tiles, 4, frames, stat, size)).cache()
+    for i, a in arrays.items():
+        one, padded, r = out.where(F.col("image_id") == i), np.pad(a, size // 2, mode="edge"), size
+        assert one.count() == a.size
+        part = lambda y, x: np.sort(padded[y : y + r, x : x + r].ravel())  # noqa: B023, E731
+        want = [[part(y, x)[-1 if stat == "max" else r * r // 2] for x in range(a.shape[1])] for y in range(a.shape[0])]
+        assert (dense(one, a.shape) == np.array(want)).all()
+    with pytest.raises(Exception, match="outside the frame"):
+        focal.focal(tiles, 4, (8, 8), stat, size).count()
+
+
+def test_class_stats_of_a_mask_without_runs(spark):
+    runs = spark.createDataFrame([(1, "pred", 2, 0, 0, 4)], "image_id long, layer string, class_id int, y int, x0 int, x1 int")
+    listed = spark.createDataFrame([(1, "pred"), (2, "pred")], "image_id long, layer string")
+    rows = {(r["image_id"], r["class_id"]): r["pixels"] for r in summary.class_stats(runs, 20, masks=listed).collect()}
+    assert rows == {(1, 0): 15, (1, 1): 0, (1, 2): 5, (1, 3): 0, (2, 0): 20, (2, 1): 0, (2, 2): 0, (2, 3): 0}
+
+
+def test_set_algebra_of_overlapping_layers(spark):
+    schema = "image_id long, layer string, class_id int, y int, x0 int, x1 int"
+    runs = spark.createDataFrame([(1, "a", 1, 0, 0, 9), (1, "b", 2, 0, 5, 14), (1, "c", 1, 0, 0, 3)], schema)
+    other = spark.createDataFrame([(1, "o", 3, 0, 4, 7), (1, "p", 3, 0, 6, 7)], schema)
+    shown = lambda d: sorted((r["class_id"], r["x0"], r["x1"]) for r in d.collect())
+    assert shown(masks.intersect_runs(runs, other)) == [(1, 4, 7), (2, 5, 7)]
+    assert shown(masks.except_runs(runs, other)) == [(1, 0, 3), (1, 8, 9), (2, 8, 14)]
+
+
+def test_long_chain_of_falling_overlaps_is_matched(spark):
+    chain = [(1, 1, i, i + d, 0.49 - 0.001 * (2 * i + d)) for i in range(30) for d in (0, 1)]
+    got = regions.greedy_match(spark.createDataFrame(chain, "image_id long, class_id int, p long, t long, iou double"), 0.1)
+    assert sorted((r["p"], r["t"]) for r in got.collect()) == [(i, i) for i in range(30)]
+
+
 def test_defect_extraction_finds_a_spot(spark):
     # grain keeps the Otsu level above 10; on a perfectly flat photo t-10 is negative and marks all
     a = 200 - np.random.default_rng(5).integers(0, 25, (24, 24))
