@@ -152,7 +152,7 @@ def valid_boundary(spark, sf_dir):
     )
 
 
-@query("first_valid_boundary", "boxes frames", CANDS.replace("from boxes)", "from boxes where ann_id%3<>0)") + f""", im as (select image_id, w+2*x frame_w, h+2*y frame_h from frames),
+@query("first_valid_boundary", "boxes frames", CANDS + f""", im as (select image_id, w+2*x frame_w, h+2*y frame_h from frames),
  v as (select c.image_id, c.x, c.y, c.w, c.h, c.cand_id%4 prio from cand c join im i using (image_id) where {VALID.replace('frame_w', 'i.frame_w').replace('frame_h', 'i.frame_h').replace('x', 'c.x').replace('y>', 'c.y>').replace('y+', 'c.y+')}
    qualify row_number() over (partition by c.image_id order by prio, c.x, c.y, c.w, c.h)=1)
 select im.image_id, coalesce(x,trunc(frame_w*0.12e0)::bigint) x, coalesce(y,trunc(frame_h*0.15e0)::bigint) y,
@@ -160,7 +160,7 @@ select im.image_id, coalesce(x,trunc(frame_w*0.12e0)::bigint) x, coalesce(y,trun
  from im left join v using (image_id)""")
 def first_valid_boundary(spark, sf_dir):
     images = frames(spark, sf_dir).select("image_id", (C("w") + 2 * C("x")).alias("frame_w"), (C("h") + 2 * C("y")).alias("frame_h"))
-    cands = candidates(spark, sf_dir).where("cand_id % 3 <> 0").select("image_id", (C("cand_id") % 4).alias("prio"), "x", "y", "w", "h")
+    cands = candidates(spark, sf_dir).select("image_id", (C("cand_id") % 4).alias("prio"), "x", "y", "w", "h")
     return geo.first_valid(images, cands)
 
 

@@ -66,10 +66,10 @@ VALID = f""", v as (select dir, bool_or(name='synthetic_dirty_patch.png') i, boo
 
 def validate_query(name, require):
     ok = "i and l and (m0 or m1)" if require else "i and l and masks<>''"
-    multi = "case when not (m0 or m1) then 'No multi-class masks found (required)' end," if require else ""
+    multi = "case when not (m0 or m1) then 'a multi-class mask is required and absent' end," if require else ""
 
     @query(name, "files", VALID + f"""select dir, case when i and l and m0 then 'multiclass' when i and l and m2 then 'binary' else 'unknown' end sample_type, i has_image, l has_labels, masks, {ok} valid,
- concat_ws('; ', case when not i then 'Missing image file: synthetic_dirty_patch.png' end, case when not l then 'Missing labels file: labels_patch.json' end, {multi} case when masks='' then 'No mask files found' end) errors from w""")
+ concat_ws('; ', case when not i then 'no synthetic_dirty_patch.png: the sample has no picture' end, case when not l then 'no labels_patch.json: the sample has no annotations' end, {multi} case when masks='' then 'the sample has no mask' end) errors from w""")
     def run(spark, sf_dir):
         out = catalog.validate_samples(files(spark, sf_dir), require)
         return out.withColumns({"masks": F.concat_ws(",", "masks"), "errors": F.concat_ws("; ", "errors")})

@@ -108,16 +108,17 @@ def paste_mask(spark, sf_dir):
     return g.paste(m, -2, 4, 14, 10, (8, 8), (12, 6))
 
 
-@query("augment_layers", "gray", """select image_id, op, case op when 'hflip' then y when 'vflip' then 7-y when 'rot90' then 7-x else x end y,
- case op when 'hflip' then 7-x when 'vflip' then x when 'rot90' then y else y end x, value
- from gray, (values ('hflip'),('vflip'),('rot90'),('transpose')) o(op)
- where ('0x'||substr(md5('7-'||op||'-'||image_id),1,8))::bigint/4294967296.0e0 < 0.5e0""")
+@query("augment_layers", "gray", """, d as (select *, ('0x'||substr(md5('7-'||op||'-'||image_id),1,8))::bigint/4294967296.0e0 < 0.5e0 as drawn
+ from gray, (values ('hflip'),('vflip'),('rot90'),('transpose')) o(op))
+select image_id, op, case when not drawn or op='hflip' then y when op='vflip' then 7-y when op='rot90' then 7-x else x end y,
+ case when not drawn or op='vflip' then x when op='hflip' then 7-x else y end x, value from d""")
 def augment_layers(spark, sf_dir):
     p = gray(spark, sf_dir)
     parts = []
     for op in ("hflip", "vflip", "rot90", "transpose"):
-        drawn = p.where(uniform(7, F.lit(op), F.col("image_id")) < 0.5)
-        parts.append(g.flip_and_turn(drawn, op, 8, 8).withColumn("op", F.lit(op)))
+        drawn = uniform(7, F.lit(op), F.col("image_id")) < 0.5
+        turned = g.flip_and_turn(p.where(drawn), op, 8, 8).unionByName(p.where(~drawn))  # an image that is not drawn stays as it is
+        parts.append(turned.withColumn("op", F.lit(op)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -209,10 +209,10 @@ def validate_samples(files: DataFrame, require_multiclass: bool = False) -> Data
     has_multi = F.exists(masks, lambda m: m.contains("multiclass"))
     complete = F.col("has_image") & F.col("has_labels")
     errors = [
-        F.when(~F.col("has_image"), F.lit(f"Missing image file: {SAMPLE_IMAGE}")),
-        F.when(~F.col("has_labels"), F.lit(f"Missing labels file: {SAMPLE_LABELS}")),
-        F.when(~has_multi, F.lit("No multi-class masks found (required)")) if require_multiclass else F.lit(None).cast("string"),
-        F.when(~has_masks, F.lit("No mask files found")),
+        F.when(~F.col("has_image"), F.lit(f"no {SAMPLE_IMAGE}: the sample has no picture")),
+        F.when(~F.col("has_labels"), F.lit(f"no {SAMPLE_LABELS}: the sample has no annotations")),
+        F.when(~has_multi, F.lit("a multi-class mask is required and absent")) if require_multiclass else F.lit(None).cast("string"),
+        F.when(~has_masks, F.lit("the sample has no mask")),
     ]
     kind = F.when(complete & F.col("m0"), "multiclass").when(complete & F.col("m2"), "binary").otherwise("unknown")
     return seen.select(
