@@ -85,14 +85,15 @@ def inspect_full_batch(spark, sf_dir):
  s as (select image_id, k, count(*) filter (p=k and t=k) i, count(*) filter (p=k) pn, count(*) filter (t=k) tn from j, range(4) r(k) group by all)
 select image_id, k::int class_id, i::bigint inter, pn::bigint pred_n, tn::bigint true_n, round(case when pn+tn-i>0 then i/(pn+tn-i)::double else 1 end,6) iou, round(case when pn+tn>0 then 2*i/(pn+tn)::double else 1 end,6) dice from s""")
 def inspect_patches_against_truth(spark, sf_dir):
-    own = C("image_id") * F.lit(1 << 20) + F.floor(C("y") / 4) * 2 + F.floor(C("x") / 4)
+    patch = F.floor(C("y") / 4) * 2 + F.floor(C("x") / 4)
     truth = gray(spark, sf_dir).select(
-        own.alias("image_id"), F.lit("truth").alias("layer"), (C("y") % 4).alias("y"), (C("x") % 4).alias("x"), F.least(F.lit(3), F.floor(C("value") / 64)).cast("int").alias("value")
+        "image_id", patch.alias("patch_id"), F.lit("truth").alias("layer"), (C("y") % 4).alias("y"), (C("x") % 4).alias("x"), F.least(F.lit(3), F.floor(C("value") / 64)).cast("int").alias("value")
     )
     out = inspect(
-        photo_tiles(spark, sf_dir), photo_frames(spark, sf_dir), level_scorer, patch_size=4, overlap=0, tile=8, full=False, truth=raster.pixels_to_runs(truth)
+        photo_tiles(spark, sf_dir), photo_frames(spark, sf_dir), level_scorer, patch_size=4, overlap=0, tile=8, full=False, truth=raster.pixels_to_runs(truth, ("image_id", "patch_id", "layer"))
     )
-    return out["metrics"].select("image_id", "class_id", "inter", "pred_n", "true_n", r6("iou", "iou"), r6("dice", "dice"))
+    own = (C("image_id") * F.lit(1 << 20) + C("patch_id")).alias("image_id")
+    return out["metrics"].select(own, "class_id", "inter", "pred_n", "true_n", r6("iou", "iou"), r6("dice", "dice"))
 
 
 def bright_detector():

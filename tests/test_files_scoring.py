@@ -249,3 +249,34 @@ def test_every_scorer_is_its_own(spark):
         assert np.frombuffer(scored["probs"], np.float32)[0] == level
     for i in range(10):
         assert scoring._worker_scorer(str(i), lambda i=i: i) == i and len(scoring._loaded) <= scoring.LOADED
+
+
+@pytest.mark.parametrize("full", [True, False])
+@pytest.mark.parametrize("with_truth", [True, False])
+@pytest.mark.parametrize("only", [None, 2**62 + 5])
+def test_inspection_scores_every_patch_once(spark, full, with_truth, only):
+    """All eight modes, with image ids as large as hashes: one model call per patch over all tables."""
+    ids = [2**62 + 5, -(2**62)]
+    tiles = raster.pixels_to_tiles(pixel_rows(spark, {(i, "g"): RNG.integers(0, 256, (8, 8)) for i in ids}), 8)
+    frames = spark.createDataFrame([(i, 0, 0, 8, 8) for i in ids], "image_id long, x int, y int, w int, h int")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting():
+        def predict(images):
+            calls.add(1)
+            return np.stack([1 - images, images, images * 0, images * 0], axis=1)
+
+        return predict
+
+    truth = None
+    if with_truth:
+        keys = "image_id long, layer string, class_id int, y int, x0 int, x1 int" + ("" if full else ", patch_id long")
+        truth = spark.createDataFrame([(i, "truth", 1, 0, 0, 3, *([] if full else [0])) for i in ids], keys)
+    tables = inspect(tiles, frames, counting, patch_size=4, overlap=0, tile=8, full=full, truth=truth, only_image=only)
+    images = {only} if only else set(ids)
+    names = ["status", "class_runs", "class_stats", "regions", *(["metrics"] if with_truth else [])]
+    for name in names:
+        rows = tables[name].collect()
+        assert {r["image_id"] for r in rows} == images, name
+        assert full or {r["patch_id"] for r in rows} <= set(range(4)), name
+    assert tables["summary"].count() > 0 and calls.value == 4 * len(images)
