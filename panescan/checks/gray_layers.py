@@ -108,6 +108,42 @@ def paste_mask(spark, sf_dir):
     return g.paste(m, -2, 4, 14, 10, (8, 8), (12, 6))
 
 
+def sized(spark, sf_dir):
+    """The grey levels laid out anew: heights 2 to 32 and widths 64 // height, by image."""
+    pos, h = F.col("y") * 8 + F.col("x"), F.expr("shiftleft(1, cast(1 + image_id % 5 as int))")
+    rows = gray(spark, sf_dir).select("image_id", pos.alias("pos"), "value", h.alias("h")).withColumn("w", F.expr("64 div h").cast("int"))
+    return rows.select("image_id", F.expr("pos div w").cast("int").alias("y"), (F.col("pos") % F.col("w")).alias("x"), "value", "h", "w")
+
+
+SIZED = """, p as (select image_id, y*8+x pos, value, (2**(1+image_id%5))::int h, (64//(2**(1+image_id%5))::int)::int w from gray),
+ sized as (select image_id, (pos//w)::int y, (pos%w)::int x, value, h, w from p)"""
+SIZES = SIZED + ", sizes as (select distinct image_id, h, w from sized)"
+
+
+@query("downscale_by_frame", "gray", SIZED + " select image_id, y//3 y, x//3 x, round(avg(value),6) as value from sized where y<h//3*3 and x<w//3*3 group by all")
+def downscale_by_frame(spark, sf_dir):
+    return g.downscale(sized(spark, sf_dir), 3, F.col("h"), F.col("w")).select("image_id", "y", "x", r6("value", "value"))
+
+
+@query("resize_by_frame", "gray", SIZES + """ select i.image_id, a.y::int y, b.x::int x, g.value from sizes i, range(11) a(y), range(40) b(x), sized g
+ where b.x<i.w+3 and g.image_id=i.image_id and g.y=a.y*i.h//11 and g.x=b.x*i.w//(i.w+3)""")
+def resize_by_frame(spark, sf_dir):
+    return g.resize_nearest(sized(spark, sf_dir), (F.col("h"), F.col("w")), (11, F.col("w") + 3))
+
+
+@query("paste_by_frame", "gray", SIZES + """ select i.image_id, (a.y+1)::int y, (b.x-1)::int x, 1 as value from sizes i, range(64) a(y), range(64) b(x), sized g
+ where a.y<2*i.h and b.x<i.w and g.image_id=i.image_id and g.y=a.y*i.h//(2*i.h) and g.x=b.x and g.value>100 and a.y+1<i.h+2 and b.x>=1 and b.x-1<i.w-1""")
+def paste_by_frame(spark, sf_dir):
+    h, w = F.col("h"), F.col("w")
+    mask = sized(spark, sf_dir).withColumn("value", (F.col("value") > 100).cast("int"))
+    return g.paste(mask, -1, 1, h + 2, w - 1, (h, w), (2 * h, w))
+
+
+@query("turn_by_frame", "gray", SIZED + " select image_id, w-1-x y, y x, value from sized")
+def turn_by_frame(spark, sf_dir):
+    return g.flip_and_turn(sized(spark, sf_dir), "rot90", F.col("h"), F.col("w")).drop("h", "w")
+
+
 @query("augment_layers", "gray", """, d as (select *, ('0x'||substr(md5('7-'||op||'-'||image_id),1,8))::bigint/4294967296.0e0 < 0.5e0 as drawn
  from gray, (values ('hflip'),('vflip'),('rot90'),('transpose')) o(op))
 select image_id, op, case when not drawn or op='hflip' then y when op='vflip' then 7-y when op='rot90' then 7-x else x end y,
@@ -152,6 +188,15 @@ def focal_filters(spark, sf_dir):
     return out
 
 
+@query("focal_by_frame", "gray", SIZED + """ select g.image_id, g.y, g.x, max(b.value)::int as value from sized g, range(-1,2) dy(dy), range(-1,2) dx(dx), sized b
+ where b.image_id=g.image_id and b.y=least(g.h-1,greatest(0,g.y+dy.dy)) and b.x=least(g.w-1,greatest(0,g.x+dx.dx)) group by all""")
+def focal_by_frame(spark, sf_dir):
+    p = sized(spark, sf_dir)
+    frames = p.groupBy("image_id").agg(F.first("h").alias("height"), F.first("w").alias("width"))
+    tiles = raster.pixels_to_tiles(p.select("image_id", F.lit("g").alias("layer"), "y", "x", "value"), 4)
+    return raster.tiles_to_pixels(fo.focal(tiles, 4, frames, "max", 3)).drop("layer")
+
+
 @query("focal_opening", "gray", NEAR + """, e as (select image_id,y,x,min(v) v from n group by all),
  m as (select g.image_id, g.y, g.x, max(b.v)::int as value from e g, range(-1,2) dy(dy), range(-1,2) dx(dx), e b
   where b.image_id=g.image_id and b.y=least(7,greatest(0,g.y+dy.dy)) and b.x=least(7,greatest(0,g.x+dx.dx)) group by all) select * from m""")

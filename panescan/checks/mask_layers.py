@@ -129,14 +129,23 @@ rule_query("mask_rule_full_multi", "full_multi", "least(value,3)")
 rule_query("mask_rule_full_binary", "full_binary", "case when (case when hi>1 then value>127 else value=1 end) then 2 else 0 end")
 
 
-@query("mask_audit", None, "with " + RAW + """, d as (select image_id, value, count(*) n from rv group by all)
+def audit(right: str) -> str:
+    return "with " + RAW + f""", d as (select image_id, value, count(*) n from rv group by all)
 select image_id, sum(n)::bigint n_pixels, bool_and(value=0) background_only,
  coalesce(array_to_string(list_sort(list(value) filter (value not in (0,1,2,3)))[1:5],','),'') unexpected,
- count(*) filter (value not in (0,1,2,3))::bigint n_unexpected, sum(n)=64 shape_ok, sum(n)=64 and count(*) filter (value not in (0,1,2,3))=0 ok from d group by 1""")
+ count(*) filter (value not in (0,1,2,3))::bigint n_unexpected, sum(n)=8*{right} shape_ok, sum(n)=8*{right} and count(*) filter (value not in (0,1,2,3))=0 ok from d group by image_id"""
+
+
+@query("mask_audit", None, audit("8"))
 def mask_audit(spark, sf_dir):
     return masks.mask_audit(raw_masks(spark, sf_dir), [0, 1, 2, 3], ["image_id"], (8, 8))
 
 
+@query("mask_audit_by_frame", None, audit("(8+image_id%2)"))
+def mask_audit_by_frame(spark, sf_dir):
+    return masks.mask_audit(raw_masks(spark, sf_dir), [0, 1, 2, 3], ["image_id"], (8, 8 + F.col("image_id") % 2))
+
+
 PAL = "(values " + ",".join(f"({r},{g},{b},{c})" for r, g, b, _, c in schema.PALETTE) + ",(255,255,255,0)) pal(r,g,b,c)"
 PALETTE_LIST = [(r, g, b) for r, g, b, _, _ in schema.PALETTE] + [(255, 255, 255)]
 

@@ -82,17 +82,29 @@ def full_metrics(spark, sf_dir):
 DISC = "(values (-3,0),(-2,2),(-1,3),(0,3),(1,3),(2,2),(3,0)) d(dy,hw)"
 
 
-@query("dilated_metrics", "mask", f""", grown as (select distinct image_id, layer, value class_id, y+dy y, x+dx x from mask,
-   {DISC}, range(-3,4) e(dx) where abs(dx)<=hw and y+dy between 0 and 39 and x+dx between 0 and 49),
+def dilated(bottom: str, right: str) -> str:
+    return f""", grown as (select distinct image_id, layer, value class_id, y+dy y, x+dx x from mask,
+   {DISC}, range(-3,4) e(dx) where abs(dx)<=hw and y+dy between 0 and {bottom} and x+dx between 0 and {right}),
 s as (select image_id, class_id, count(*) filter (n=2) i, count(*) filter (p) pn, count(*) filter (t) tn from
  (select image_id, class_id, y, x, count(*) n, bool_or(layer='pred') p, bool_or(layer='truth') t from grown group by all) group by all)
 select image_id, class_id::int class_id, round(case when pn>0 and tn>0 then i/(pn+tn-i)::double else 0 end,6) iou,
- round(case when pn>0 and tn>0 then 2*i/(pn+tn)::double else 0 end,6) dice from s""")
+ round(case when pn>0 and tn>0 then 2*i/(pn+tn)::double else 0 end,6) dice from s"""
+
+
+@query("dilated_metrics", "mask", dilated("39", "49"))
 def dilated_metrics(spark, sf_dir):
     sums = metrics.dilated_sums(class_runs(spark, sf_dir), "pred", "truth", 3, MASK_H, MASK_W)
     return metrics.dilated_metrics(sums).select("image_id", "class_id", r6("iou", "iou"), r6("dice", "dice"))
 
 
+@query("dilated_metrics_by_frame", "mask", dilated("39+image_id%3", "49+image_id%4"))
+def dilated_metrics_by_frame(spark, sf_dir):
+    """Frames that reach beyond the masks by up to two rows and three columns, by image."""
+    h, w = MASK_H + F.col("image_id") % 3, MASK_W + F.col("image_id") % 4
+    sums = metrics.dilated_sums(class_runs(spark, sf_dir), "pred", "truth", 3, h, w)
+    return metrics.dilated_metrics(sums).select("image_id", "class_id", r6("iou", "iou"), r6("dice", "dice"))
+
+
 @query("binary_pixel_metrics", "mask", JOINED + """, b as (select image_id, count(*) filter (p>0 and t>0) tp,
  count(*) filter (p>0 and t=0) fp, count(*) filter (p=0 and t>0) fn from j group by 1)
 select image_id, tp::bigint tp, fp::bigint fp, fn::bigint fn, round(case when tp+fp>0 then tp/(tp+fp)::double else 0 end,6) "precision",

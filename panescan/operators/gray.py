@@ -64,9 +64,10 @@ def otsu_threshold(hist: DataFrame, keys: Sequence[str] = ("image_id",)) -> Data
         F.sum(n).over(whole).alias("w"),
         F.sum(n * v).over(whole).alias("s"),
     )
-    gap = F.col("s0") * F.col("w") - F.col("s") * F.col("w0")
+    exact = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  (products of large photos leave 64 bits)
+    gap = (exact("s0") * exact("w") - exact("s") * exact("w0")).cast("double")
     between = F.coalesce(
-        F.try_divide(gap.cast("double") * gap, F.col("w0").cast("double") * (F.col("w") - F.col("w0"))), F.lit(0.0)
+        F.try_divide(gap * gap, F.col("w0").cast("double") * (F.col("w") - F.col("w0"))), F.lit(0.0)
     )
     best = F.min_by("value", F.struct(-F.col("score"), F.col("value")))
     return sums.withColumn("score", between).groupBy(*keys).agg(best.alias("threshold"))
@@ -96,26 +97,29 @@ def area_threshold(hist: DataFrame, start: int = 64, share: float = 0.62, floor:
     )
 
 
+def number(v: int | Column) -> Column:
+    """A size: one for all images, or a column of the layer that gives each image its own."""
+    return v if isinstance(v, Column) else F.lit(v)
+
+
 def downscale(layer: DataFrame, factor: int, height: int | Column, width: int | Column, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Area mean by a whole factor; a remainder row or column is cut off."""
     if factor == 1:
         return layer
     y, x = F.floor(F.col("y") / factor).cast("int"), F.floor(F.col("x") / factor).cast("int")
-    h = height if isinstance(height, Column) else F.lit(height)
-    w = width if isinstance(width, Column) else F.lit(width)
-    whole = (F.col("y") < F.floor(h / factor) * factor) & (F.col("x") < F.floor(w / factor) * factor)
+    whole = (F.col("y") < F.floor(number(height) / factor) * factor) & (F.col("x") < F.floor(number(width) / factor) * factor)
     return layer.where(whole).groupBy(*keys, y.alias("y"), x.alias("x")).agg(F.avg("value").alias("value"))
 
 
-def resize_nearest(layer: DataFrame, size: tuple[int, int], target: tuple[int, int], keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def resize_nearest(layer: DataFrame, size: tuple[int | Column, int | Column], target: tuple[int | Column, int | Column], keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Nearest resize for masks: target row i reads source row floor(i*h/H).
 
     Each source pixel knows its own target rows and columns, so growing is an explode
     and shrinking a filter; no join and no target grid.
     """
-    (h, w), (th, tw) = size, target
+    (h, w), (th, tw) = map(number, size), map(number, target)
 
-    def span(c: str, n: int, m: int) -> Column:
+    def span(c: str, n: Column, m: Column) -> Column:
         first = F.ceil(F.col(c) * m / n)
         last = F.ceil((F.col(c) + 1) * m / n) - 1
         return F.when(last >= first, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -134,22 +138,29 @@ def crop(layer: DataFrame, x, y, w, h) -> DataFrame:
     )
 
 
-def paste(layer: DataFrame, x, y, frame_h, frame_w, size: tuple[int, int], target: tuple[int, int], keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Mask resized to ``target``, put at (x, y), cut at the frame and made 0/1; background rows vanish."""
+def paste(layer: DataFrame, x, y, frame_h, frame_w, size: tuple[int | Column, int | Column], target: tuple[int | Column, int | Column], keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Mask resized to ``target``, put at (x, y), cut at the frame and made 0/1; background rows vanish.
+
+    Places and sizes are numbers or columns of the layer.
+    """
+    place = {"at_x": x, "at_y": y, "frame_h": frame_h, "frame_w": frame_w}
+    placed = layer.where("value > 0").withColumns({c: number(v) for c, v in place.items()})
     return (
-        resize_nearest(layer.where("value > 0"), size, target, keys)
-        .select(*keys, (F.col("y") + y).cast("int").alias("y"), (F.col("x") + x).cast("int").alias("x"), F.lit(1).alias("value"))
-        .where((F.col("x") >= 0) & (F.col("x") < frame_w) & (F.col("y") >= 0) & (F.col("y") < frame_h))
+        resize_nearest(placed, size, target, [*keys, *place])
+        .withColumns({"y": (F.col("y") + F.col("at_y")).cast("int"), "x": (F.col("x") + F.col("at_x")).cast("int")})
+        .where("x >= 0 and x < frame_w and y >= 0 and y < frame_h")
+        .select(*keys, "y", "x", F.lit(1).alias("value"))
     )
 
 
-def flip_and_turn(layer: DataFrame, op: str, height: int, width: int) -> DataFrame:
+def flip_and_turn(layer: DataFrame, op: str, height: int | Column, width: int | Column) -> DataFrame:
     """Coordinate maps: hflip, vflip, rot90 (counter-clockwise), transpose."""
     y, x = F.col("y"), F.col("x")
+    height, width = number(height), number(width)
     maps = {
-        "hflip": (y, F.lit(width - 1) - x),
-        "vflip": (F.lit(height - 1) - y, x),
-        "rot90": (F.lit(width - 1) - x, y),
+        "hflip": (y, width - 1 - x),
+        "vflip": (height - 1 - y, x),
+        "rot90": (width - 1 - x, y),
         "transpose": (x, y),
     }
     new_y, new_x = maps[op]

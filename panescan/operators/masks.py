@@ -227,15 +227,20 @@ def error_code(pred: Column, truth: Column) -> Column:
 
 
 # -------------------------------------------------------------------------------- audit
-def mask_audit(layer: DataFrame, expected: Sequence[int], keys: Sequence[str] = ("image_id", "layer"), size: tuple[int, int] | None = None) -> DataFrame:
-    """Unexpected values, background-only flag, pixel count and shape check per mask."""
+def mask_audit(layer: DataFrame, expected: Sequence[int], keys: Sequence[str] = ("image_id", "layer"), size: tuple[int | Column, int | Column] | None = None) -> DataFrame:
+    """Unexpected values, background-only flag, pixel count and shape check per mask.
+
+    ``size`` is one height and width for all masks, or columns of ``layer`` that hold each mask's own.
+    """
+    wanted = F.lit(None) if size is None else F.max(F.lit(1) * size[0] * size[1])
     agg = layer.groupBy(*keys).agg(
         F.collect_set("value").alias("found"),
         F.count(F.lit(1)).alias("n_pixels"),
         F.bool_and(F.col("value") == 0).alias("background_only"),
+        wanted.alias("wanted"),
     )
     odd = F.array_sort(F.array_except("found", F.array(*[F.lit(v) for v in expected])))
-    good_shape = F.lit(True) if size is None else F.col("n_pixels") == size[0] * size[1]
+    good_shape = F.lit(True) if size is None else F.coalesce(F.col("n_pixels") == F.col("wanted"), F.lit(False))
     return agg.select(
         *keys,
         "n_pixels",

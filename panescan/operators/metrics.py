@@ -102,8 +102,12 @@ def disc_half_widths(radius: int) -> list[int]:
     return [round((radius * radius - dy * dy) ** 0.5) for dy in range(-radius, radius + 1)]
 
 
-def dilate_runs(runs: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    """Each run grows to one run per footprint row, cut at the frame; results may overlap."""
+def dilate_runs(runs: DataFrame, radius: int, height: int | Column, width: int | Column) -> DataFrame:
+    """Each run grows to one run per footprint row, cut at the frame; results may overlap.
+
+    ``height`` and ``width`` are one size for all images, or columns of ``runs``.
+    """
+    height, width = (v if isinstance(v, Column) else F.lit(v) for v in (height, width))
     rows = F.array(
         *[
             F.struct(F.lit(dy).alias("dy"), F.lit(hw).alias("hw"))
@@ -117,13 +121,13 @@ def dilate_runs(runs: DataFrame, radius: int, height: int, width: int) -> DataFr
             *keep,
             (F.col("y") + F.col("dy")).alias("y"),
             F.greatest(F.col("x0") - F.col("hw"), F.lit(0)).alias("x0"),
-            F.least(F.col("x1") + F.col("hw"), F.lit(width - 1)).alias("x1"),
+            F.least(F.col("x1") + F.col("hw"), width - 1).cast("int").alias("x1"),
         )
         .where((F.col("y") >= 0) & (F.col("y") < height))
     )
 
 
-def dilated_sums(runs: DataFrame, pred: str, truth: str, radius: int, height: int, width: int) -> DataFrame:
+def dilated_sums(runs: DataFrame, pred: str, truth: str, radius: int, height: int | Column, width: int | Column) -> DataFrame:
     """inter, pred_n, true_n per (image, class) after growing every class on its own.
 
     Grown runs overlap each other; the sweep counts cover depth, so no merge is needed.

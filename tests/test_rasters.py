@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import dense, flood, pixel_rows
-from panescan.operators import focal, geometry, masks, metrics, raster, regions, summary
+from panescan.operators import focal, geometry, gray, masks, metrics, raster, regions, summary
 
 RNG = np.random.default_rng(7)
 
@@ -189,6 +189,41 @@ def test_focal_of_images_of_different_sizes(spark, stat, size):
         focal.focal(tiles, 4, (8, 8), stat, size).count()
 
 
+def test_resize_paste_dilation_and_audit_of_images_of_different_sizes(spark):
+    arrays = {1: RNG.integers(0, 3, (8, 8)), 2: RNG.integers(0, 3, (12, 13)), 3: RNG.integers(0, 3, (6, 5))}
+    px = pixel_rows(spark, {(i, "g"): a for i, a in arrays.items()})
+    sizes = spark.createDataFrame([(i, *a.shape) for i, a in arrays.items()], "image_id long, h int, w int")
+    sized, h, w = px.join(sizes, "image_id").cache(), F.col("h"), F.col("w")
+    resized = gray.resize_nearest(sized, (h, w), (2 * h - 3, 7)).cache()
+    pasted = gray.paste(sized, w - 4, -1, h, w, (h, w), (h + 2, w)).cache()
+    runs = raster.pixels_to_runs(px).where("class_id = 1").join(sizes, "image_id")
+    row = ("image_id", "y")
+    events = raster.run_events(metrics.dilate_runs(runs, 3, h, w), row, n=F.lit(1).cast("bigint"))
+    grown = raster.sweep(events, row, ["n"]).where("n > 0").select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.lit(1).alias("value")).cache()
+    for i, a in arrays.items():
+        of = lambda d: d.where(F.col("image_id") == i)  # noqa: B023, E731
+        (n, m), th = a.shape, 2 * a.shape[0] - 3
+        want = a[np.arange(th) * n // th][:, np.arange(7) * m // 7]
+        assert of(resized).count() == want.size and (dense(of(resized), want.shape) == want).all()
+        want = np.zeros_like(a)
+        larger = a[np.arange(n + 2) * n // (n + 2)] > 0
+        want[:, m - 4 :] = larger[1 : n + 1, :4]
+        assert (dense(of(pasted), a.shape) == want).all()
+        want = np.zeros_like(a)
+        for y, x in zip(*np.nonzero(a == 1)):
+            for dy, hw in zip(range(-3, 4), [0, 2, 3, 3, 3, 2, 0]):
+                if 0 <= y + dy < n:
+                    want[y + dy, max(0, x - hw) : x + hw + 1] = 1
+        assert (dense(of(grown), a.shape) == want).all()
+    audited = masks.mask_audit(sized, [0, 1, 2], size=(h, w + F.when(F.col("image_id") == 3, 1).otherwise(0)))
+    assert {r["image_id"]: r["ok"] for r in audited.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_otsu_of_a_gigapixel_histogram(spark):
+    hist = spark.createDataFrame([(1, 10, 3 * 10**9), (1, 20, 10**9), (1, 240, 4 * 10**9)], "image_id long, value int, n long")
+    assert [r["threshold"] for r in gray.otsu_threshold(hist).collect()] == [20]
+
+
 def test_class_stats_of_a_mask_without_runs(spark):
     runs = spark.createDataFrame([(1, "pred", 2, 0, 0, 4)], "image_id long, layer string, class_id int, y int, x0 int, x1 int")
     listed = spark.createDataFrame([(1, "pred"), (2, "pred")], "image_id long, layer string")
