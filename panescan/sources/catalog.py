@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -62,16 +63,25 @@ def scan_images(spark: SparkSession, path: str, suffixes: Sequence[str] = tuple(
     """Decoded photos, one row each; undecodable files stay as ``status = error`` rows.
 
     The batch scan wants lower-case suffixes; ``any_case`` is the rule of the generators.
-    ``max_images`` cuts after listing, in path order.
+    ``max_images`` takes the first paths of the listing and decodes no other photo; so many
+    paths pass through the driver.
     """
-    reader = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", recursive)
-    if not any_case:
-        reader = reader.option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
-    rows = reader.load(path).select("image.*")
-    if any_case:
-        rows = rows.where(F.lower(F.substring_index("origin", ".", -1)).isin(list(suffixes)))
+
+    def reader(kind: str):
+        found = spark.read.format(kind).option("recursiveFileLookup", recursive)
+        return found if any_case else found.option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
+
+    def wanted(origin: str) -> Column:
+        return F.lower(F.substring_index(origin, ".", -1)).isin(list(suffixes)) if any_case else F.lit(True)
+
+    places: str | list[str] = path
     if max_images is not None:
-        rows = rows.orderBy("origin").limit(max_images)
+        listed = reader("binaryFile").load(path).select("path").where(wanted("path"))
+        first = listed.orderBy("path").limit(max_images).collect()
+        places = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r["path"]) for r in first] or path  # names, not patterns
+    rows = reader("image").option("dropInvalid", False).load(places).select("image.*").where(wanted("origin"))
+    if places is path and max_images is not None:
+        rows = rows.where(F.lit(False))
     bad = F.col("height") <= 0
     return rows.select(
         F.xxhash64("origin").alias("image_id"),
@@ -90,8 +100,15 @@ def scan_images(spark: SparkSession, path: str, suffixes: Sequence[str] = tuple(
 
 
 def limit_images(images: DataFrame, n: int | None, order: str = "origin") -> DataFrame:
-    """First ``n`` rows in path order; all for None."""
-    return images if n is None else images.orderBy(order).limit(n)
+    """First ``n`` rows in path order; all for None.
+
+    Paths are unique and not null; only they are ordered, and the rows up to the n-th path stay
+    where they are.  (Were paths repeated, all rows of the n-th would stay.)
+    """
+    if n is None:
+        return images
+    last = images.select(order).orderBy(order).limit(n).agg(F.max(order))
+    return images.where(F.col(order) <= last.scalar())
 
 
 def images_to_tiles(images: DataFrame, size: int, layer: str = "photo", halve: bool = False) -> DataFrame:
@@ -179,17 +196,21 @@ def resolve_by_priority(files: DataFrame, candidates: Sequence[str], key: str =
 def resolve_scratch_masks(images: DataFrame, files: DataFrame, main_dir: str) -> DataFrame:
     """Inferred scratch mask per image stem: its own folder first, then the main folder.
 
-    A generic name in the main folder serves every image, so the main folder is resolved
-    once per name (at most six rows) and specific names meet their stem by an equi join.
+    A generic name in the main folder serves every image, so the best one is found once, as
+    a single value; the names that depend on the image meet the files by an equi join.
     """
     names = F.array(*[F.replace(F.lit(c), F.lit("{stem}"), F.col("stem")) for c in SCRATCH_MASKS])
     own = images.select("stem", F.concat(F.lit(main_dir + "/"), F.col("stem")).alias("dir"), F.posexplode(names).alias("prio", "name"))
-    main = images.select("stem", F.lit(main_dir).alias("dir"), F.posexplode(names).alias("prio", "name")).withColumn(
-        "prio", F.col("prio") + len(SCRATCH_MASKS)
-    )
-    wanted = own.unionByName(main)
-    found = wanted.join(files.select("dir", "name"), ["dir", "name"], "left_semi")
-    return found.groupBy("stem").agg(F.min_by(F.struct("dir", "name"), "prio").alias("f")).select("stem", "f.*")
+    special = F.array(*[F.replace(F.lit(c), F.lit("{stem}"), F.col("stem")) for c in SCRATCH_MASKS if "{stem}" in c])
+    main = images.select("stem", F.lit(main_dir).alias("dir"), F.posexplode(special).alias("prio", "name"))
+    last = F.struct((F.col("prio") + len(SCRATCH_MASKS)).alias("prio"), "dir", "name").alias("f")
+    wanted = own.select("stem", "dir", "name", F.struct("prio", "dir", "name").alias("f")).unionByName(main.select("stem", "dir", "name", last))
+    found = wanted.join(files.select("dir", "name"), ["dir", "name"], "left_semi").select("stem", "f")
+    generic = F.array_position(F.array(*[F.lit(c) for c in SCRATCH_MASKS if "{stem}" not in c]), F.col("name")).cast("int")
+    served = files.where(F.col("dir") == main_dir).select((generic + 2 * len(SCRATCH_MASKS)).alias("prio"), "dir", "name", generic.alias("at"))
+    common = served.where("at > 0").agg(F.min(F.struct("prio", "dir", "name")))
+    every = images.where("stem is not null").select("stem", common.scalar().alias("f")).where("f is not null")
+    return found.unionByName(every).groupBy("stem").agg(F.min("f").alias("f")).select("stem", "f.dir", "f.name")
 
 
 def mask_type(name: Column) -> Column:

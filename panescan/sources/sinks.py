@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
-import shutil
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,22 +26,56 @@ def patch_masks(runs: DataFrame) -> DataFrame:
     return combined.select(columns).unionByName(multi.select(columns)).unionByName(per_class.select(columns))
 
 
-def write_patches(tiles: DataFrame, runs: DataFrame, boxes: DataFrame, path: str) -> None:
-    """Patch images, mask runs and boxes as three tables partitioned by image."""
-    tiles.write.mode("overwrite").partitionBy("image_id").parquet(f"{path}/images")
-    patch_masks(runs).write.mode("overwrite").partitionBy("image_id", "layer").parquet(f"{path}/masks")
-    boxes.write.mode("overwrite").partitionBy("image_id").parquet(f"{path}/boxes")
+def write_patches(tiles: DataFrame, runs: DataFrame, boxes: DataFrame, path: str, labels: DataFrame | None = None) -> None:
+    """Patch images, mask runs, boxes and (optional) label documents as tables that keep ``image_id`` as a column.
 
+    Rows are ordered by image within each file, so that a reader of some images skips the rest
+    by file statistics; there is no folder per image.
+    """
+    parts = {"images": tiles, "masks": patch_masks(runs), "boxes": boxes} | ({} if labels is None else {"labels": labels})
+    for name, rows in parts.items():
+        writer = rows.sortWithinPartitions("image_id").write.mode("overwrite")
+        (writer.partitionBy("layer") if name == "masks" else writer).parquet(f"{path}/{name}")
+
+
+def _copy(src: str, dst: str) -> None:
+    """Copy a file between any two file systems that pyarrow knows; the folder is made."""
+
+    def opened(place: str) -> tuple[fs.FileSystem, str]:
+        local = re.sub("^file:/+", "/", place)
+        return fs.FileSystem.from_uri(local) if "://" in local else (fs.LocalFileSystem(), os.path.abspath(local))
 
-def copy_files(manifest: DataFrame) -> None:
-    """Copy (src, dst) pairs on the executors; both ends on a file system all of them mount."""
+    (source, start), (target, end) = opened(src), opened(dst)
+    target.create_dir(os.path.dirname(end), recursive=True)
+    fs.copy_files(start, end, source_filesystem=source, destination_filesystem=target)
+
+
+def copy_files(manifest: DataFrame, report: str | None = None) -> DataFrame | None:
+    """Copy (src, dst) pairs on the executors; both ends are places that all of them reach.
+
+    With ``report``, a folder, every pair leaves a row (src, dst, error) there, error null where
+    the copy is made, and these rows are returned; without it, a failed copy fails the job.
+    """
 
-    def copy(rows) -> None:
-        for r in rows:
-            os.makedirs(os.path.dirname(r["dst"]), exist_ok=True)
-            shutil.copyfile(r["src"], r["dst"])
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = []
+            for pair in batch.to_pylist():
+                try:
+                    _copy(pair["src"], pair["dst"])
+                    errors.append(None)
+                except (OSError, pa.ArrowException) as error:
+                    if report is None:
+                        raise
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst"), pa.array(errors, pa.string())], ["src", "dst", "error"])
 
-    manifest.foreachPartition(copy)
+    done = manifest.select("src", "dst").mapInArrow(copy, "src string, dst string, error string")
+    if report is None:
+        done.write.format("noop").mode("overwrite").save()
+        return None
+    done.write.mode("overwrite").parquet(report)
+    return manifest.sparkSession.read.parquet(report)
 
 
 def write_json_rows(documents: DataFrame, path: str) -> None:

@@ -76,6 +76,44 @@ def test_list_and_copy_files(spark, photos, tmp_path):
     ]
 
 
+def test_copies_take_uris_and_report_failures(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "x.txt").write_text("x")
+    pairs = [(f"file:{tmp_path}/a b/x.txt", f"file://{tmp_path}/out/deep/x.txt"), (f"{tmp_path}/none.txt", f"{tmp_path}/out/none.txt")]
+    manifest = spark.createDataFrame(pairs, "src string, dst string")
+    rows = {r["src"]: r["error"] for r in sinks.copy_files(manifest, str(tmp_path / "report")).collect()}
+    assert rows[pairs[0][0]] is None and "none.txt" in rows[pairs[1][0]]
+    assert (tmp_path / "out" / "deep" / "x.txt").read_text() == "x"
+    with pytest.raises(Exception, match="none.txt"):
+        sinks.copy_files(manifest)
+
+
+def test_limits_read_the_first_photos_only(spark, photos, tmp_path):
+    folder, _ = photos
+    names = sorted(f.name for f in folder.iterdir() if f.suffix == ".bmp")
+    for n in (0, 1, 2):
+        rows = catalog.scan_images(spark, str(folder), max_images=n)
+        assert sorted(r["origin"].rsplit("/", 1)[1] for r in rows.collect()) == names[:n]
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    for name in ("a[1].bmp", "b{x}.bmp", "c.bmp"):
+        (odd / name).write_bytes((folder / names[0]).read_bytes())
+    every = sorted(r["stem"] for r in catalog.scan_images(spark, str(odd)).collect())
+    assert len(every) == 3 and sorted(r["stem"] for r in catalog.scan_images(spark, str(odd), max_images=2).collect()) == every[:2]
+    paths = spark.createDataFrame([(f"p{i:02d}",) for i in range(30)], "path string")
+    assert sorted(r["path"] for r in catalog.limit_images(paths, 3, "path").collect()) == ["p00", "p01", "p02"]
+    assert catalog.limit_images(paths, 0, "path").count() == 0 and catalog.limit_images(paths, None).count() == 30
+
+
+def test_scratch_masks_of_the_main_folder(spark):
+    images = spark.createDataFrame([("s1",), ("s2",), ("s3",), (None,)], "stem string")
+    files = [("m/s1", "scratches_mask.png"), ("m", "s2_screen_scratches_mask.png"), ("m", "dirt_mask.png"), ("m", "scratches_mask.png")]
+    found = catalog.resolve_scratch_masks(images, spark.createDataFrame(files, "dir string, name string"), "m")
+    assert {r["stem"]: (r["dir"], r["name"]) for r in found.collect()} == {"s1": files[0], "s2": files[1], "s3": files[2]}
+    alone = catalog.resolve_scratch_masks(images, spark.createDataFrame(files[:1], "dir string, name string"), "m")
+    assert [tuple(r) for r in alone.collect()] == [("s1", *files[0])]
+
+
 def test_label_files(spark, tmp_path):
     doc = {
         "annotations": [{"bbox": [1, 2, 3, 4], "segmentation": [[1, 2, 4, 2, 4, 6]], "category_id": 2, "category_name": "dirt", "area": 12}],
