@@ -238,12 +238,15 @@ def superimpose_protected(spark, sf_dir):
  f as (select image_id, rect_id, max(a)>avg(a)+50 hit from m group by all)
 select r.image_id, coalesce(bool_or(hit),false) power_on from (select distinct image_id from r) r left join f using (image_id) group by 1""")
 def bright_line_flag(spark, sf_dir):
+    return g.bright_line_flag(gray(spark, sf_dir), bright_rects(spark, sf_dir))
+
+
+def bright_rects(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("image_id"))
-    rects = v.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("rect_id")).select(
+    return v.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("rect_id")).select(
         "image_id", "rect_id", (F.col("rect_id") * 2).alias("x"), (F.col("image_id") % 3).alias("y"),
         (2 + F.col("rect_id") % 2).alias("w"), (5 - F.col("rect_id")).alias("h"),
     )
-    return g.bright_line_flag(gray(spark, sf_dir), rects)
 
 
 @query("three_raster_forms", "gray", "select image_id, y, x, value from gray")

@@ -192,27 +192,27 @@ def extract_defect_masks(tiles: DataFrame, size_px: int, frame, background: int
     max(15, t-40) and has no ``low``.  A 3x3 median takes the place of the
     edge-preserving filter on samples.
     """
-    key = ["image_id", "layer", "y", "x"]
-    image = ["image_id", "layer"]
+    from panescan.operators import tiles as on_tiles  # that module builds on this one
+
+    place, image = ("image_id", "layer", "ty", "tx"), ["image_id", "layer"]
     back = focal(focal(tiles, size_px, frame, "max", 5), size_px, frame, "median", background)
     if not label_variant:
         back = closed(back, size_px, frame, 5, "disc")
         back = focal(back, size_px, frame, "binomial", 5, border="reflect")
-    gap = gray.abs_diff(raster.tiles_to_pixels(tiles), raster.tiles_to_pixels(back), key)
-    stretched = gray.minmax_normalize(gap, image).withColumn("value", F.rint("value").cast("int"))
-    packed = raster.pixels_to_tiles(stretched, size_px)
+    gap = on_tiles.abs_diff(tiles, back, place)
+    packed = on_tiles.minmax_normalize(gap)
     if label_variant:
         smooth = focal(packed, size_px, frame, "binomial", 5, border="reflect")
     else:
         smooth = focal(packed, size_px, frame, "median", 3)
-    pixels = raster.tiles_to_pixels(smooth)
-    level = gray.otsu_threshold(gray.histogram(pixels, image), image)
-    marked = pixels.join(level, image)
+    counts = on_tiles.histogram(smooth)
+    levels = counts.join(gray.otsu_threshold(counts, image), image)
     t, v = F.col("threshold"), F.col("value")
-    diff = gap.select(*key, F.col("value").cast("int").alias("diff"))
+
+    def above(level) -> DataFrame:
+        return on_tiles.recode(smooth, levels.withColumn("to", (v > level).cast("int")), "to")
+
     if label_variant:
-        return marked.select(*key, (v > F.greatest(F.lit(15), t - 40)).cast("int").alias("high")).join(diff, key)
-    seeds = marked.select(*key, (v > t - 10).cast("int").alias("value"))
-    grown = focal(raster.pixels_to_tiles(seeds, size_px), size_px, frame, "max", 3)
-    low = raster.tiles_to_pixels(grown).withColumnRenamed("value", "low")
-    return marked.select(*key, (v > t).cast("int").alias("high")).join(low, key).join(diff, key)
+        return on_tiles.stacked_pixels(place, high=above(F.greatest(F.lit(15), t - 40)), diff=gap)
+    low = focal(above(t - 10), size_px, frame, "max", 3)
+    return on_tiles.stacked_pixels(place, high=above(t), low=low, diff=gap)
