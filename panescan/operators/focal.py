@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from panescan import schema
 from panescan.operators import gray, raster
 from panescan.operators.metrics import disc_half_widths
+from panescan.session import cut_lineage
 
 TILE_KEY = ("image_id", "layer", "ty", "tx")
 TILE_ARROW = pa.schema(
@@ -199,12 +200,12 @@ def extract_defect_masks(tiles: DataFrame, size_px: int, frame, background: int
     if not label_variant:
         back = closed(back, size_px, frame, 5, "disc")
         back = focal(back, size_px, frame, "binomial", 5, border="reflect")
-    gap = on_tiles.abs_diff(tiles, back, place)
+    gap = cut_lineage(on_tiles.abs_diff(tiles, back, place))  # used three times, like ``smooth``
     packed = on_tiles.minmax_normalize(gap)
     if label_variant:
-        smooth = focal(packed, size_px, frame, "binomial", 5, border="reflect")
+        smooth = cut_lineage(focal(packed, size_px, frame, "binomial", 5, border="reflect"))
     else:
-        smooth = focal(packed, size_px, frame, "median", 3)
+        smooth = cut_lineage(focal(packed, size_px, frame, "median", 3))
     counts = on_tiles.histogram(smooth)
     levels = counts.join(gray.otsu_threshold(counts, image), image)
     t, v = F.col("threshold"), F.col("value")
