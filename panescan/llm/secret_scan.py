@@ -2,9 +2,10 @@
 
 Fixed patterns give base spans. The field tags every blank-separated word as begin, inside or outside
 from its shape, its two neighbouring words and features of the file, and is decoded by Viterbi; spans it
-finds away from the base ones are added. It is trained here on windows of a bounded sample of documents
-(SAMPLE, by hashed id): the base spans are its labels, and copies of those windows with other names,
-signs and random values teach it forms that the patterns miss.
+finds away from the base ones are added. Base spans are looked for in all documents first; then it is
+trained here on windows of a bounded sample (SAMPLE, by hash, drawn from documents with and without base
+spans apart): the base spans are its labels, and copies of those windows with other names, signs and
+random values teach it forms that the patterns miss.
 
 Decoding is exact and cheap: a word whose outside score leads by more than any change of its two
 transitions could win back is outside on every best path, so only the short runs between such words are
@@ -22,10 +23,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panescan.llm.common import keep
+
 SAMPLE = 20_000  # documents whose windows the field is trained on
+RARE = 1_000  # of these, at least so many with a base span, if there are
 SIDE = 8  # words on either side of a training window's centre
 ROUNDS, RATE, DECAY, SEED = 60, 0.15, 1e-3, 5
 WORDS = 200_000  # distinct words a worker remembers
@@ -36,6 +40,8 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
+# Fits every text with a base span, and few others; for the JVM.
+MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 
 _STRONG = re.compile(r"(?ai:password|passwd|secret|token|api_?key)")
 _WEAK = re.compile(r"(?ai:key|auth|cred|pwd|pass)")
@@ -233,27 +239,60 @@ def varied(window: tuple[list[str], list[int], list[int]], draw: random.Random)
     return words[:a] + new + words[b:], marks, states[:a] + [0] + [1] * (len(new) - 1) + states[b:]
 
 
+def holders(docs: DataFrame) -> DataFrame:
+    """Distinct (doc_id, digest, holds): which of all texts hold a base span. Python sees only texts that may."""
+
+    def run(batches):
+        for batch in batches:
+            holds = [t is not None and bool(base_spans(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(holds, pa.bool_())], ["doc_id", "digest", "holds"])
+
+    rows = docs.select(*_keys(docs), F.when(F.col("text").rlike(MAYBE), F.col("text")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest long, holds boolean").distinct()
+
+
+def _keys(docs: DataFrame) -> list[Column]:
+    return [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("digest")]
+
+
+def sample(docs: DataFrame) -> DataFrame | None:
+    """At most SAMPLE (doc_id, digest), or None where no text at all holds a base span.
+
+    Texts with a base span get their share of the sample, and RARE places of it where their share is less.
+    """
+    facts = keep(holders(docs))
+    counts = {r["holds"]: r["count"] for r in facts.groupBy("holds").count().collect()}  # two rows
+    if not (held := counts.get(True, 0)):
+        return None
+    wanted = min(SAMPLE, max(min(held, RARE), SAMPLE * held // sum(counts.values())))
+    order = F.xxhash64("doc_id", "digest", F.lit(SEED)), "doc_id", "digest"
+    picked = [facts.where(which).orderBy(*order).limit(n) for which, n in (("holds", wanted), ("not holds", SAMPLE - wanted))]
+    return picked[0].unionByName(picked[1]).drop("holds")
+
+
 def train(docs: DataFrame) -> Field | None:
-    """The field, or None where the sample holds no secret to learn from."""
-    picked = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE)
-    sample = F.broadcast(picked.distinct())  # at most SAMPLE ids
+    """The field, or None where no text holds a secret to learn from."""
+    picked = sample(docs)
+    if picked is None:
+        return None
+    picked = F.broadcast(picked.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")))  # at most SAMPLE rows of two numbers
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc, digest, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "text"))):
+                doc = digest if doc is None else doc
                 for n, (words, marks, states) in enumerate(windows_of(text, random.Random(doc))):
                     if 0 in states or doc * 2654435761 % 3 == 0:
                         out.append((doc, n, words, marks, states))
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "n", "words", "marks", "states"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
-    found = rows.mapInArrow(run, "doc_id long, n int, words array<string>, marks array<int>, states array<int>").collect()
+    rows = docs.select(*_keys(docs), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).drop("_id", "_digest")
+    found = rows.mapInArrow(run, "doc_id long, n int, words array<string>, marks array<int>, states array<int>").distinct().collect()
     found.sort(key=lambda r: (r["doc_id"], r["n"], r["words"]))
     windows = [(r["words"], r["marks"], r["states"]) for r in found]
-    if not any(0 in s for _, _, s in windows):
-        return None
     draw = random.Random(SEED)
     more = [varied(w, draw) for w in windows for _ in range(6 if 0 in w[2] else draw.random() < 0.3)]
     return fit(windows + more)

@@ -162,6 +162,20 @@ def test_no_secret_to_learn_from(spark, empty):
     assert row["spans"] == "assign:0:12"
 
 
+def test_rare_secrets_are_learned_from_at_any_size(spark, monkeypatch):
+    """One text with a secret, of a null id, beyond the sample's size: the field is on, as in a small table."""
+    monkeypatch.setattr(secret_scan, "SAMPLE", 20)
+    docs = documents(spark, [f"plain words {i}" for i in range(300)])
+    assert secret_scan.train(docs) is None
+    rare = spark.createDataFrame([(None, "some words token = abcdef0123456789abcdef here", "en", "s", 1)] * 2, docs.schema)
+    assert secret_scan.train(docs.unionByName(rare)) is not None
+    many = docs.unionByName(documents(spark, [f"token = abcdef{i:010d} z" for i in range(100)], 1000))
+    picked = secret_scan.sample(many)
+    assert picked.count() == 20 and picked.where("doc_id >= 1000").count() == 20  # RARE is larger here
+    monkeypatch.setattr(secret_scan, "RARE", 2)
+    assert secret_scan.sample(many).where("doc_id >= 1000").count() == 5  # its share
+
+
 # components
 
 
