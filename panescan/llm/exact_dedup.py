@@ -12,6 +12,7 @@ their members the winner.
 from __future__ import annotations
 
 import hashlib
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -209,9 +210,13 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None) -> DataFrame
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that lose to an equal text; all columns as they were."""
-    lost = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
+    """``docs`` without the rows that lose to an equal text; all columns as they were.
+
+    Rows are judged, not ids: a null or repeated doc_id loses only with the texts that lose.
+    """
+    lost = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_lost"), F.col("text_sha256").alias("_digest")).distinct()
+    digest = F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]) & (digest == lost["_digest"]), "left_anti")
 
 
 SQL = """

@@ -141,6 +141,14 @@ def test_drop_repeats_keeps_columns(spark, odd):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
+def test_drop_repeats_judges_rows_not_ids(spark):
+    """A losing copy takes no other text of its doc_id along, null or repeated."""
+    rows = [(None, "unique"), (None, "Copy"), (1, "copy"), (None, "none has an id"), (None, "none has an id"), (2, "TWIN"), (2, "own"), (3, "twin"), (None, None), (4, "")]
+    kept = exact_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(None, "unique"), (1, "copy"), (None, "none has an id"), (None, "none has an id"), (2, "own"), (3, "twin"), (4, "")]
+    assert by_id(kept) == sorted(want, key=repr)
+
+
 # sharding
 
 
