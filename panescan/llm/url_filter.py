@@ -5,21 +5,21 @@ pages along links, distrust from hosts with blocked pages against them, both as
 over host edges, and a host whose distrust exceeds its trust by the threshold is blocked. Edges are the
 hosts' links, weighed by the number of linking pages, and, both ways, the step from a host to the domain
 above it (down to two labels). A walk goes on with probability DAMPING and ends at hosts without edges;
-walks of up to ROUNDS steps are summed. Links are merged to host edges before any exchange, only hosts
-that a walk has reached are carried, and nothing is collected.
+walks are summed ROUNDS steps at a time, until no new host is reached and no host's score still grows
+by more than TOLERANCE of itself. Links are merged to host edges before any exchange, only hosts that a
+walk has reached are carried, and nothing but a row of counts is collected.
 """
 
 from __future__ import annotations
 
 import string
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panescan.llm.common import keep
 
 DAMPING, ROUNDS, RATIO = 0.85, 12, 1.0
+TOLERANCE = 1e-8  # relative; scores that differ by less are equal
 
 # Fixed values: (verdict, host, path) of the rules.
 RULES = [
@@ -65,23 +65,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(steps).unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, kind, score): the mass of walks from ``seeds`` (host, kind, mass; mass sums to 1 for each kind).
-
-    Kind 0 walks along edges, kind 1 against them.
-    """
+def shares_of(edges: DataFrame, damping: float) -> DataFrame:
+    """(src, kind, dst, share): what a step carries over. Kind 0 walks along edges, kind 1 against them."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(1).alias("kind"))
     both = edges.withColumn("kind", F.lit(0)).unionByName(back)
     total = both.groupBy("src", "kind").agg(F.sum("weight").alias("total"))
-    shares = keep(both.join(total, ["src", "kind"]).select("src", "kind", "dst", (F.col("weight") / F.col("total") * damping).alias("share")))
-    terms = [keep(seeds.select("host", "kind", (F.col("mass") * (1 - damping)).alias("score")))]
+    return keep(both.join(total, ["src", "kind"]).select("src", "kind", "dst", (F.col("weight") / F.col("total") * damping).alias("share")))
+
+
+def walk(shares: DataFrame, start: DataFrame, scores: DataFrame, rounds: int) -> DataFrame:
+    """``scores`` (host, kind, score) with ``rounds`` more steps; ``start`` has the scores of no step."""
     for _ in range(rounds):
-        moved = shares.join(terms[-1].withColumnRenamed("host", "src"), ["src", "kind"])
-        term = keep(moved.groupBy(F.col("dst").alias("host"), "kind").agg(F.sum(F.col("score") * F.col("share")).alias("score")))
-        if term.isEmpty():
-            break
-        terms.append(term)
-    return reduce(DataFrame.unionByName, terms).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+        moved = shares.join(scores.withColumnRenamed("host", "src"), ["src", "kind"])
+        moved = moved.select(F.col("dst").alias("host"), "kind", (F.col("score") * F.col("share")).alias("score"))
+        scores = moved.unionByName(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+    return scores
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
+    """(host, kind, score): the mass of walks from ``seeds`` (host, kind, mass; mass sums to 1 for each kind).
+
+    ``rounds`` bounds the steps of a walk; None sums walks of all lengths, until the scores have settled.
+    """
+    shares = shares_of(edges, damping)
+    start = keep(seeds.select("host", "kind", (F.col("mass") * (1 - damping)).alias("score")))
+    if rounds is not None:
+        return keep(walk(shares, start, start, rounds))
+    scores = start
+    while True:
+        last, scores = scores.withColumnRenamed("score", "last"), keep(walk(shares, start, scores, ROUNDS))
+        grows = F.coalesce(F.col("score") - F.col("last") > F.col("score") * TOLERANCE, F.lit(True))  # a new host grows
+        if scores.join(last, ["host", "kind"], "left").where(grows).isEmpty():
+            return scores
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, ratio: float = RATIO) -> DataFrame:
@@ -100,7 +115,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, rat
     counts = keep(rows.select("host", kind.alias("kind")).where("kind is not null and host <> ''").groupBy("host", "kind").agg(F.count("*").alias("n")))
     totals = counts.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = counts.join(F.broadcast(totals), "kind").select("host", "kind", (F.col("n") / F.col("all")).alias("mass"))  # two rows
-    scores = propagate(host_edges(rows), seeds)
+    scores = propagate(host_edges(rows), seeds, rounds=None)
     side = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)), 12)
     hosts = keep(scores.groupBy("host").agg(side(0).alias("trust"), side(1).alias("distrust")))
     met = rows.select("page_id", "host", "path", "rule", "ruled").join(hosts, "host", "left")

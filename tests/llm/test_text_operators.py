@@ -284,5 +284,25 @@ def test_judged_pages(spark):
     assert facts[None] == ("evilnet", "/es/", None, "allow") and facts[11] == ("h.com:", "//z/en/", None, "allow")
 
 
+def test_settled_scores_are_solved_pagerank(spark):
+    """A chain longer than one block of steps and a two-way pair, against a linear system."""
+    edges = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(30)] + [("h3", "p", 2.0), ("p", "q", 1.0), ("q", "p", 1.0)]
+    seeds = [("h0", 0, 0.7), ("p", 0, 0.3), ("h30", 1, 1.0)]
+    names = sorted({h for s, d, _ in edges for h in (s, d)})
+    want = {}
+    for kind in (0, 1):
+        matrix, mass = np.zeros((len(names), len(names))), np.zeros(len(names))
+        for s, d, w in edges:
+            s, d = (s, d) if kind == 0 else (d, s)
+            matrix[names.index(s), names.index(d)] += w
+        matrix /= np.maximum(matrix.sum(1, keepdims=True), 1e-300)
+        for h, k, m in seeds:
+            mass[names.index(h)] += (1 - url_filter.DAMPING) * m * (k == kind)
+        want |= {(h, kind): v for h, v in zip(names, np.linalg.solve(np.eye(len(names)) - url_filter.DAMPING * matrix.T, mass)) if v > 1e-15}
+    got = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame(seeds, "host string, kind int, mass double"), rounds=None)
+    got = {(r["host"], r["kind"]): r["score"] for r in got.collect()}
+    assert got.keys() == want.keys() and ("h0", 1) in got and all(abs(got[k] / want[k] - 1) < 1e-7 for k in want)
+
+
 def test_url_filter_empty_table(spark):
     assert url_filter.judge(spark.createDataFrame([], PAGES)).count() == 0
