@@ -105,7 +105,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, rat
     A null url or one without ``://`` has an empty host and path; an empty host takes no part in the
     graph, and hosts no walk reaches have no distrust: both are allowed unless a rule fits. Null html
     links nowhere. Repeated rows and null page_ids are judged each, and a page that is repeated links
-    twice. Other columns play no part. An empty table gives no rows.
+    twice. Other columns play no part. An empty table gives no rows. Scores are shares of all seed pages
+    and may be tiny: they are compared as they are, and count as equal only within TOLERANCE of the larger.
     """
     rules = RULES if rules is None else rules
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("html").cast("string").alias("html"))
@@ -116,9 +117,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, rat
     totals = counts.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = counts.join(F.broadcast(totals), "kind").select("host", "kind", (F.col("n") / F.col("all")).alias("mass"))  # two rows
     scores = propagate(host_edges(rows), seeds, rounds=None)
-    side = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)), 12)
+    side = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
     hosts = keep(scores.groupBy("host").agg(side(0).alias("trust"), side(1).alias("distrust")))
     met = rows.select("page_id", "host", "path", "rule", "ruled").join(hosts, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    judged = F.coalesce("ruled", F.when(distrust > ratio * trust, "block").otherwise("allow"))
+    more = distrust - ratio * trust > TOLERANCE * F.greatest(distrust, ratio * trust)
+    judged = F.coalesce("ruled", F.when(more, "block").otherwise("allow"))
     return met.select("page_id", "host", "path", "rule", judged.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

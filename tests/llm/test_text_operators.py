@@ -304,5 +304,13 @@ def test_settled_scores_are_solved_pagerank(spark):
     assert got.keys() == want.keys() and ("h0", 1) in got and all(abs(got[k] / want[k] - 1) < 1e-7 for k in want)
 
 
+def test_tiny_distrust_still_blocks(spark):
+    """Three million blocked pages make the one seed of a link farm weigh little; two steps of fan-out 1,000 more."""
+    many = spark.range(3_000_000).selectExpr("id as page_id", "'http://bad.net/es/1' as url", "cast(null as string) as html")
+    farm = [(-1, "http://few.net/es/1", None)] + [(-2, f"http://a{i}.org/", '<a href="http://few.net/">') for i in range(1000)] + [(-3, f"http://b{i}.org/", '<a href="http://a0.org/">') for i in range(1000)]
+    rows = url_filter.judge(many.unionByName(spark.createDataFrame(farm, PAGES))).where("page_id = -3").collect()
+    assert len(rows) == 1000 and {r["verdict"] for r in rows} == {"block"} and all(0 < r["distrust"] < 1e-12 for r in rows)
+
+
 def test_url_filter_empty_table(spark):
     assert url_filter.judge(spark.createDataFrame([], PAGES)).count() == 0
