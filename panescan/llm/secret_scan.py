@@ -2,7 +2,7 @@
 
 Fixed patterns give base spans. The field tags every blank-separated word as begin, inside or outside
 from its shape, its two neighbouring words and features of the file, and is decoded by Viterbi; spans it
-finds away from the base ones are added. Base spans are looked for in all documents first; then it is
+finds are added where they reach beyond the base ones. Base spans are looked for in all documents first; then it is
 trained here on windows of a bounded sample (SAMPLE, by hash, drawn from documents with and without base
 spans apart): the base spans are its labels, and copies of those windows with other names, signs and
 random values teach it forms that the patterns miss.
@@ -298,6 +298,35 @@ def train(docs: DataFrame) -> Field | None:
     return fit(windows + more)
 
 
+def beyond(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> tuple[int, int] | None:
+    """A span of the field without quotes around base spans; None where only blanks and such quotes lie outside these.
+
+    What follows a closing quote, or precedes an opening one, without a letter or digit is such a quote too.
+    """
+    gaps, at = [], start
+    for s, _, e in base:
+        if s < end and e > start:
+            if s > at:
+                gaps.append((at, s))
+            at = max(at, e)
+    if at < end:
+        gaps.append((at, end))
+
+    def outside(a: int, b: int) -> bool:
+        part = text[a:b]
+        quoted = a > start and part[0] in _QUOTES or b < end and part[-1] in _QUOTES
+        return not part.strip() or quoted and not any(c.isalnum() for c in part)
+
+    told = [g for g in gaps if not outside(*g)]
+    if not told:
+        return None
+    if gaps[0][0] == start and gaps[0] not in told:
+        start = gaps[0][1]
+    if gaps[-1][1] == end and gaps[-1] not in told:
+        end = gaps[-1][0]
+    return start, end
+
+
 class Scanner:
     """All spans of texts; remembers, within a bound, what a word adds to the scores around it."""
 
@@ -334,15 +363,25 @@ class Scanner:
 
     def __call__(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of base spans and of the field's spans that touch none of them."""
+        base, found = self.parts(text)
+        return sorted(base + [(a, 3, b) for a, b in found if not any(s < b and a < e for s, _, e in base)])
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, kind, end) of base spans and of all of the field's spans that reach beyond them; these may overlap."""
+        base, found = self.parts(text)
+        return sorted(base + [(r[0], 3, r[1]) for a, b in found if (r := beyond(text, a, b, base))])
+
+    def parts(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+        """Base spans, and (start, end) of what the field finds."""
         words = text.split()
         if not words:
-            return []
+            return [], []
         self.learn(set(words))
         ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         flags = self.flags[ids]
         base = base_spans(text) if (flags & 4).any() else []
         if not self.on:
-            return base
+            return base, []
         sums = self.sums[ids]
         marks = file_features(int((flags & 1).sum()), int((flags >> 1 & 1).sum()), len(words))
         scores = sums[:, :3] + self.field.weights[[OWN + 2 * NEAR + f for f in marks]].sum(0)
@@ -350,7 +389,7 @@ class Scanner:
         scores[:-1] += sums[1:, 6:]
         open_ = np.flatnonzero((scores[:, 2:] - scores[:, :2] <= self.limits).any(1))
         if not len(open_):
-            return base
+            return base, []
         found = []
         for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
             path = self.field.best(scores[run], run[0] > 0, run[-1] < len(words) - 1)
@@ -360,13 +399,9 @@ class Scanner:
                 elif state == 1:
                     found[-1][1] = i + 1
         if not found:
-            return base
+            return base, []
         places = [m.span() for m in re.finditer(r"\S+", text)]
-        for a, b in found:
-            start, end = places[a][0], places[b - 1][1]
-            if not any(s < end and start < e for s, _, e in base):
-                base.append((start, 3, end))
-        return sorted(base)
+        return base, [(places[a][0], places[b - 1][1]) for a, b in found]
 
 
 def scan(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -381,7 +416,7 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                spans = scanner(text)
+                spans = scanner.spans(text)
                 count = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
                 names = [f"{KINDS[k]}:{a}:{b}" for a, k, b in spans]
                 base = ",".join(n for n, (_, k, _) in zip(names, spans) if k < 3)
@@ -403,7 +438,7 @@ def redact(docs: DataFrame, field: Field | None, mark: str = "[secret]") -> Data
             texts = batch.column("text").to_pylist()
             lengths = batch.column("n_chars").to_pylist() if "n_chars" in names else [None] * len(texts)
             for i, text in enumerate(texts):
-                spans = scanner(text) if text else []
+                spans = scanner.spans(text) if text else []
                 if spans:
                     parts, at = [], 0
                     for a, _, b in spans:

@@ -176,6 +176,34 @@ def test_rare_secrets_are_learned_from_at_any_size(spark, monkeypatch):
     assert secret_scan.sample(many).where("doc_id >= 1000").count() == 5  # its share
 
 
+def test_field_spans_reach_beyond_base_spans(spark):
+    """Every word with a sign or digit is tagged by hand: whole words stay found, also where a base span covers a part."""
+
+    class Tagged(secret_scan.Scanner):
+        def parts(self, text):
+            return secret_scan.base_spans(text), [m.span() for m in re.finditer(r"\S*[=!0-9]\S*(?: \S*[=!0-9]\S*)*", text)]
+
+    scanner = Tagged(None)
+    names = lambda t: [t[a:b] for a, k, b in scanner.spans(t) if k == 3]
+    assert names("my password=correct$horse!battery end") == ["password=correct$horse!battery"]
+    assert names("x A1b2C3! " + "0a" * 12 + " D4e5F6! y") == ["A1b2C3! " + "0a" * 12 + " D4e5F6!"]
+    assert names("password=hunter2!!") == ["password=hunter2!!"] and names("far!") == ["far!"]
+    # base spans alone; the closing quote and what follows it are no secret
+    assert names("token=abcdef9") == [] and names("token=\"abcdef9\"###") == [] and names("'" + "0a" * 12 + "'") == []
+    assert names("token=\"abcdef9\" Z9!") == ["token=\"abcdef9\" Z9!"]
+
+
+def test_no_part_of_a_found_secret_is_left(spark, field):
+    text = "settings password = correct$horse!battery9Zq7Rt5Yw1 end"
+    spans = secret_scan.Scanner(field).spans(text)
+    base, found = secret_scan.Scanner(field).parts(text)
+    assert set(base) < set(spans) and any(b == text.index(" end") for _, b in found)
+    row = secret_scan.redact(documents(spark, [text]), field).first()
+    assert "horse" not in row["text"] and row["text"].endswith("[secret] end") and row["n_chars"] == len(row["text"])
+    seen = secret_scan.scan(documents(spark, [text]), field).first()
+    assert seen["n_crf"] == 1 and seen["base_sha256"] == hashlib.sha256(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+
+
 # components
 
 
