@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panescan.session import checkpoint_folder, cut_lineage
 
-__all__ = ["cut_lineage", "keep", "lookup", "partitions", "table"]
+__all__ = ["Remembered", "cut_lineage", "forget", "keep", "lookup", "partitions", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,41 @@ def keep(df: DataFrame) -> DataFrame:
     df.write.parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
+    kept = spark.read.schema(df.schema).parquet(folder)
+    kept._kept_folder = folder
+    return kept
+
+
+def forget(kept: DataFrame) -> None:
+    """Delete a table that ``keep`` wrote and nothing will read again."""
+    spark = kept.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept._kept_folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Remembered(dict):
+    """What ``make`` gives by key, remembered in two generations.
+
+    When the newer one holds ``limit`` bytes it becomes the older one, whose former content goes. What the
+    older one still holds is not made again. Memory is twice the limit whatever passes through.
+    """
+
+    ENTRY = 160  # of a key and a value: two headers and the place in the table
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.held, self.older = make, limit, 0, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if self.held > self.limit:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self[key] = value
+        self.held += self.ENTRY + len(key) + len(value)
+        return value
 
 
 def partitions(spark: SparkSession) -> int:

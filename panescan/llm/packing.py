@@ -18,16 +18,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panescan.llm.bpe import byte_letters
-from panescan.llm.common import keep
+from panescan.llm.common import Remembered, keep
 
-CHUNKS = 300_000  # chunks, and pieces, whose ids a worker remembers
+CHUNK_BYTES, PIECE_BYTES = 80 << 20, 24 << 20  # a generation of what a worker remembers of chunks, and of their pieces
 _BLANK = re.compile("[ \t\n\r\x0b\x0c]+")  # ends a word for the tokenizer, whatever follows
-_INFO = re.compile("[\x1c-\x1f]")  # white space for str.split alone
+_INFO = "\x1c\x1d\x1e\x1f"  # white space for str.split alone
 # The published split rule of the word BPE file, and the same spelt out for lower-cased Latin text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTER, _NUMBER = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -54,52 +55,54 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.pieces = _tokenizer(path), {}, {}
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+        self.known, self.pieces = Remembered(self.chunk, CHUNK_BYTES), Remembered(self.piece, PIECE_BYTES)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marked = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         steps = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.plain = steps[0].get("pattern") == {"Regex": SPLIT}
+        self.plain = steps[0].get("pattern") == {"Regex": SPLIT} and not any(s.isalpha() for s in self.special)
 
     def chunk(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if self.plain and text.isprintable() and not _BEYOND.search(text):
+        if self.plain and (text.isascii() or not _BEYOND.search(text)):
             normal = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-            parts = _PIECE.findall(normal)
-            if not normal.isascii():
-                parts = [p.encode().decode("latin-1").translate(_BYTES) for p in parts]
-        else:
-            normal = self.tokenizer.normalizer.normalize_str(text)
-            parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-        return b"".join([self.pieces.get(p) or self.piece(p) for p in parts])
+            if normal.isalpha() and not _BEYOND.search(normal):
+                return self.pieces[normal]  # letters alone are one piece
+            if text.isprintable() and not self.marked(text):
+                return b"".join(map(self.pieces.__getitem__, _PIECE.findall(normal)))
+        if self.marked(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        normal = self.tokenizer.normalizer.normalize_str(text)
+        return b"".join([self.ids(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)])
 
     def piece(self, text: str) -> bytes:
-        if len(self.pieces) >= CHUNKS:
-            self.pieces = {}
-        found = self.pieces[text] = array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
-        return found
+        return self.ids(text if text.isascii() else text.encode().decode("latin-1").translate(_BYTES))
+
+    def ids(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
-        chunks = _BLANK.split(text) if _INFO.search(text) else text.split()
-        words = set(chunks)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > CHUNKS:
-            self.known = {w: self.known[w] for w in words.difference(new)}
-        for w in new:
-            self.known[w] = self.chunk(w)
+        chunks = _BLANK.split(text) if any(c in text for c in _INFO) else text.split()
         return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.uint32)
 
 
+@lru_cache(2)
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this worker process: its tasks follow each other and share what it remembers."""
+    return ChunkEncoder(path)
+
+
 def encode(docs: DataFrame, path: str, end: int) -> DataFrame:
     """(doc_id, part, before, tokens, wide, ids) of every document, ``end`` added to its ids; a null text is empty."""
 
     def run(batches):
-        part, before, encoder = TaskContext.get().partitionId(), 0, ChunkEncoder(path)
+        part, before, ids_of, press = TaskContext.get().partitionId(), 0, encoder(path), zstandard.ZstdCompressor(1).compress
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                ids = np.append(encoder(text.as_py()), np.uint32(end))
+                ids = np.append(ids_of(text.as_py()), np.uint32(end))
                 wide = bool(ids.max() > 0xFFFF)
-                data = zlib.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1)
+                data = press(ids.astype("<u4" if wide else "<u2").tobytes())
                 rows.append((part, before, len(ids), wide, data))
                 before += len(ids)
             columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()])]
@@ -109,7 +112,7 @@ def encode(docs: DataFrame, path: str, end: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, part int, before long, tokens long, wide boolean, ids binary")
 
 
-def cut(encoded: DataFrame, width: int) -> DataFrame:
+def cut(encoded: DataFrame, width: int, with_ids: bool = True) -> DataFrame:
     """Pieces of ``encoded`` documents; ``ids`` holds a piece's ids, little-endian, four bytes each."""
     totals = encoded.groupBy("part").agg(F.max(F.col("before") + F.col("tokens")).alias("total"))
     # one row per partition of the scan: a bound of 16 bytes for some hundred MB of text
@@ -117,32 +120,37 @@ def cut(encoded: DataFrame, width: int) -> DataFrame:
     offsets = totals.select("part", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base"))
     placed = encoded.join(F.broadcast(offsets), "part").select("doc_id", (F.col("base") + F.col("before")).alias("place"), "tokens", "wide", "ids")
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+
     def run(batches):
+        unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
+            out, pieces = [], []
             for doc, place, tokens, wide, data in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(zlib.decompress(data), "<u4" if wide else "<u2").astype("<u4")
+                ids = np.frombuffer(unpress(data), "<u4" if wide else "<u2").astype("<u4").tobytes()
                 at = 0
                 while at < tokens:
                     sequence, offset = divmod(place + at, width)
                     stop = min(tokens, at + width - offset)
-                    piece = ids[at:stop].tobytes()
-                    out.append((doc, at, stop - at, zlib.crc32(piece), tokens, sequence, offset, piece))
+                    piece = ids[4 * at : 4 * stop]
+                    out.append((doc, at, stop - at, zlib.crc32(piece), tokens, sequence, offset))
+                    if with_ids:
+                        pieces.append(piece)
                     at = stop
-            kinds = [pa.int64()] * 7 + [pa.binary()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)] + [pa.array(pieces, pa.binary())] * with_ids
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
 
 
-def pack(docs: DataFrame, path: str, end: int = 1, width: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, path: str, end: int = 1, width: int = 2048, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents in sequences of ``width`` ids; only the last sequence may be shorter.
 
     Every row is packed, repeated rows and null or repeated doc_ids too; an empty text gives its end id
-    alone. An empty table gives no rows. Other columns play no part.
+    alone, a very long one as many pieces as it needs. An empty table gives no rows. Other columns play
+    no part. ``ids`` are left out unless ``with_ids``.
     """
-    return cut(keep(encode(docs, path, end)), width)
+    return cut(keep(encode(docs, path, end)), width, with_ids)
 
 
 def sequences(pieces: DataFrame, width: int = 2048, pad: int = 0) -> DataFrame:

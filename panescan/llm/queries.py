@@ -58,7 +58,7 @@ def op4(spark, sf_dir):
 
 @query("op5_packing")
 def op5(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary()).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), with_ids=False)
 
 
 @query("op6_exact_dedup", exact_dedup.SQL)
