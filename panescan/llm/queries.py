@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panescan.llm import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, secret_scan, sharding, substring_dedup, toxicity, url_filter
+from panescan.llm import best_fit, bpe, collocations, embedding_dedup, exact_dedup, lexical_search, minhash_dedup, packing, secret_scan, sharding, substring_dedup, toxicity, url_filter
 from panescan.llm.common import table
 from panescan.session import ship_package
 
@@ -84,3 +84,18 @@ def op9(spark, sf_dir):
 @query("op10_embedding_dedup", embedding_dedup.SQL)
 def op10(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_collocations", collocations.SQL)
+def op11(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_best_fit")
+def op12(spark, sf_dir):
+    return best_fit.pack(table(spark, sf_dir, "documents"), word_vocabulary(), ids=False)
+
+
+@query("op13_lexical_search", lexical_search.SQL)
+def op13(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
