@@ -12,8 +12,9 @@ Only what can still become a candidate is counted, and no list of words or phras
 * stripes of a pair hold only words that make a frequent pair with the pair's second word. A phrase occurs
   no more often than any part of it, so nothing is lost.
 
-A hot prefix is cut into slices by the next word, as many as its count asks for; a block sends a slice of
-a prefix as one row. Slices are dealt to buckets whose number follows the input, so a bucket is bounded.
+Words and stripes are dealt to buckets whose number follows the input; a hot prefix is cut into slices by
+the next word, as many as its count asks for, so a bucket is bounded. What a block sends to a bucket, or a
+bucket to a block, is one packed row: there are never more rows than entries, and few while blocks are few.
 """
 
 from __future__ import annotations
@@ -24,22 +25,24 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panescan.llm.common import keep
+from panescan.llm.common import forget, keep
 
-BLOCK = 1 << 20  # words of a block; one document may go beyond
+BLOCK = 1 << 21  # words of a block; one document may go beyond
 SLICE = 200_000  # occurrences of a prefix that meet in one slice
 BUCKET = 1 << 20  # occurrences that are merged at once
-POSITIONS, COUNTERS = 26, 13  # bits of a word's place in its block, and of a block's number in its partition
 # What ends a piece, and what parts its words.
 ENDS, BLANKS = ".,;:!?\n\x0b\x0c\r", "\t "
 _END = b"\xff"  # no byte of UTF-8
 _TABLE = bytes.maketrans((string.ascii_uppercase + ENDS + "\t").encode(), string.ascii_lowercase.encode() + _END * len(ENDS) + b" ")
-_ROWS = "lang string, block long, bucket long, prefix long, prefix_f long, nexts array<long>, counts array<long>, state binary"
+_ASKS = "lang string, block long, bucket long, data binary"
+_WORDS = "lang string, block long, data binary, id long, word string, f long"
+_PHRASES = "lang string, block long, data binary, prefix long, prefix_f long, next long, id long, f long"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -47,26 +50,52 @@ def words_of(text: bytes) -> list[bytes]:
     return (text.translate(_TABLE).replace(_END, b" " + _END + b" ") + b" " + _END).split()
 
 
+def _packed(*columns: np.ndarray, text: bytes = b"") -> bytes:
+    """Whole-number columns of one length, byte planes apart so that they compress, and some bytes."""
+    planes = [np.ascontiguousarray(c, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    head = np.array([len(columns), len(columns[0])], np.int64).tobytes()
+    return zstandard.ZstdCompressor(1).compress(head + b"".join(planes) + text)
+
+
+def _unpacked(data: pa.Scalar) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data.as_buffer())
+    width, n = np.frombuffer(raw, np.int64, 2).tolist()
+    planes = np.frombuffer(raw, np.uint8, 8 * width * n, 16).reshape(width, 8, n)
+    return [np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes], raw[16 + 8 * width * n :]
+
+
+def _table(rows: list[tuple], ddl: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [c.split() for c in ddl.split(", ")]
+    columns = list(zip(*rows)) if rows else [[]] * len(fields)
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, slice]]:
+    """(value, its slice) of sorted values."""
+    cuts = np.r_[0, np.flatnonzero(np.diff(values)) + 1, len(values)].tolist() if len(values) else [0]
+    return [(int(values[a]), slice(a, b)) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) ^ (x.astype(np.uint64) >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, lang, n, words, counts, codes): the words of some documents of one language; code 0 ends a piece."""
+    """(block, lang, n, words, codes): the words of some documents of one language; code 0 ends a piece."""
 
     def run(batches):
         part, numbers, press = TaskContext.get().partitionId(), count(), zstandard.ZstdCompressor(1).compress
         held: dict[str, tuple[dict, list]] = {}
 
         def rows():
+            out = []
             for lang, (index, codes) in held.items():
-                codes, number = np.concatenate(codes), next(numbers)
-                if number >> COUNTERS or len(index) >> POSITIONS:
-                    raise ValueError("a partition holds too many blocks, or a block too many words; use smaller partitions")
-                counts = np.bincount(codes, minlength=len(index))
-                counts[0] = 0
-                words = pa.array([list(index)], pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part << COUNTERS | number]), pa.array([lang]), pa.array([int(counts.sum())]), words, pa.array([counts.tolist()]), pa.array([press(codes.tobytes())], pa.binary())],
-                    ["block", "lang", "n", "words", "counts", "codes"],
-                )
+                codes = np.concatenate(codes)
+                out.append((part << 32 | next(numbers), lang, int((codes > 0).sum()), press(b" ".join(index)), press(codes.tobytes())))
             held.clear()
+            return _table(out, "block long, lang string, n long, words binary, codes binary").to_batches()
 
         size = 0
         for batch in batches:
@@ -84,132 +113,153 @@ def blocks(docs: DataFrame) -> DataFrame:
         yield from rows()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return texts.mapInArrow(run, "block long, lang string, n long, words array<binary>, counts array<long>, codes binary")
+    return texts.mapInArrow(run, "block long, lang string, n long, words binary, codes binary")
 
 
-def frequent_words(made: DataFrame, least: int) -> DataFrame:
-    """(lang, block, pos, word, id, f) of each block's words with f >= least over all; ``id`` names the word by its first place."""
-    some = made.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "e")).where("pos > 0")
-    same = Window.partitionBy("lang", "word")
-    some = some.select("lang", "block", "pos", F.col("e.words").cast("string").alias("word"), F.col("e.counts").alias("c"))
-    place = F.shiftleft("block", POSITIONS).bitwiseOR(F.col("pos"))
-    return some.withColumn("f", F.sum("c").over(same)).withColumn("id", F.min(place).over(same)).where(F.col("f") >= least).drop("c")
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x.astype(np.uint64) ^ (x.astype(np.uint64) >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def ask_words(made: DataFrame, buckets: int) -> DataFrame:
+    """What each block sends to each bucket: words, their codes and counts."""
 
+    def run(batches):
+        unpress = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lang, block = batch.column("lang")[row].as_py(), batch.column("block")[row].as_py()
+                words = unpress(batch.column("words")[row].as_buffer()).split(b" ")
+                counts = np.bincount(np.frombuffer(unpress(batch.column("codes")[row].as_buffer()), np.int32), minlength=len(words))
+                seed = xxhash.xxh32_intdigest(lang)
+                places = np.fromiter((xxhash.xxh64_intdigest(w, seed) % buckets for w in words), np.int64, len(words))
+                order = np.argsort(places, kind="stable")
+                order = order[order > 0]  # the mark of a piece's end is no word
+                out = []
+                for bucket, own in _runs(places[order]):
+                    codes = order[own]
+                    out.append((lang, block, bucket, _packed(codes, counts[codes], text=b" ".join([words[i] for i in codes.tolist()]))))
+                yield from _table(out, _ASKS).to_batches()
+
+    return made.select("lang", "block", "words", "codes").mapInArrow(run, _ASKS)
+
+
+def merge_words(asks: DataFrame, least: int) -> DataFrame:
+    """Words that occur ``least`` times or more, ``block`` null; and for each block which of its codes these are, packed."""
 
-def _stripes(lang: str, block: int, buckets: int, prefix: np.ndarray, after: np.ndarray, ids: np.ndarray, f: np.ndarray, words: np.ndarray, state: bytes | None) -> pa.Table:
-    """One row per prefix and slice: ``prefix`` are places in ``ids`` and ``f``, ``after`` places in ``words``."""
+    def run(rows):
+        bucket = rows.column("bucket")[0].as_py()
+        totals: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+        asked = []
+        for lang, block, data in zip(rows.column("lang").to_pylist(), rows.column("block").to_pylist(), rows.column("data")):
+            (codes, counts), text = _unpacked(data)
+            words, total = text.split(b" "), totals[lang]
+            asked.append((lang, block, codes, words))
+            for w, c in zip(words, counts.tolist()):
+                total[w] += c
+        ids, out = count(bucket << 32), []
+        known = {lang: {w: (next(ids), f) for w, f in sorted(total.items()) if f >= least} for lang, total in totals.items()}
+        for lang, own in known.items():
+            out += [(lang, None, None, i, w.decode(), f) for w, (i, f) in own.items()]
+        for lang, block, codes, words in asked:
+            found = [known[lang].get(w) for w in words]
+            left = np.array([x is not None for x in found], bool)
+            if left.any():
+                pairs = np.array([x for x in found if x is not None], np.int64)
+                out.append((lang, block, _packed(codes[left], pairs[:, 0], pairs[:, 1]), None, None, None))
+        return _table(out, _WORDS)
+
+    return asks.groupBy("bucket").applyInArrow(run, _WORDS)
+
+
+def _told(replies: pa.Table, width: int) -> list[np.ndarray]:
+    parts = [_unpacked(d)[0] for d in replies.column("data")]
+    return [np.concatenate([p[i] for p in parts]) for i in range(width)]
+
+
+def _stripes(lang: str, block: int, buckets: int, prefix: np.ndarray, after: np.ndarray, ids: np.ndarray, f: np.ndarray, words: np.ndarray) -> list[tuple]:
+    """One row per bucket: ``prefix`` are places in ``ids`` and ``f``, ``after`` places in ``words``."""
     keys, counts = np.unique(prefix * np.int64(len(words)) + after, return_counts=True)
     p, q = np.divmod(keys, max(1, len(words)))
-    nexts = words[q]
-    piece = (_mixed(nexts) % (f[p] // SLICE + 1).astype(np.uint64)).astype(np.int64)
-    order = np.lexsort((piece, p))
-    p, piece, nexts, counts = p[order], piece[order], nexts[order], counts[order]
-    starts = np.flatnonzero(np.r_[True, (np.diff(p) != 0) | (np.diff(piece) != 0)]) if len(p) else np.zeros(0, np.int64)
-    offsets = pa.array(np.r_[starts, len(p)].astype(np.int32))
-    owner = p[starts]
-    bucket = (_mixed(_mixed(ids[owner]) + piece[starts].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    rows = len(starts)
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (nexts, counts)]
-    names = [c.split()[0] for c in _ROWS.split(", ")]
-    out = pa.table([pa.array([lang] * rows, pa.string()), pa.array(np.full(rows, block)), pa.array(bucket), pa.array(ids[owner]), pa.array(f[owner]), *lists, pa.nulls(rows, pa.binary())], names)
-    if state is not None:
-        kinds = out.schema.types
-        out = pa.concat_tables([out, pa.table([pa.array([lang]), pa.array([block]), *(pa.nulls(1, k) for k in kinds[2:7]), pa.array([state], pa.binary())], names)])
-    return out
-
-
-def pair_stripes(made: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
-    """Stripes of single words, and one row per block with its state: its frequent words and their places."""
-
-    def run(block, words):
-        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block.column("codes")[0].as_buffer()), np.int32)
-        pos, ids, f = (words.column(c).to_numpy() for c in ("pos", "id", "f"))
+    prefix, nexts = ids[p], words[q]
+    piece = _mixed(nexts) % (f[p] // SLICE + 1).astype(np.uint64)
+    bucket = (_mixed(_mixed(prefix) + piece) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((nexts, prefix, bucket))
+    columns = [c[order] for c in (prefix, f[p], nexts, counts)]
+    return [(lang, block, at, _packed(*(c[own] for c in columns))) for at, own in _runs(bucket[order])]
+
+
+def ask_pairs(made: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
+    """Stripes of single words; and one row per block, ``bucket`` null, with its state: its frequent words and their places."""
+
+    def run(own, words):
+        if not own.num_rows or not words.num_rows:
+            return _table([], _ASKS)
+        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(own.column("codes")[0].as_buffer()), np.int32)
+        pos, ids, f = _told(words, 3)
         places = np.full(codes.max() + 1, -1, np.int64)
         places[pos] = np.arange(len(pos))
         seq = places[codes]
         ok = (seq[:-1] >= 0) & (seq[1:] >= 0)
-        near = np.r_[False, ok] | np.r_[ok, False]
         # words without a frequent neighbour on either side are in no longer phrase
-        state = np.where(near, seq, -1)
+        state = np.where(np.r_[False, ok] | np.r_[ok, False], seq, -1)
         state = state[np.r_[True, (state[1:] >= 0) | (state[:-1] >= 0)]].astype(np.int32)
-        packed = zstandard.ZstdCompressor(1).compress(np.int64(len(ids)).tobytes() + ids.astype(np.int64).tobytes() + state.tobytes())
-        return _stripes(block.column("lang")[0].as_py(), block.column("block")[0].as_py(), buckets, seq[:-1][ok], seq[1:][ok], ids, f, ids, packed)
-
-    def both(left, right):
-        return run(left, right) if left.num_rows and right.num_rows else pa.table([pa.array([], t) for t in _types()], [c.split()[0] for c in _ROWS.split(", ")])
-
-    return made.select("block", "lang", "codes").groupBy("block").cogroup(known.select("block", "pos", "id", "f").groupBy("block")).applyInArrow(both, _ROWS)
+        lang, block = own.column("lang")[0].as_py(), own.column("block")[0].as_py()
+        rows = _stripes(lang, block, buckets, seq[:-1][ok], seq[1:][ok], ids, f, ids)
+        return _table([*rows, (lang, block, None, _packed(ids, text=state.tobytes()))], _ASKS)
 
-
-def _types() -> list:
-    longs = pa.list_(pa.int64())
-    return [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), longs, longs, pa.binary()]
+    return made.select("block", "lang", "codes").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, _ASKS)
 
 
 def merge(stripes: DataFrame, least: int, replies: bool) -> DataFrame:
     """Merged stripes: extensions (lang, prefix, prefix_f, next, id, f) with f >= least, ``block`` null.
 
-    With ``replies`` also, for each row that came in, what of it is left, under its block.
+    With ``replies`` also, for each row that came in, what of it is left, packed, under its block.
     """
 
     def run(rows):
-        prefix, block = rows.column("prefix").to_numpy(), rows.column("block").to_numpy()
-        lists = rows.column("nexts").combine_chunks()
-        sizes = lists.value_lengths().to_numpy()
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        nexts, counts = lists.flatten().to_numpy(), rows.column("counts").combine_chunks().flatten().to_numpy()
+        parts = [_unpacked(d)[0] for d in rows.column("data")]
+        prefix, prefix_f, nexts, counts = (np.concatenate([p[i] for p in parts]) for i in range(4))
         names, p = np.unique(prefix, return_inverse=True)
         others, q = np.unique(nexts, return_inverse=True)
-        pairs, first, at = np.unique(p[owner] * np.int64(len(others)) + q, return_index=True, return_inverse=True)
+        pairs, first, at = np.unique(p * np.int64(len(others)) + q, return_index=True, return_inverse=True)
         total = np.bincount(at, weights=counts, minlength=len(pairs)).astype(np.int64)  # sums below 2^53
         left = total >= least
         # a bucket is one group of one task, so its number makes the ids unique
         ids = np.full(len(pairs), -1, np.int64)
         ids[left] = (rows.column("bucket")[0].as_py() << 32) + np.arange(left.sum())
-        langs = rows.column("lang").combine_chunks()
-        prefix_f = rows.column("prefix_f").to_numpy()
-
-        def table(entries, blocks):
-            take = owner[entries]
-            columns = [langs.take(pa.array(take)), blocks, pa.array(prefix[take]), pa.array(prefix_f[take]), pa.array(nexts[entries]), pa.array(ids[at[entries]]), pa.array(total[at[entries]])]
-            return pa.table(columns, ["lang", "block", "prefix", "prefix_f", "next", "id", "f"])
-
-        out = [table(first[left], pa.nulls(int(left.sum()), pa.int64()))]
+        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        keep_, n = first[left], int(left.sum())
+        langs = rows.column("lang").combine_chunks().take(pa.array(owner[keep_]))
+        columns = [langs, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *(pa.array(c) for c in (prefix[keep_], prefix_f[keep_], nexts[keep_], ids[left], total[left]))]
+        out = [pa.table(columns, [c.split()[0] for c in _PHRASES.split(", ")])]
         if replies:
             entries = np.flatnonzero(left[at])
-            out.append(table(entries, pa.array(block[owner[entries]])))
+            of = at[entries]
+            sent = [prefix[entries], nexts[entries], ids[of], total[of]]
+            blocks_, lang = rows.column("block").to_pylist(), rows.column("lang").to_pylist()
+            out.append(_table([(lang[i], blocks_[i], _packed(*(c[own] for c in sent)), *[None] * 5) for i, own in _runs(owner[entries])], _PHRASES))
         return pa.concat_tables(out)
 
-    return stripes.drop("state").groupBy("bucket").applyInArrow(run, "lang string, block long, prefix long, prefix_f long, next long, id long, f long")
+    return stripes.groupBy("bucket").applyInArrow(run, _PHRASES)
 
 
-def triple_stripes(states: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+def ask_triples(states: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
     """Stripes of pairs, over each block's state and the pairs it was told."""
 
-    def both(left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in _types()], [c.split()[0] for c in _ROWS.split(", ")])
-        data = zstandard.ZstdDecompressor().decompress(left.column("state")[0].as_buffer())
-        n = int(np.frombuffer(data, np.int64, 1)[0])
-        words, seq = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int32, -1, 8 + 8 * n).astype(np.int64)
+    def run(own, pairs):
+        if not own.num_rows or not pairs.num_rows:
+            return _table([], _ASKS)
+        (words,), text = _unpacked(own.column("data")[0])
+        seq, n = np.frombuffer(text, np.int32).astype(np.int64), len(words)
+        prefix, nexts, ids, f = _told(pairs, 4)
         order = np.argsort(words)
-        p, q = (order[np.searchsorted(words, right.column(c).to_numpy(), sorter=order)] for c in ("prefix", "next"))
+        p, q = (order[np.searchsorted(words, c, sorter=order)] for c in (prefix, nexts))
         keys = p * np.int64(n) + q
         sort = np.argsort(keys)
-        keys, ids, f = keys[sort], right.column("id").to_numpy()[sort], right.column("f").to_numpy()[sort]
+        keys, ids, f = keys[sort], ids[sort], f[sort]
         here = np.where((seq[:-1] >= 0) & (seq[1:] >= 0), seq[:-1] * np.int64(n) + seq[1:], -1)
         at = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
         pair = np.where(keys[at] == here, at, -1)
         ok = (pair[:-1] >= 0) & (pair[1:] >= 0)
-        lang, block = left.column("lang")[0].as_py(), left.column("block")[0].as_py()
-        return _stripes(lang, block, buckets, pair[:-1][ok], seq[2:][ok], ids, f, words, None)
+        return _table(_stripes(own.column("lang")[0].as_py(), own.column("block")[0].as_py(), buckets, pair[:-1][ok], seq[2:][ok], ids, f, words), _ASKS)
 
-    return states.select("block", "lang", "state").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(both, _ROWS)
+    return states.select("block", "lang", "data").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, _ASKS)
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -230,16 +280,19 @@ def collocations(docs: DataFrame, least: int = 10, overlap: int = 50, top: int =
     made = keep(blocks(docs))
     totals = keep(made.groupBy("lang").agg(F.sum("n").alias("n")))
     buckets = int(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET + 1
-    known = keep(frequent_words(made, least))
-    words = known.where(F.col("id") == F.shiftleft("block", POSITIONS).bitwiseOR(F.col("pos"))).select("id", "word", "f")
+    told = lambda df: df.where("block is not null").select("block", "data")
+    known = keep(merge_words(ask_words(made, buckets), least))
+    words = known.where("block is null").select("id", "word", "f")
 
-    first = keep(pair_stripes(made, known, buckets))
-    merged = keep(merge(first.where("prefix is not null"), least, True))
+    first = keep(ask_pairs(made, told(known), buckets))
+    forget(made)
+    merged = keep(merge(first.where("bucket is not null"), least, True))
     pairs = merged.where("block is null").join(words.select(F.col("id").alias("next"), F.col("f").alias("r")), "next")
     pairs = keep(pairs.select("lang", "id", F.col("prefix").alias("w1"), F.col("next").alias("w2"), F.col("f").alias("a"), F.col("prefix_f").alias("l"), "r"))
-    told = merged.where("block is not null").select("block", "prefix", "next", "id", "f")
-    second = triple_stripes(first.where("state is not null"), told, buckets)
-    triples = keep(merge(second, least, False)).select("lang", F.col("prefix").alias("id"), F.col("next").alias("w3"), F.col("f").alias("a"), F.col("prefix_f").alias("l2"))
+    triples = keep(merge(ask_triples(first.where("bucket is null"), told(merged), buckets), least, False))
+    forget(first)
+    forget(merged)
+    triples = triples.select("lang", F.col("prefix").alias("id"), F.col("next").alias("w3"), F.col("f").alias("a"), F.col("prefix_f").alias("l2"))
 
     rest = pairs.select(F.col("id").alias("rest"), F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("r1"), F.col("r").alias("r2"))
     triples = keep(triples.join(pairs.select("id", "w1", "w2", F.col("l").alias("l1")), "id").join(rest, ["w2", "w3"]))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -159,13 +160,15 @@ def test_slices_of_a_hot_prefix_are_whole(monkeypatch):
     prefix, after = draw.integers(0, 3, 5000), draw.integers(0, 400, 5000)
     ids, f, words = np.array([10, 20, 30]), np.bincount(prefix), draw.permutation(400) + 1000
     monkeypatch.setattr(collocations, "SLICE", 100)
-    rows = collocations._stripes("en", 5, 7, prefix, after, ids, f, words, None).to_pylist()
+    rows = collocations._stripes("en", 5, 7, prefix, after, ids, f, words)
     got, place = Counter(), {}
-    for r in rows:
-        for w, c in zip(r["nexts"], r["counts"]):
-            got[r["prefix"], w] += c
-            assert place.setdefault((r["prefix"], w), r["bucket"]) == r["bucket"]
-    assert got == Counter(zip(ids[prefix].tolist(), words[after].tolist())) and len(rows) > 30
+    for lang, block, bucket, data in rows:
+        columns, _ = collocations._unpacked(pa.scalar(data, pa.binary()))
+        for w1, total, w2, n in zip(*(c.tolist() for c in columns)):
+            got[w1, w2] += n
+            assert place.setdefault((w1, w2), bucket) == bucket and total == f[ids.tolist().index(w1)]
+    assert got == Counter(zip(ids[prefix].tolist(), words[after].tolist()))
+    assert len({b for (w, _), b in place.items() if w == 10}) > 3 and len(rows) <= 7  # one row a bucket
 
 
 def test_counts_beyond_64_bits_in_scores(spark):
