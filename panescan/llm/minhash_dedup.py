@@ -96,8 +96,16 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return (equal - chance) / (1 - chance)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, lo, hi, bands): size, digest and bands of each document's set; bands are null for empty sets."""
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` stored with a column that numbers the rows, and its name: ids and texts may repeat, numbers don't."""
+    name = "row"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return keep(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def sketch(texts: DataFrame) -> DataFrame:
+    """(row, doc_id, n, lo, hi, bands): size, digest and bands of the set of each of ``texts`` (row, doc_id, text); bands are null for empty sets."""
 
     def run(batches):
         for batch in batches:
@@ -107,13 +115,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 bands = registers(found).view(np.int64).tolist() if len(found) else None
                 out.append((len(found), int(found.sum().astype(np.int64)), int(_mixed(found + _PRIME).sum().astype(np.int64)), bands))
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds))], ["doc_id", "n", "lo", "hi", "bands"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, lo long, hi long, bands array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds))], ["row", "doc_id", "n", "lo", "hi", "bands"])
 
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return texts.mapInArrow(run, "row long, doc_id long, n long, lo long, hi long, bands array<long>")
 
 
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -132,13 +136,13 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "an", "bn", "ab", "bb").mapInArrow(run, "a long, b long")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar on full sets. Texts are read again; each set travels once per pair's hub slice."""
-    spark = docs.sparkSession
+def confirm(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows that are similar on full sets. Texts are read again; each set travels once per pair's hub slice."""
+    spark = texts.sparkSession
     hubs = pairs.groupBy("a").agg((F.floor(F.count("*") / SLICE) + 1).cast("int").alias("slices"))
     hubs = keep(hubs)
-    members = pairs.join(hubs, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("kind"))
-    copies = hubs.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("kind"))
+    members = pairs.join(hubs, "a").select(F.col("b").alias("row"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("kind"))
+    copies = hubs.select(F.col("a").alias("row"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("kind"))
     routes = keep(members.unionByName(copies))
     if routes.count() <= BROADCAST_ROWS:  # 24 bytes each
         routes = F.broadcast(routes)
@@ -146,16 +150,16 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def sets(batches):
         for batch in batches:
             data = pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "hub", "slice", "kind")] + [data], ["doc_id", "hub", "slice", "kind", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "hub", "slice", "kind")] + [data], ["row", "hub", "slice", "kind", "data"])
 
-    dealt = _texts(docs).join(routes, "doc_id").select("doc_id", "hub", "slice", "kind", "text").mapInArrow(sets, "doc_id long, hub long, slice int, kind int, data binary")
+    dealt = texts.join(routes, "row").select("row", "hub", "slice", "kind", "text").mapInArrow(sets, "row long, hub long, slice int, kind int, data binary")
     dealt = dealt.repartition(partitions(spark), "hub", "slice").sortWithinPartitions("hub", "slice", "kind")
 
     def compare(batches):
         at, own = None, None
         for batch in batches:
             a, b = [], []
-            for doc, hub, slice_, kind, data in zip(*(batch.column(c) for c in ("doc_id", "hub", "slice", "kind", "data"))):
+            for row, hub, slice_, kind, data in zip(*(batch.column(c) for c in ("row", "hub", "slice", "kind", "data"))):
                 values = np.frombuffer(data.as_buffer(), np.uint64)
                 where = (hub.as_py(), slice_.as_py())
                 if kind.as_py() == 0:
@@ -164,7 +168,7 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     both = len(np.intersect1d(own, values, assume_unique=True))
                     if 100 * both >= PERCENT * (len(own) + len(values) - both):
                         a.append(where[0])
-                        b.append(doc.as_py())
+                        b.append(row.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long").distinct()
@@ -195,9 +199,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def confirm_blocks(docs: DataFrame, roles: DataFrame) -> DataFrame:
+def confirm_blocks(texts: DataFrame, roles: DataFrame) -> DataFrame:
     """Links (a, b) that connect what is similar among ``roles`` (hub, id, n, outside): of each hub, the ids outside against all its ids."""
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     size = lambda c: F.floor(F.coalesce(F.sum(c), F.lit(0)) / BLOCK + 1).cast("int")
     cuts = roles.groupBy("hub").agg(size(F.when(F.col("outside") == 1, F.col("n"))).alias("rows"), size(F.col("n")).alias("cols"))
     met = roles.join(keep(cuts), "hub").withColumn("r", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int")).withColumn("c", F.pmod(F.xxhash64("id", F.lit(1)), F.col("cols")).cast("int"))
@@ -205,16 +209,16 @@ def confirm_blocks(docs: DataFrame, roles: DataFrame) -> DataFrame:
     one = met.where("outside = 1").select(*some, "r", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(0).alias("kind"))
     two = met.select(*some, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), "c", F.lit(1).alias("kind"))
     routes = keep(one.unionByName(two))
-    ids = keep(roles.select(F.col("id").alias("doc_id")).distinct())
+    ids = keep(roles.select(F.col("id").alias("row")).distinct())
     if routes.count() <= BROADCAST_ROWS:  # 36 bytes each; ids are fewer
         routes, ids = F.broadcast(routes), F.broadcast(ids)
 
     def sets(batches):
         for batch in batches:
             data = pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), data], ["id", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), data], ["id", "data"])
 
-    made = _texts(docs).join(ids, "doc_id").select("doc_id", "text").mapInArrow(sets, "id long, data binary")
+    made = texts.join(ids, "row").select("row", "text").mapInArrow(sets, "id long, data binary")
     dealt = made.join(routes, "id").select("hub", "r", "c", "kind", "id", "data")
     dealt = dealt.repartition(partitions(spark), "hub", "r", "c").sortWithinPartitions("hub", "r", "c", "kind", "id")
 
@@ -250,23 +254,18 @@ def confirm_blocks(docs: DataFrame, roles: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
-def near_documents(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    A null, empty or blank text has an empty set and links with nothing, and so does a row with a null
-    doc_id. Repeated rows have equal sets and share a component; a doc_id stands for one text. Other
-    columns play no part. An empty table gives no rows.
-    """
-    rows = keep(sketch(docs))
-    sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "lo", "hi").agg(F.min(F.struct("doc_id", "bands")).alias("least"))
-    sets = keep(sets.select("n", "lo", "hi", F.col("least.doc_id").alias("id"), F.col("least.bands").alias("bands")))
+def near_rows(texts: DataFrame) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, stays) of stored ``texts`` (row, doc_id, text): one row of each component stays."""
+    rows = keep(sketch(texts))
+    sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "lo", "hi").agg(F.min(F.struct("doc_id", "row", "bands")).alias("least"))
+    sets = keep(sets.select("n", "lo", "hi", F.col("least.row").alias("id"), F.col("least.doc_id").alias("doc_id"), F.col("least.bands").alias("bands")))
     bands = sets.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("key"))
     firsts = keep(bands.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1").select("key", "first"))
     members = keep(bands.join(firsts, "key").select("key", "id", "first"))
     shared = members.where("id <> first").groupBy("id", "first").agg(F.count("*").alias("bands"))
     best = shared.groupBy("id").agg(F.max(F.struct("bands", (-F.col("first")).alias("first"))).alias("best"))
     tried = keep(likely(best.select((-F.col("best.first")).alias("a"), F.col("id").alias("b")), sets))
-    links = keep(confirm(docs, tried))
+    links = keep(confirm(texts, tried))
     groups = keep(components(links))
 
     inside = members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -275,19 +274,42 @@ def near_documents(docs: DataFrame) -> DataFrame:
     mixed = keep(mixed.select("key", F.col("main.component").alias("main")))
     roles = inside.join(mixed, "key").groupBy(F.col("main").alias("hub"), "id").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("outside"))
     roles = keep(roles.join(sets.select("id", "n"), "id"))
-    more = keep(confirm_blocks(docs, roles))
+    more = keep(confirm_blocks(texts, roles))
     groups = components(links.unionByName(more))
 
-    facts = keep(sets.select("n", "lo", "hi", "id").join(groups, "id", "left").select("n", "lo", "hi", F.coalesce("component", "id").alias("component_id")))
-    known = rows.where("n > 0 and doc_id is not null").join(facts, ["n", "lo", "hi"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return known.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    placed = keep(sets.select("n", "lo", "hi", "id", "doc_id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    winners = placed.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("least"))
+    facts = keep(placed.join(winners, "component").select("n", "lo", "hi", F.col("least.doc_id").alias("component_id"), F.col("least.id").alias("winner")))
+    known = rows.where("n > 0 and doc_id is not null").join(facts, ["n", "lo", "hi"])
+    known = known.select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("winner")).alias("stays"))
+    alone = rows.where("n = 0 or doc_id is null").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return known.unionByName(alone)
+
+
+def _texts(stored: DataFrame, number: str) -> DataFrame:
+    return stored.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+
+def near_documents(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    A null, empty or blank text has an empty set and links with nothing, and so does a row with a null
+    doc_id. Rows are judged, not ids: repeated rows have equal sets and share a component, and texts that
+    share a doc_id each have their own. A very long text is taken whole. Other columns play no part. An
+    empty table gives no rows.
+    """
+    found = near_rows(_texts(*numbered(docs.select("doc_id", "text"))))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; all columns as they were."""
-    lost = near_documents(docs).where("not kept").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
+    """``docs`` with one row of each component, that of the smallest doc_id; all columns as they were.
+
+    Rows with a null doc_id, or without words, are in no component and stay.
+    """
+    stored, number = numbered(docs)
+    lost = near_rows(_texts(stored, number)).where("not stays").select(F.col("row").alias(number))
+    return stored.join(lost, number, "left_anti").select(*docs.columns)
 
 
 SQL = r"""

@@ -361,11 +361,6 @@ class Scanner:
         self.count += 1
         return self.count - 1
 
-    def __call__(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, kind, end) of base spans and of the field's spans that touch none of them."""
-        base, found = self.parts(text)
-        return sorted(base + [(a, 3, b) for a, b in found if not any(s < b and a < e for s, _, e in base)])
-
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of base spans and of all of the field's spans that reach beyond them; these may overlap."""
         base, found = self.parts(text)

@@ -123,8 +123,8 @@ def test_viterbi_runs_equal_viterbi_over_all(field):
                 found[-1][1] = i + 1
         places = [m.span() for m in re.finditer(r"\S+", text)]
         base = secret_scan.base_spans(text)
-        want = [(places[a][0], 3, places[b - 1][1]) for a, b in found if not any(s < places[b - 1][1] and places[a][0] < e for s, _, e in base)]
-        assert secret_scan.Scanner(field)(text) == sorted(base + want)
+        want = [(r[0], 3, r[1]) for a, b in found if (r := secret_scan.beyond(text, places[a][0], places[b - 1][1], base))]
+        assert secret_scan.Scanner(field).spans(text) == sorted(base + want)
 
 
 def test_words_of_equal_likeness_have_equal_shapes(spark):
@@ -141,8 +141,8 @@ def test_field_finds_what_patterns_miss(spark, field):
     clean = [t for t in texts if not secret_scan.base_spans(t)]
     for text in clean:
         value = "".join(draw.choice("ABCDEFGHabcdefgh0123456789") for _ in range(32))
-        hits += any(k == 3 for _, k, _ in scanner(f"{text[:300]} auth_token -> '{value}' {text[300:]}"))
-    assert hits >= 0.9 * len(clean) and sum(bool(scanner(t)) for t in clean) <= 0.01 * len(clean) + 1
+        hits += any(k == 3 for _, k, _ in scanner.spans(f"{text[:300]} auth_token -> '{value}' {text[300:]}"))
+    assert hits >= 0.9 * len(clean) and sum(bool(scanner.spans(t)) for t in clean) <= 0.01 * len(clean) + 1
 
 
 def test_redaction(spark, field, odd):
@@ -204,6 +204,24 @@ def test_no_part_of_a_found_secret_is_left(spark, field):
     assert seen["n_crf"] == 1 and seen["base_sha256"] == hashlib.sha256(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
 
 
+# rows, not ids, in the near-dedup
+
+
+def test_near_dedup_judges_rows(spark):
+    x = "the quick brown fox jumps over the lazy dog and runs far away from here today now"
+    other, lone = "an unrelated text with words of its own that nothing else in here has at all", "more words that are alone in this table and stay so whatever comes of it"
+    schema = "doc_id long, text string, row int, ROW_ int"
+    docs = spark.createDataFrame([(1, x, 7, 7), (5, x + " more", 7, 7), (5, other, 7, 7), (9, lone, 7, 7)], schema)
+    assert sorted(r["text"] for r in minhash_dedup.drop_near(docs).collect()) == sorted([x, other, lone])
+    got = sorted(tuple(r) for r in minhash_dedup.near_documents(docs).collect())
+    assert got == sorted([(1, 13, 1, True), (5, 14, 1, False), (5, 12, 5, True), (9, 11, 9, True)])
+    # null ids are in no component; repeated rows leave one; one id may hold both texts of a pair
+    docs = spark.createDataFrame([(None, x, 1, 1), (None, x, 1, 1), (None, other, 1, 1), (3, x, 1, 1), (3, x, 1, 1), (3, x + " more", 1, 1), (4, None, 1, 1), (4, None, 1, 1)], schema)
+    left = minhash_dedup.drop_near(docs)
+    assert left.columns == docs.columns
+    assert sorted((repr(r["doc_id"]), repr(r["text"])) for r in left.collect()) == sorted([("None", repr(x))] * 2 + [("None", repr(other)), ("3", repr(x)), ("4", "None"), ("4", "None")])
+
+
 # components
 
 
@@ -373,7 +391,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark, model, field):
     scanner, library, want = secret_scan.Scanner(secret_scan.train(docs)), Tokenizer.from_file(queries.word_vocabulary()), {}
     for r in rows:
         text, out, at = r["text"], [], 0
-        for a, _, b in scanner(text):
+        for a, _, b in scanner.spans(text):
             out += [text[at:a], "[secret]"] if a >= at else []
             at = max(at, b)
         want[r["doc_id"]] = len(library.encode("".join(out) + text[at:], add_special_tokens=False).ids) + 1
