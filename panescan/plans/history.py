@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panescan.session import cut_lineage
+
 
 def best_epoch(epochs: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Smallest validation loss per run, the first on a tie."""
@@ -45,34 +49,61 @@ def improvements(epochs: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFr
     return marked.where(F.col("before").isNull() | (F.col("value") < F.col("before"))).drop("pos", "before")
 
 
+def _successors(minima: DataFrame, patience: int, min_delta: float, keys: list[str]) -> DataFrame:
+    """``minima`` (keys, piece, pos, value) with ``after``: the next accepted one if it is at most ``patience`` epochs away.
+
+    The minima of a run fall, so the next accepted one is the largest below ``value - min_delta``. Pieces
+    are no shorter than ``patience``: it lies in the minimum's own piece or in the one behind it, and each
+    piece orders its own minima among the bounds that look for one there.
+    """
+    nodes = minima.select(*keys, "piece", F.col("value").alias("v"), F.lit(1).alias("kind"), "pos", F.lit(None).cast("bigint").alias("seeker"))
+    bounds = minima.select(*keys, F.explode(F.array(F.col("piece"), F.col("piece") + 1)).alias("piece"), (F.col("value") - min_delta).alias("v"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("pos"), F.col("pos").alias("seeker"))
+    below = Window.partitionBy(*keys, "piece").orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = nodes.unionByName(bounds).withColumn("found", F.last("pos", ignorenulls=True).over(below)).where("kind = 0")
+    near = met.groupBy(*keys, F.col("seeker").alias("pos")).agg(F.min("found").alias("after"))
+    return minima.join(near, [*keys, "pos"]).withColumn("after", F.when(F.col("after") - F.col("pos") <= patience, F.col("after")))
+
+
+def _exits(linked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, exit, final): where the links lead out of a minimum's piece, or the minimum that they end at."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("pos")
+        pos, after = own.pos.to_numpy(), own.after.fillna(-1).to_numpy().astype(np.int64)
+        at, exit_, final = np.searchsorted(pos, after), after.copy(), np.zeros(len(pos), bool)
+        for i in range(len(pos) - 1, -1, -1):
+            if after[i] < 0:
+                exit_[i], final[i] = pos[i], True
+            elif after[i] <= pos[-1]:
+                exit_[i], final[i] = exit_[at[i]], final[at[i]]
+        return own.drop(columns=["piece", "value", "after"]).assign(exit=exit_, final=final)
+
+    shape = ", ".join(f"`{k}` {linked.schema[k].dataType.simpleString()}" for k in keys)
+    return linked.groupBy(*keys, "piece").applyInPandas(run, f"{shape}, pos long, exit long, final boolean").select(*keys, "pos", "exit", "final")
+
+
 def early_stop_epoch(epochs: DataFrame, patience: int, min_delta: float = 0.0, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """First epoch at which ``patience`` epochs in a row failed to improve; runs that never stop give no row.
 
-    Only a strict new minimum can be an accepted improvement, with or without a delta, so a
-    run shrinks to its minima first.  Those are folded in order (best moves only on an
-    accepted one); the stop is the first gap of ``patience`` behind an accepted epoch.
+    Only a strict new minimum can be an accepted improvement, so a run shrinks to its minima. Each links
+    to the next one that would be accepted after it within ``patience`` epochs; where there is none the run
+    stops. Links are followed within pieces of the run, one task each, and from piece to piece by pointer
+    doubling, so a run of any length takes logarithmically many joins and no run is gathered anywhere.
     """
-    keys = list(keys)
+    keys, size = list(keys), max(EPOCHS_PER_PIECE, patience)
     seen = _running_minimum(epochs, keys)
     better = F.col("before").isNull() | (F.col("value") < F.col("before"))
-    minima = seen.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(better, F.struct("pos", "value")))).alias("m"), F.max("pos").alias("n")
-    )
-    none = F.lit(None)
-    start = F.struct(none.cast("double").alias("best"), none.cast("bigint").alias("at"), none.cast("bigint").alias("stop"))
-
-    def step(s, r):
-        gap = s["at"].isNotNull() & (r["pos"] - 1 - s["at"] >= patience)
-        accepted = s["best"].isNull() | (r["value"] < s["best"] - min_delta)
-        return F.struct(
-            F.when(accepted, r["value"]).otherwise(s["best"]).alias("best"),
-            F.when(accepted, r["pos"]).otherwise(s["at"]).alias("at"),
-            F.coalesce(s["stop"], F.when(gap, s["at"] + patience)).alias("stop"),
-        )
-
-    stop = F.aggregate("m", start, step, lambda s: F.coalesce(s["stop"], s["at"] + patience))
-    found = minima.select(*keys, "n", stop.alias("pos")).where("pos <= n").select(*keys, "pos")
-    return seen.join(found, [*keys, "pos"]).select(*keys, F.col("epoch").alias("stop_epoch"))
+    minima = cut_lineage(seen.where(better).select(*keys, F.floor(F.col("pos") / size).alias("piece"), "pos", "value"))
+    exits = cut_lineage(_exits(_successors(minima, patience, min_delta, keys), keys))
+    first = minima.groupBy(*keys).agg(F.min("pos").alias("pos"))
+    # what the links of another piece, or a run's beginning, point at
+    met = exits.where("not final").select(*keys, F.col("exit").alias("pos")).unionByName(first).distinct()
+    links = exits.join(met, [*keys, "pos"], "left_semi")
+    while not links.join(first, [*keys, "pos"], "left_semi").where("not final").isEmpty():
+        on = links.select(*keys, F.col("pos").alias("exit"), F.col("exit").alias("beyond"), F.col("final").alias("ends"))
+        links = cut_lineage(links.join(on, [*keys, "exit"], "left").select(*keys, "pos", F.when(F.col("final"), F.col("exit")).otherwise(F.col("beyond")).alias("exit"), (F.col("final") | F.col("ends")).alias("final")))
+    stops = links.join(first, [*keys, "pos"]).select(*keys, (F.col("exit") + patience).alias("pos"))
+    return seen.join(stops, [*keys, "pos"]).select(*keys, F.col("epoch").alias("stop_epoch"))
 
 
 def checkpoints_to_drop(checkpoints: DataFrame, keep: int = 3, keys: Sequence[str] = ("run_id",)) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,29 +85,59 @@ class MemoryGrowth(StatefulProcessor):
 class EarlyStop(StatefulProcessor):
     """Best loss and epochs since as state; one row when a run reaches its patience.
 
-    A run brings one row per epoch, so its share of a micro-batch is a few epochs.
+    A micro-batch's epochs arrive in any order. If they come in more than one chunk, the chunks are laid
+    into pieces of the run that the state store holds, and folded piece by piece: memory is one chunk and
+    one piece, whatever a run brings at once.
     """
 
+    PIECE, ROW = 4096, np.dtype([("epoch", "<i8"), ("value", "<f8")])
+
     def __init__(self, patience: int, min_delta: float = 0.0):
         self.patience, self.min_delta = patience, min_delta
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "best double, counter long, stopped boolean")
+        self.pieces = handle.getMapState("pieces", "piece long", "data binary")
+
+    def lay(self, rows: np.ndarray, held: set[int]) -> None:
+        piece = rows["epoch"] // self.PIECE
+        for p in np.unique(piece).tolist():
+            former = bytes(self.pieces.getValue((p,))[0]) if p in held else b""
+            self.pieces.updateValue((p,), (former + rows[piece == p].tobytes(),))
+            held.add(p)
+
+    def in_order(self, frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        """Rows by epoch, piece by piece; what was laid down is taken up again to the last."""
+        packed = (np.rec.fromarrays([f.epoch.to_numpy(np.int64), f.value.to_numpy(float)], dtype=self.ROW) for f in frames)
+        chunk, held = next(packed), set()
+        for more in packed:
+            self.lay(chunk, held)
+            chunk = more
+        if not held:
+            yield np.sort(chunk, order="epoch", kind="stable")
+            return
+        self.lay(chunk, held)
+        for p in sorted(held):
+            data = bytes(self.pieces.getValue((p,))[0])
+            self.pieces.removeKey((p,))
+            yield np.sort(np.frombuffer(data, self.ROW), order="epoch", kind="stable")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best, counter, stopped = self.state.get() if self.state.exists() else (None, 0, False)
-        epochs = pd.concat(list(rows)).sort_values("epoch")
-        for epoch, value in zip(epochs.epoch, epochs.value):
-            if stopped:
-                break
-            if best is None or value < best - self.min_delta:
-                best, counter = float(value), 0
-            else:
-                counter += 1
-            if counter >= self.patience:
-                stopped = True
-                yield pd.DataFrame({"run_id": [key[0]], "stop_epoch": [epoch]})
+        stop_epoch = None
+        for piece in self.in_order(rows):
+            for epoch, value in piece.tolist():
+                if stopped:
+                    break
+                if best is None or value < best - self.min_delta:
+                    best, counter = value, 0
+                else:
+                    counter += 1
+                if counter >= self.patience:
+                    stopped, stop_epoch = True, epoch
         self.state.update((best, counter, stopped))
+        if stop_epoch is not None:
+            yield pd.DataFrame({"run_id": [key[0]], "stop_epoch": [stop_epoch]})
 
     def close(self) -> None:
         pass

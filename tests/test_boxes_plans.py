@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,24 @@ def test_early_stop(spark, delta):
     assert got == {k: v for k, v in want.items() if v is not None}
 
 
+@pytest.mark.parametrize("delta, patience", [(0.0, 3), (0.7, 3), (2.0, 6), (1.0, 1), (0.5, 40), (0.5, 0)])
+def test_early_stop_links_over_pieces(spark, monkeypatch, delta, patience):
+    monkeypatch.setattr(history, "EPOCHS_PER_PIECE", 4)
+    draw = random.Random(7)
+    runs = {k: [max(0.0, 60 - e * draw.random()) + draw.choice([0, 0, 1.5, 3]) for e in range(draw.randrange(1, 90))] for k in range(25)}
+    runs[99] = [100.0 - e for e in range(80)] + [50.0] * 10
+    df = spark.createDataFrame([(k, e, float(v)) for k, vs in runs.items() for e, v in enumerate(vs)], "run_id long, epoch long, value double")
+    got = {r["run_id"]: r["stop_epoch"] for r in history.early_stop_epoch(df.repartition(5), patience, delta).collect()}
+    want = {k: stop_by_walk(vs, patience, delta) for k, vs in runs.items()}
+    assert got == {k: v for k, v in want.items() if v is not None}
+
+
+def test_early_stop_of_a_million_epochs(spark):
+    """One falling run: every third epoch is accepted, until it rises."""
+    run = spark.range(1_000_000).select(F.lit(1).alias("run_id"), F.col("id").alias("epoch"), F.when(F.col("id") < 900_000, -F.col("id")).otherwise(0).cast("double").alias("value"))
+    assert [tuple(r) for r in history.early_stop_epoch(run, 5, 2.5).collect()] == [(1, 899_997 + 5)]
+
+
 def test_class_warnings():
     assert scoring.class_warnings(4, ["a", "b", "c", "d"]) == []
     assert len(scoring.class_warnings(2, ["a"])) == 2

@@ -49,6 +49,15 @@ def test_early_stop_state_survives_batches(spark, tmp_path):
     assert [(r["run_id"], r["stop_epoch"]) for r in rows] == [(1, 4)]
 
 
+def test_early_stop_folds_a_long_batch_in_order(spark, tmp_path):
+    """One run brings 45,000 epochs in one micro-batch, out of order and in several chunks."""
+    order = [e * 7919 % 45_000 for e in range(45_000)]
+    values = lambda e: 1000.0 - e if e < 30_000 and e != 12_345 else 5000.0
+    stream = files(spark, tmp_path / "in", [[(1, e, values(e)) for e in order], [(2, 0, 1.0)]], "run_id long, epoch long, value double")
+    rows = monitors.drain(monitors.early_stops(stream, 100, 0.5), str(tmp_path / "run")).collect()
+    assert [(r["run_id"], r["stop_epoch"]) for r in rows] == [(1, 30_099)]
+
+
 def test_provider_setting_comes_back(spark):
     spark.conf.unset(monitors.PROVIDER)
     former = spark.conf.get(monitors.PROVIDER)  # the built-in default
