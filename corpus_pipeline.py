@@ -39,7 +39,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 ids."""
     ship_package(spark)
-    return packing.pack(docs, queries.word_vocabulary()).drop("ids")
+    return packing.pack(docs, queries.word_vocabulary(), with_ids=False)
 
 
 STAGES = [
