@@ -63,6 +63,7 @@ def turned_size(w: Column, h: Column, angle: Column, scale: Column) -> Column:
 def valid_boundary(x: Column, y: Column, w: Column, h: Column, frame_w: Column, frame_h: Column) -> Column:
     """Inside the frame, 30..95 % of both sides, aspect 0.2..1.5."""
     aspect = w.cast("double") / h
+    # The shares and the aspects below.
     return (
         (x >= 0) & (y >= 0) & (x + w <= frame_w) & (y + h <= frame_h)
         & (w >= frame_w * 0.3) & (h >= frame_h * 0.3)
@@ -82,6 +83,7 @@ def score_boundary(cands: DataFrame, rule: str) -> DataFrame:
     fw, fh = F.col("frame_w"), F.col("frame_h")
     frame = fw * fh
     aspect = w.cast("double") / h
+    # The weights, shares and aspects of the three rules.
     upright = (aspect >= 0.4) & (aspect <= 0.8)
     if rule == "centred":
         area_score = F.least(F.lit(1.0), area / (frame * 0.5))
@@ -129,6 +131,7 @@ def first_valid(images: DataFrame, cands: DataFrame, margins: dict = MARGINS) ->
 # --------------------------------------------------------------- inspection rectangles
 def crack_crops(x: Column, y: Column, w: Column, h: Column) -> Column:
     """Array of the top, middle and bottom square of the device."""
+    # The shares of width and height below.
     rx, rw = x + int_of(w * 0.025), int_of(w * 0.95)
     ry, rh = y + int_of(h * 0.01), int_of(h * 0.98)
     mid0, mid1 = int_of(ry + rh / 2 - rw / 2), int_of(ry + rh / 2 + rw / 2)
@@ -143,6 +146,7 @@ def crack_crops(x: Column, y: Column, w: Column, h: Column) -> Column:
 
 def power_on_strips(x: Column, y: Column, w: Column, h: Column, frame_w: Column) -> Column:
     """Array of the four strips beside and inside the upper device edge."""
+    # The shares of width and height below.
     ry, rh = y + int_of(h * 0.01), int_of(h * 0.052)
     inner = int_of(w * 0.12)
     strips = [
