@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panescan.llm import bpe, exact_dedup, packing, queries, sharding, substring_dedup, url_filter
@@ -165,18 +166,45 @@ def test_shards(spark, odd):
 def test_shards_are_drawn_evenly(spark):
     """Rows of one partition meet every shard about equally often, and orders differ by seed."""
     rows = spark.range(4000).repartition(7, "id")
-    found = sharding.shuffle_into_shards(rows, ["id"], 4, 1).collect()
+    found = sharding.shuffle_into_shards(rows, 4, 1).collect()
     low = Counter(r["shard"] for r in found if r["id"] < 2000)
     assert all(430 < n < 570 for n in low.values())
-    other = {r["id"]: r["slot"] for r in sharding.shuffle_into_shards(rows, ["id"], 4, 2).collect()}
+    other = {r["id"]: r["slot"] for r in sharding.shuffle_into_shards(rows, 4, 2).collect()}
     assert sum(other[r["id"]] == r["slot"] for r in found) < 50
 
 
-def test_hypergeometric_margins_and_mean():
-    matrix = sharding.communication_matrix([10, 0, 300, 25], [84, 84, 84, 83], 3)
-    assert [sum(r) for r in matrix] == [10, 0, 300, 25] and [sum(c) for c in zip(*matrix)] == [84, 84, 84, 83]
-    draws = [sharding.hypergeometric(random.Random(i), 30, 70, 20) for i in range(4000)]
-    assert abs(np.mean(draws) - 6) < 0.15 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.4
+def test_repeated_rows_are_spread_over_all_shards(spark):
+    """200 equal rows among 1,000 in 40 shards: five in each on average, as chance has it."""
+    rows = spark.range(1000).select(F.when(F.col("id") < 200, F.lit(None).cast("long")).otherwise(F.col("id")).alias("id"))
+    found = sharding.shuffle_into_shards(rows.repartition(5), 40, 1).collect()
+    equal = Counter(r["shard"] for r in found if r["id"] is None)
+    assert sum(equal.values()) == 200 and len(equal) >= 35 and max(equal.values()) <= 14
+    assert set(Counter(r["shard"] for r in found).values()) == {25}
+    slots = [r["slot"] for r in found if r["id"] is None]
+    assert 9 < np.mean(slots) < 15 and np.std(slots) > 5
+
+
+def test_matrix_margins_over_two_levels(spark):
+    draw = random.Random(3)
+    counts = {p: draw.choice([0, 1, 10, 300]) for p in range(60)}
+    counts = {p: n for p, n in counts.items() if n}
+    total = sum(counts.values())
+    sizes = [total // 7 + (s < total % 7) for s in range(7)]
+    frame = spark.createDataFrame(list(counts.items()), "_part int, n long")
+    made = {r["node"]: r["cells"] for r in sharding.communication_matrix(frame, 60, sizes, 3).collect()}
+    assert {p: sum(row) for p, row in made.items()} == counts
+    assert [sum(column) for column in zip(*made.values())] == sizes
+
+
+def test_hypergeometric_draws(spark):
+    drawn = lambda *facts: sharding.hypergeometric(F.xxhash64("id"), *[F.lit(f) for f in facts])
+    rows = spark.range(4000).select(drawn(30, 70, 20).alias("a"), drawn(5, 0, 3).alias("b"), drawn(0, 9, 4).alias("c"), drawn(0, 0, 0).alias("d"), drawn(6, 4, 8).alias("e"), drawn(40000, 60000, 50000).alias("f"))
+    a, b, c, d, e, f = zip(*rows.collect())
+    assert abs(np.mean(a) - 6) < 0.15 and abs(np.var(a) - 20 * 0.3 * 0.7 * 80 / 99) < 0.4
+    assert (set(b), set(c), set(d), set(e)) == ({3}, {0}, {0}, {4, 5, 6})
+    share = Counter(e)
+    assert abs(share[4] / 4000 - 1 / 3) < 0.03 and abs(share[6] / 4000 - 2 / 15) < 0.03  # 15, 24 and 6 of 45
+    assert abs(np.mean(f) - 20000) < 8 and abs(np.std(f) / 77.5 - 1) < 0.05
 
 
 def test_shards_empty_table(spark, empty):
