@@ -115,13 +115,15 @@ def communication_matrix(counts: DataFrame, parts: int, sizes: list[int], seed:
     depth, span = 1, FAN
     while span < parts:
         depth, span = depth + 1, span * FAN
-    spark = counts.sparkSession
-    matrix = spark.range(1).select(F.lit(0).cast("bigint").alias("node"), F.array(*[F.lit(s).cast("bigint") for s in sizes]).alias("cells"))
+    matrix = None
     for level in reversed(range(depth)):
         nodes = counts.groupBy(F.floor(F.col("_part") / FAN**level).alias("node")).agg(F.sum("n").alias("n"))
         kids = nodes.groupBy(F.floor(F.col("node") / FAN).alias("parent")).agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("kids"))
-        dealt = matrix.join(kids, matrix["node"] == kids["parent"]).select(_rows_of(F.col("kids"), F.col("cells"), level, seed).alias("rows"))
-        matrix = dealt.select(F.inline("rows"))
+        if matrix is None:  # one row: the root
+            given = kids.withColumn("cells", F.array(*[F.lit(s).cast("bigint") for s in sizes]))
+        else:
+            given = matrix.join(kids, matrix["node"] == kids["parent"])
+        matrix = given.select(_rows_of(F.col("kids"), F.col("cells"), level, seed).alias("rows")).select(F.inline("rows"))
     return cut_lineage(matrix)
 
 
