@@ -140,8 +140,10 @@ def look_up(rows: DataFrame, groups: DataFrame, distinct: int) -> DataFrame:
     index = keep(build_index(groups, buckets, total))
     slices = index.select("bucket", "slices")  # 8 bytes for BUCKET_KEYS groups
     slices = F.broadcast(slices) if buckets <= BROADCAST_ROWS else slices
-    dealt = rows.withColumn("bucket", _bucket("digest", buckets)).join(slices, "bucket", "left")
-    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.coalesce("slices", F.lit(blocks(total, buckets * SLICE_ROWS)))).cast("int"))
+    # by place, so that copies with null ids or one and the same id spread like any others
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.withColumn("bucket", _bucket("digest", buckets)).join(slices, "bucket", "left")
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("place", F.lit(7)), F.coalesce("slices", F.lit(blocks(total, buckets * SLICE_ROWS)))).cast("int"))
     copies = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     facts = ["lengths", "bits", "digests", "winners", "known", "sizes"]
     both = dealt.select("bucket", "slice", F.lit(1).alias("kind"), "doc_id", "digest", *[F.lit(None).alias(c) for c in facts])

@@ -125,6 +125,17 @@ def test_exact_groups_with_history(spark):
     assert found == {0: (100, 5, False), 1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}
 
 
+def test_copies_without_ids_spread_over_slices(spark, monkeypatch):
+    """A hot text whose rows have null ids, or all the same id, doesn't meet in one task."""
+    monkeypatch.setattr(exact_dedup, "SLICE_ROWS", 200)
+    for doc_id in (None, 7):
+        rows = exact_dedup.fingerprints(spark.range(0, 4000, 1, 8).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("hot").alias("text")))
+        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("size"))
+        found = exact_dedup.look_up(rows, groups, 1)
+        spread = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert sum(r["count"] for r in spread) == 4000 and max(r["count"] for r in spread) < 2400
+
+
 def test_perfect_hash_is_minimal():
     words = np.random.default_rng(1).integers(0, 1 << 63, (5000, 4), np.uint64)
     made = exact_dedup.PerfectHash.load(*exact_dedup.PerfectHash.build(words).dump())
