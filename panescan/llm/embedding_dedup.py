@@ -14,13 +14,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from panescan.llm.common import blocks, keep, partitions
 from panescan.llm.components import components
 
 TILE = 4096  # vectors of a tile
 STRIP = 1024  # rows of a tile multiplied at once
-SLACK = 1e-5  # above the rounding of a single-precision product of unit vectors
+
+
+def slack(dim: int) -> float:
+    """Above the rounding of a single-precision product of unit vectors with ``dim`` components and two bounds.
+
+    Each of the dim + 2 terms is rounded once in either factor, once as a product and at most dim + 1 times in
+    the sum, by 2^-24 of itself; the terms' sizes add up to no more than 1 and what the bounds add.
+    """
+    return 2 * (dim + 5) * 2.0**-24
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near one: no square overflows, no cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +73,8 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Tile:
     def __init__(self, row: dict):
         self.dim, self.ids = row["dim"], np.frombuffer(row["ids"], np.int64)
-        self.copies, self.raw = np.frombuffer(row["copies"], np.int64), np.frombuffer(row["raw"], np.float32).reshape(-1, row["dim"]).astype(float)
+        self.copies, width = np.frombuffer(row["copies"], np.int64), len(row["raw"]) // (len(self.ids) * self.dim)
+        self.raw = scaled(np.frombuffer(row["raw"], f"<f{width}").reshape(-1, self.dim).astype(float))
         self.codes, self.scale, self.error = np.frombuffer(row["codes"], np.int8).reshape(-1, row["dim"]), np.frombuffer(row["scale"]), np.frombuffer(row["error"])
         self.norm = np.linalg.norm(self.raw, axis=1)
 
@@ -73,7 +88,7 @@ def compare(x: Tile, y: Tile, same: bool, threshold: float) -> tuple[np.ndarray,
     for top in range(0, len(x.ids), STRIP):
         stop = min(top + STRIP, len(x.ids))
         upper = bounded(x.codes[top:stop], x.scale[top:stop], x.error[top:stop], True) @ right.T
-        near = upper >= threshold - SLACK
+        near = upper >= threshold - slack(x.dim)
         if same:
             near &= np.arange(top, stop)[:, None] < np.arange(len(y.ids))
         rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
@@ -96,8 +111,9 @@ _FACTS = ["ids", "copies", "raw", "codes", "scale", "error"]
 def _tiles(distinct: DataFrame, count: int) -> DataFrame:
     def build(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
-        raw = np.array(table.column("embedding").to_pylist(), np.float32).reshape(-1, dim)
-        codes, scale, error = quantise(raw.astype(float))
+        vectors = table.column("embedding").combine_chunks()
+        raw = vectors.flatten().to_numpy().reshape(-1, dim)  # single or double, as given
+        codes, scale, error = quantise(scaled(raw.astype(float)))
         blobs = [np.array(table.column(c).to_pylist(), np.int64) for c in ("id", "copies")] + [raw, codes, scale, error]
         names = [pa.array([v.tobytes()], pa.binary()) for v in blobs]
         return pa.table([pa.array([dim], pa.int32()), pa.array([table.column("tile")[0].as_py()], pa.int32()), *names], ["dim", "tile", *_FACTS])
@@ -140,9 +156,12 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do
     vectors of different lengths and rows with a null vec_id. A repeated row counts as another vector.
-    Labels and other columns play no part.
+    Labels and other columns play no part. Components stay as precise as they are given: single stays single,
+    all other numbers are taken as double. An empty table gives no rows.
     """
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    single = embeddings.schema["embedding"].dataType == ArrayType(FloatType(), embeddings.schema["embedding"].dataType.containsNull)
+    kind = "array<float>" if single else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.coalesce(F.col("vec_id").isNotNull() & fine & F.exists("embedding", lambda x: x != 0), F.lit(False))
     distinct = keep(rows.where(good).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))

@@ -364,7 +364,29 @@ def test_bounds_hold():
     x, y = draw.normal(size=(200, 64)), draw.normal(size=(150, 64))
     upper = embedding_dedup.bounded(*embedding_dedup.quantise(x), True) @ embedding_dedup.bounded(*embedding_dedup.quantise(y), False).T
     true = (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
-    assert (upper + embedding_dedup.SLACK >= true).all() and (upper - true).max() < 0.05
+    assert (upper + embedding_dedup.slack(64) >= true).all() and (upper - true).max() < 0.05
+
+
+def test_bounds_hold_for_long_vectors_of_any_size():
+    """Components of one sign add up their rounding; huge and tiny ones neither overflow nor vanish."""
+    draw = np.random.default_rng(2)
+    for dim, size in ((4000, 1.0), (3000, 1e200), (50, 1e-200)):
+        x = draw.uniform(0.9, 1.0, (60, dim)) * size
+        unit = embedding_dedup.scaled(x)
+        assert np.isfinite(unit).all() and (unit > 0.4).all()
+        left, right = (embedding_dedup.bounded(*embedding_dedup.quantise(unit), side) for side in (True, False))
+        true = (unit @ unit.T) / np.linalg.norm(unit, axis=1)[:, None] / np.linalg.norm(unit, axis=1)
+        assert (left @ right.T + embedding_dedup.slack(dim) >= true).all()
+
+
+def test_doubles_stay_doubles(spark):
+    """The second pair's cosine passes the threshold in single precision only."""
+    tilt = float(np.sqrt(1 / 0.95**2 - 1))
+    rows = [(1, [1e150, 0.0]), (2, [1e150, 1e150 * tilt * (1 - 1e-12)]), (11, [0.0, 0.0, 1.0, 0.0]), (12, [0.0, 0.0, 1.0, tilt * (1 + 1e-10)])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 11: (0, 11), 12: (0, 12)}
+    whole = spark.createDataFrame([(1, [3, 4]), (2, [6, 8]), (3, [4, -3])], "vec_id long, embedding array<int>")
+    assert {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_vectors(whole).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_near_vectors_empty(spark):
