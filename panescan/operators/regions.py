@@ -10,11 +10,12 @@ pixel in raster order, so names do not depend on partitioning.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panescan import schema
@@ -294,32 +295,77 @@ def iou_pairs(labelled: DataFrame, regions: DataFrame, pred: str, truth: str) ->
     return joined.withColumn("iou", F.col("inter") / (F.col("p_area") + F.col("t_area") - F.col("inter")))
 
 
-def greedy_match(pairs: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("image_id", "class_id")) -> DataFrame:
+def _best_for_both(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs that are the best of both their ends: what the greedy walk takes whatever else it does."""
+    best = F.struct((-F.col("iou")).alias("r"), F.col("p"), F.col("t"))
+    for end in ("p", "t"):
+        pairs = pairs.withColumn(f"best_{end}", F.min(best).over(Window.partitionBy(*keys, end)))
+    return pairs.where((best == F.col("best_p")) & (best == F.col("best_t"))).drop("best_p", "best_t")
+
+
+def _walk_components(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The greedy walk over each ``root`` of ``pairs``, whole components per task, rows as they stream by."""
+    cols = [*keys, "p", "t", "iou"]
+    group = [*keys, "root"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used_p, used_t = None, set(), set()
+        for batch in batches:
+            taken = []
+            heads = zip(*(batch.column(c).to_pylist() for c in group))
+            for i, (head, p, t) in enumerate(zip(heads, batch.column("p").to_pylist(), batch.column("t").to_pylist())):
+                if head != at:
+                    at, used_p, used_t = head, set(), set()
+                if p not in used_p and t not in used_t:
+                    used_p.add(p)
+                    used_t.add(t)
+                    taken.append(i)
+            yield batch.select(cols).take(pa.array(taken, pa.int64()))
+
+    ordered = pairs.repartition(*group).sortWithinPartitions(*group, F.desc("iou"), "p", "t")
+    return ordered.mapInArrow(walk, pairs.select(*cols).schema)
+
+
+def greedy_match(
+    pairs: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("image_id", "class_id"), limit: int = 1 << 20
+) -> DataFrame:
     """One-to-one pairs by falling IoU, ties by (p, t).
 
-    A pair that is best for both its ends is what the greedy walk takes first; taking all
-    such pairs and dropping what they use, until nothing is left, gives the greedy result;
-    there is no limit to the rounds, and a chain of falling IoU takes one for every two links.
-    From .5 upwards regions that are disjoint on each side leave no second choice, so one
-    round settles it; overlapping regions of one side must not be matched at such thresholds.
+    From .5 upwards regions that are disjoint on each side leave no second choice but ties, so the pairs
+    that are best for both ends settle it; overlapping regions of one side must not be matched so.
+
+    Below, pairs that share no region with others don't bear on each other: the graph of pairs is cut into
+    connected components, and each of at most ``limit`` pairs is walked in one sorted pass, a chain of any
+    length too. Of a larger one the pairs that are best for both ends are taken and all pairs of their
+    regions dropped, until what is left falls into components within the limit.
     """
     keys = list(keys)
-    left = cut_lineage(pairs.where(F.col("iou") >= threshold).select(*keys, "p", "t", "iou"))
-    taken: DataFrame | None = None
-    rank = F.struct((-F.col("iou")).alias("r"), F.col("p"), F.col("t"))
+    cols = [*keys, "p", "t", "iou"]
+    left = pairs.where(F.col("iou") >= threshold).select(*cols)
+    if threshold >= 0.5:
+        return _best_for_both(left, keys)
+    left = cut_lineage(left)
+    taken: list[DataFrame] = []
     while True:
-        best_p = left.groupBy(*keys, "p").agg(F.min(rank).alias("best_p"))
-        best_t = left.groupBy(*keys, "t").agg(F.min(rank).alias("best_t"))
-        ranked = left.join(best_p, [*keys, "p"]).join(best_t, [*keys, "t"])
-        mutual = cut_lineage(ranked.where((rank == F.col("best_p")) & (rank == F.col("best_t"))).select(*keys, "p", "t", "iou"))
-        taken = mutual if taken is None else cut_lineage(taken.unionByName(mutual))
-        if threshold >= 0.5:
-            return taken
-        left = cut_lineage(
-            left.join(mutual.select(*keys, "p"), [*keys, "p"], "left_anti").join(mutual.select(*keys, "t"), [*keys, "t"], "left_anti")
-        )
-        if left.isEmpty():
-            return taken
+        # regions of the two sides as nodes of one graph: even and odd
+        ends = left.withColumn("u", F.col("p") * 2).withColumn("v", F.col("t") * 2 + 1)
+        roots = contract(ends.select(*keys, "u", "v"), keys)
+        if roots is None:
+            break
+        placed = ends.join(roots.withColumnRenamed("node", "u"), [*keys, "u"]).select(*cols, "root")
+        sizes = placed.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("size"))
+        large = cut_lineage(sizes.where(F.col("size") > limit).drop("size"))
+        if large.isEmpty():
+            taken.append(_walk_components(placed, keys))
+            break
+        taken.append(_walk_components(placed.join(large, [*keys, "root"], "left_anti"), keys))
+        hard = cut_lineage(placed.join(large, [*keys, "root"]).select(*cols))
+        sure = cut_lineage(_best_for_both(hard, keys))
+        taken.append(sure)
+        for end in ("p", "t"):
+            hard = hard.join(sure.select(*keys, end), [*keys, end], "left_anti")
+        left = cut_lineage(hard.select(*cols))
+    return reduce(DataFrame.unionByName, taken) if taken else left
 
 
 def object_metrics(regions: DataFrame, matches: DataFrame, pred: str, truth: str) -> DataFrame:

@@ -240,10 +240,36 @@ def test_set_algebra_of_overlapping_layers(spark):
     assert shown(masks.except_runs(runs, other)) == [(1, 0, 3), (1, 8, 9), (2, 8, 14)]
 
 
+PAIR = "image_id long, class_id int, p long, t long, iou double"
+
+
 def test_long_chain_of_falling_overlaps_is_matched(spark):
-    chain = [(1, 1, i, i + d, 0.49 - 0.001 * (2 * i + d)) for i in range(30) for d in (0, 1)]
-    got = regions.greedy_match(spark.createDataFrame(chain, "image_id long, class_id int, p long, t long, iou double"), 0.1)
-    assert sorted((r["p"], r["t"]) for r in got.collect()) == [(i, i) for i in range(30)]
+    """5,000 links, each blocking the next, in one pass: the jobs are those of cutting components."""
+    chain = [(1, 1, i, i + d, 0.49 - 0.0001 * (2 * i + d) / 2) for i in range(2500) for d in (0, 1)]
+    context = spark.sparkContext
+    context.setJobGroup("chain", "greedy match of a long chain")
+    got = regions.greedy_match(spark.createDataFrame(chain, PAIR), 0.1).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("chain"))
+    context.setJobGroup("", "")
+    assert sorted((r["p"], r["t"]) for r in got) == [(i, i) for i in range(2500) if 0.49 - 0.0001 * i >= 0.1]
+    assert jobs < 300
+
+
+@pytest.mark.parametrize("limit", [1, 6, 1000])
+def test_greedy_match_of_small_and_large_components(spark, limit):
+    """Several images and classes at once, ties of IoU, components above and below the limit."""
+    draw = np.random.default_rng(8)
+    made = {(int(i), int(c), int(p), int(t)): round(float(v), 1) for i, c, p, t, v in zip(draw.integers(0, 3, 90), draw.integers(1, 3, 90), draw.integers(0, 12, 90), draw.integers(0, 12, 90), draw.random(90))}
+    frame = spark.createDataFrame([(*key, iou) for key, iou in made.items()], PAIR)
+    got = regions.greedy_match(frame, 0.1, limit=limit)
+    assert got.columns == ["image_id", "class_id", "p", "t", "iou"]
+    found = {}
+    for r in got.collect():
+        found.setdefault((r["image_id"], r["class_id"]), []).append((r["p"], r["t"]))
+        assert made[r["image_id"], r["class_id"], r["p"], r["t"]] == r["iou"]
+    for group in {k[:2] for k in made}:
+        assert sorted(found.get(group, [])) == greedy([(*k[2:], v) for k, v in made.items() if k[:2] == group], 0.1)
+    assert regions.greedy_match(frame.where("false"), 0.1).count() == 0
 
 
 def test_defect_extraction_finds_a_spot(spark):
