@@ -169,34 +169,52 @@ def perf_stats(rows: DataFrame, seconds: Column, keys: Sequence[str] = ()) -> Da
     )
 
 
-def exact_median(rows: DataFrame, keys: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
-    """Interpolated median per key without holding a group: keys, median.
+def order_image(value: Column) -> Column:
+    """A bigint for each double, in the same order; equal values share one, NaN comes last.
 
-    Equal values are counted first, the counts fall into equal-width buckets, and only the
-    bucket that holds the middle ranks is looked into.  The bucket window has a fixed
-    length, and the value window sorts with spill.
+    The exponent counts octaves up from the smallest normal double and the mantissa counts steps within
+    one; both are exact, as only powers of two are divided by. Negative values mirror positive ones.
+    """
+    size = F.abs(value)
+    octave = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
+    # a logarithm may be rounded over a power of two
+    low, high = F.pow(F.lit(2.0), octave) > size, size / F.pow(F.lit(2.0), octave) >= 2
+    octave = F.greatest(F.lit(-1022.0), octave - low.cast("int") + high.cast("int"))
+    steps = (size / F.pow(F.lit(2.0), octave) * 2.0**52).cast("bigint")
+    image = (octave + 1022).cast("bigint") * (1 << 52) + steps
+    image = F.when(size == 0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(2047 << 52)).otherwise(image)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -image).otherwise(image)
+
+
+def exact_median(rows: DataFrame, keys: Sequence[str], value: str, bits: int = 22) -> DataFrame:
+    """Interpolated median per key without holding or sorting a group: keys, median.
+
+    Radix selection: equal values are counted first; then, from the highest ``bits`` bits of the values'
+    order-preserving image down, the counts of the prefixes that share the chosen one are added up, and
+    the prefix that holds the middle rank is chosen. A pass orders at most 2^bits counts of a key, however
+    the values lie; two middle ranks go down side by side and may part on the way.
     """
     keys = list(keys)
-    v = F.col("v")
     counts = rows.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    place = F.coalesce(F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * buckets
-    placed = counts.join(ends, keys).withColumn("b", F.least(F.lit(buckets - 1), F.floor(place)).cast("int"))
-    in_order = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    sums = placed.groupBy(*keys, "b").agg(F.sum("n").alias("bn"), F.first("total").alias("total"))
-    chosen = (
-        sums.withColumn("before", F.sum("bn").over(in_order) - F.col("bn"))
-        .where((F.col("before") <= high) & (F.col("before") + F.col("bn") > low))
-        .select(*keys, "b", "before")
-    )
-    within = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.join(chosen, [*keys, "b"]).withColumn("upto", F.col("before") + F.sum("n").over(within))
-
-    def at(rank):
-        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (F.col("upto") > rank), v))
-
-    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
+    counts = counts.withColumn("image", order_image(F.col("v")))
+    chosen: DataFrame | None = None
+    for shift in reversed(range(0, 64, bits)):
+        prefix = F.shiftright("image", shift).alias("prefix")
+        if chosen is None:
+            sums = counts.groupBy(*keys, prefix).agg(F.sum("n").alias("n"))
+            total = F.sum("n").over(Window.partitionBy(*keys))
+            middles = F.array(F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2))
+            before = F.sum("n").over(Window.partitionBy(*keys).orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+            placed = sums.withColumn("total", total).withColumn("before", before).select("*", F.posexplode(middles).alias("side", "rank"))
+        else:
+            known = chosen.withColumnRenamed("prefix", "upper")
+            within = counts.withColumn("upper", F.shiftright("image", shift + bits)).join(known, [*keys, "upper"])
+            sums = within.groupBy(*keys, "side", "rank", prefix).agg(F.sum("n").alias("n"), F.max("v").alias("v"))
+            upward = Window.partitionBy(*keys, "side").orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            placed = sums.withColumn("before", F.sum("n").over(upward) - F.col("n"))
+        placed = placed.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+        chosen = placed.select(*keys, "side", "prefix", (F.col("rank") - F.col("before")).alias("rank"), *(["v"] if shift == 0 else []))
+    return chosen.groupBy(*keys).agg((F.sum("v") / 2).alias("median"))
 
 
 def batch_summary(shares: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -335,3 +335,34 @@ def test_exact_median(spark):
     got = {r["k"]: r["median"] for r in summary.exact_median(df, ["k"], "v", 16).collect()}
     for k in got:
         assert got[k] == pytest.approx(np.median([v for q, v in rows if q == k]))
+
+
+def test_order_image_is_that_of_doubles(spark):
+    edges = [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), 0.1, 1 / 3, 1e16]
+    powers = [2.0**e for e in range(-1074, 1024, 7)]
+    near = [float(np.nextafter(v, side)) for v in powers for side in (0, np.inf)]
+    bits = np.random.default_rng(9).integers(0, 2047 << 52, 2000).view(np.float64).tolist()
+    values = [s * v for v in edges + powers + near + bits for s in (1.0, -1.0)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", summary.order_image(F.col("v")).alias("image")).collect()
+    found = sorted((r["image"], r["v"]) for r in rows)
+    assert [v for _, v in found] == sorted(values)
+    assert len({i for i, _ in found}) == len(set(values))
+    # neighbouring doubles are neighbouring images
+    assert all(abs(r["image"]) == int(np.abs(np.float64(r["v"])).view(np.int64)) for r in rows)
+    assert spark.range(1).select(summary.order_image(F.lit(float("nan")))).first()[0] == (1 << 63) - 1
+
+
+@pytest.mark.parametrize("bits", [7, 16, 32])
+def test_exact_median_of_skewed_series(spark, bits):
+    """One far value, values in the last bits of one number, signs, ends of the scale, ranks that part early."""
+    draw = np.random.default_rng(10)
+    series = {
+        1: np.r_[1e300, 1 + draw.integers(0, 200, 301) * 2.0**-52],
+        2: -np.r_[1e-310, 1e-310 * draw.integers(1, 9, 40), 1.0],
+        3: np.array([-1e308, 1e-300]),
+        4: np.r_[np.repeat(-7.5, 300), draw.normal(size=300)],
+        5: np.array([0.0, -0.0, 3.0, float("inf")]),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in series.items() for v in vs] + [(1, None), (6, None)], "k int, v double")
+    got = {r["k"]: r["median"] for r in summary.exact_median(df, ["k"], "v", bits).collect()}
+    assert got == {k: float(np.median(v)) for k, v in series.items()}
