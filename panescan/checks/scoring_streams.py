@@ -11,6 +11,7 @@ from panescan.checks.derived import gray, r6, table
 from panescan.checks.registry import registry
 from panescan.operators import raster, scoring, summary
 from panescan.plans.inspect import inspect
+from panescan.schema import LABELS
 from panescan.session import checkpoint_folder
 from panescan.streaming import monitors
 
@@ -71,6 +72,68 @@ def score_status(spark, sf_dir):
     return scoring.score(patches, level_scorer).select("image_id", "patch_id", "status", "error")
 
 
+def stacked_scorer():
+    """The cubic scorer over stacks: one dark corner fails the whole stack."""
+
+    def predict(images: np.ndarray) -> np.ndarray:
+        if (images[:, 0, 0] < 0.15).any():
+            raise ValueError("dark corner")
+        q = np.rint(images.astype(np.float64) * 255) / 256
+        return np.stack([1 - q, q * (1 - q), q * q * (1 - q), q * q * q], axis=1)
+
+    return predict
+
+
+@query("score_stacked", None, SQL["score_patches"])
+def score_stacked(spark, sf_dir):
+    """Stacks of up to 32 patches, halved where a patch fails."""
+    patches = scoring.cut_patches(photo_tiles(spark, sf_dir), photo_frames(spark, sf_dir), 4, 0)
+    px = scoring.score_pixels(scoring.score(patches, stacked_scorer, stack_bytes=32 * 64))
+    return px.select("image_id", "patch_id", "y", "x", *[C("probs")[i].alias(f"p{i}") for i in range(4)])
+
+
+def sixteenths_scorer():
+    """Scores in sixteenths, which the smooth resize keeps exact: 1-q, q, 0, 0."""
+
+    def predict(images: np.ndarray) -> np.ndarray:
+        q = np.rint(images.astype(np.float64) * 255) // 16 / 16
+        return np.stack([1 - q, q, 0 * q, 0 * q], axis=1)
+
+    return predict
+
+
+KEYS = "case when d<=1 then 1.25e0*d*d*d-2.25e0*d*d+1 when d<2 then -0.75e0*(d*d*d-5*d*d+8*d-4) else 0 end"
+
+
+@query("score_small_smooth", "gray", f""", a as (select image_id, y//4*2+x//4 patch_id, y%4//2 sy, x%4//2 sx, (2*sum(value)+4)//8//16/16.0e0 q from gray group by all),
+ tap as (select t, least(1,greatest(0,s)) s, sum({KEYS}) k from (select t, s, abs((t+0.5e0)/2-0.5e0-s) d from range(4) u(t), range(-3,6) v(s)) group by all)
+select image_id, patch_id::bigint patch_id, (patch_id//2*4+ty.t)::int y, (patch_id%2*4+tx.t)::int x, sum((1-q)*ty.k*tx.k) p0, sum(q*ty.k*tx.k) p1
+ from a join tap ty on ty.s=sy join tap tx on tx.s=sx group by all""")
+def score_small_smooth(spark, sf_dir):
+    """Patches go to the model at half size by area mean; scores come back smoothly."""
+    patches = scoring.cut_patches(photo_tiles(spark, sf_dir), photo_frames(spark, sf_dir), 4, 0)
+    px = scoring.score_pixels(scoring.score(patches, sixteenths_scorer, (2, 2), "area", "cubic", 1 << 20))
+    return px.select("image_id", "patch_id", "y", "x", C("probs")[0].alias("p0"), C("probs")[1].alias("p1"))
+
+
+@query("class_check", "gray", LEVEL + """, n as (select count(*) filter (bad) errors from fl)
+select m.model, m.k::int num_classes, errors::bigint errors, m.w warnings from n, (values ('four',4,[]::varchar[]),('two',2,['model has 2 classes but 4 names are given','model has only 2 classes'])) m(model,k,w)""")
+def class_check(spark, sf_dir):
+    """Two models checked against the four class names by what their scores turn out to hold."""
+    patches = scoring.cut_patches(photo_tiles(spark, sf_dir), photo_frames(spark, sf_dir), 4, 0)
+    found = None
+    for model, scorer in (("four", level_scorer), ("two", pair_scorer)):
+        checked = scoring.check_classes(scoring.score(patches, scorer), [n for n, _, _ in LABELS])[1].withColumn("model", F.lit(model))
+        found = checked if found is None else found.unionByName(checked)
+    return found
+
+
+def pair_scorer():
+    """The first two scores of the level scorer."""
+    predict = level_scorer()
+    return lambda images: predict(images)[:, :2]
+
+
 CLS = LEVEL + """, cl as (select image_id, y, x, case when bad then 0 when l0>=l1 and l0>=l2 and l0>=l3 then 0 when l1>=l2 and l1>=l3 then 1 when l2>=l3 then 2 else 3 end c from lv)"""
 
 
@@ -96,6 +159,48 @@ def inspect_patches_against_truth(spark, sf_dir):
     return out["metrics"].select(own, "class_id", "inter", "pred_n", "true_n", r6("iou", "iou"), r6("dice", "dice"))
 
 
+TRUTH_OF = """, tr as (select image_id, y//4*2+x//4 patch_id, y, x, least(3, value//64)::int t from gray),
+ j as (select {unit}, c p, t from cl join tr using (image_id, y, x)),
+ s as (select {keys}, k, count(*) filter (p=k and t=k) i, count(*) filter (p=k) pn, count(*) filter (t=k) tn from j, range(4) r(k) group by all)
+select {keys}, k::int class_id, i::bigint inter, pn::bigint pred_n, tn::bigint true_n, round(case when pn+tn-i>0 then i/(pn+tn-i)::double else 1 end,6) iou, round(case when pn+tn>0 then 2*i/(pn+tn)::double else 1 end,6) dice from s where {where}"""
+STATS_OF = """select {keys}, 'pred' as layer, k::int class_id, ['background','condensation','dirt','scratch'][k+1] class_name, count(*) filter (c=k)::bigint pixels,
+ round(count(*) filter (c=k)*100.0e0/count(*),6) percentage from (select *, y//4*2+x//4 patch_id from cl), range(4) r(k) where {where} group by {keys}, k"""
+ONE = 5  # the photo of the single modes
+
+
+def mode(name: str, full: bool, truth: bool, single: bool) -> None:
+    """Registers one mode of the inspection: its metrics where there is truth, its class shares where there is none."""
+    keys = "image_id" if full else "image_id, patch_id"
+    unit = keys if full else "image_id, patch_id::bigint patch_id"
+    text = (TRUTH_OF if truth else STATS_OF.replace("{keys}, 'pred'", "{unit}, 'pred'")).format(keys=keys, unit=unit, where=f"image_id = {ONE}" if single else "true")
+
+    @query(name, "gray", CLS + text)
+    def run(spark, sf_dir):
+        given = None
+        if truth:
+            y, x = (C("y"), C("x")) if full else (C("y") % 4, C("x") % 4)
+            patch = (F.floor(C("y") / 4) * 2 + F.floor(C("x") / 4)).alias("patch_id")
+            level = F.least(F.lit(3), F.floor(C("value") / 64)).cast("int").alias("value")
+            own = ("image_id", "layer") if full else ("image_id", "patch_id", "layer")
+            cells = gray(spark, sf_dir).select("image_id", patch, F.lit("truth").alias("layer"), y.alias("y"), x.alias("x"), level)
+            given = raster.pixels_to_runs(cells, own)
+        out = inspect(
+            photo_tiles(spark, sf_dir), photo_frames(spark, sf_dir), level_scorer, patch_size=4, overlap=0, tile=8, full=full, truth=given, only_image=ONE if single else None
+        )
+        ids = keys.split(", ")
+        if truth:
+            return out["metrics"].select(*ids, "class_id", "inter", "pred_n", "true_n", r6("iou", "iou"), r6("dice", "dice"))
+        return out["class_stats"].select(*ids, "layer", "class_id", "class_name", "pixels", r6("percentage", "percentage"))
+
+
+mode("inspect_full_against_truth", full=True, truth=True, single=False)
+mode("inspect_patches_batch", full=False, truth=False, single=False)
+mode("inspect_full_one", full=True, truth=False, single=True)
+mode("inspect_full_one_against_truth", full=True, truth=True, single=True)
+mode("inspect_patches_one", full=False, truth=False, single=True)
+mode("inspect_patches_one_against_truth", full=False, truth=True, single=True)
+
+
 def bright_detector():
     """Boxes around the four brightest pixels of the small photo, confidence by level."""
 

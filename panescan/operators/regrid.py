@@ -130,6 +130,18 @@ def _resized(t: dict, size_px: int, area: bool) -> Iterator[dict]:
             yield _part(t, ty, tx, u, v, cells.astype(f"<u{width}"), unit)
 
 
+def resize_array(a: np.ndarray, h: int, w: int, how: str) -> np.ndarray:
+    """What ``resize`` makes of one whole image, for images small enough to lie in one row."""
+    ys, xs = _Axis(a.shape[0], h, 0, a.shape[0]), _Axis(a.shape[1], w, 0, a.shape[1])
+    if a.shape == (h, w):
+        return a
+    if how == "nearest":
+        return a[ys.picked(0, h)[:, None], xs.picked(0, w)[None, :]]
+    (_, by_row), (_, by_column) = ys.weights(0, h), xs.weights(0, w)
+    unit = ys.of_target * xs.of_target
+    return ((2 * (by_row @ a @ by_column.T).astype(np.int64) + unit) // (2 * unit)).astype(np.uint8)
+
+
 def _resize(placed: DataFrame, size_px: int, area: bool, finish=None) -> DataFrame:
     return _exchange(placed, size_px, lambda t: _resized(t, size_px, area), finish)
 

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from panescan import schema
 from panescan.operators.patches import grid_step
+from panescan.operators.regrid import resize_array
 from panescan.operators.voting import _batched
+from panescan.session import cut_lineage
 
 Scorer = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
@@ -86,29 +88,94 @@ def area_downscale(a: np.ndarray, factor: int) -> np.ndarray:
     return np.floor(blocks.mean(axis=(1, 3)) + 0.5).astype(np.uint8)
 
 
-def score(patches: DataFrame, scorer: Scorer, target: tuple[int, int] | None = None) -> DataFrame:
+# --- fixed values: the cubic kernel's parameter -----------------------------------------
+CUBIC = -0.75
+
+
+def _cubic_weights(n: int, m: int) -> np.ndarray:
+    """Share of each of ``n`` cells in each of ``m``: cubic convolution about cell centres, borders replicate."""
+    at = (np.arange(m) + 0.5) * n / m - 0.5
+    out = np.zeros((m, n))
+    for k in range(-1, 3):
+        cell = np.floor(at).astype(int) + k
+        d = np.abs(at - cell)
+        near = (CUBIC + 2) * d**3 - (CUBIC + 3) * d**2 + 1
+        far = CUBIC * (d**3 - 5 * d**2 + 8 * d - 4)
+        np.add.at(out, (np.arange(m), np.clip(cell, 0, n - 1)), np.where(d <= 1, near, np.where(d < 2, far, 0.0)))
+    return out
+
+
+def resize_cubic(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Last two axes to (h, w), smoothly; values may leave their range a little next to steep edges."""
+    if a.shape[-2:] == (h, w):
+        return a
+    return _cubic_weights(a.shape[-2], h) @ a @ _cubic_weights(a.shape[-1], w).T
+
+
+def _judged(predict, stack: list[tuple]) -> Iterator[tuple]:
+    """(patch, scores or error) of a stack of equal shape; a failing stack is halved down to its failing patches."""
+    todo = [stack]
+    while todo:
+        part = todo.pop()
+        try:
+            found = np.asarray(predict(np.stack([image for _, image in part])))
+            if len(found) != len(part):
+                raise ValueError(f"{len(found)} results for {len(part)} patches")
+        except Exception as error:  # the row carries the failure, the job goes on
+            if len(part) == 1:
+                yield part[0][0], error
+            else:
+                middle = len(part) // 2
+                todo += [part[middle:], part[:middle]]
+            continue
+        yield from zip((p for p, _ in part), found)
+
+
+def score(patches: DataFrame, scorer: Scorer, target: tuple[int, int] | None = None, shrink: str = "nearest", back: str = "nearest", stack_bytes: int = 0) -> DataFrame:
     """Class scores per patch (float32, class-major); a failing patch becomes an error row.
 
-    The patch is brought to ``target``, scaled to 0..1, scored, and the scores are brought
-    back to the patch size, by nearest; a patch is scored alone.
+    The patch is brought to ``target`` (``shrink``: ``nearest`` or ``area``), scaled to 0..1,
+    scored, and the scores are brought back to the patch size (``back``: ``nearest`` or ``cubic``).
+    With ``stack_bytes`` 0 a patch is scored alone.  Otherwise a task stacks patches of equal shape
+    until its stacks hold that many bytes and then scores the largest; the scorer judges each
+    image of a stack by itself, and a stack that fails is halved down to the patches at fault.
     """
+    if shrink not in ("nearest", "area") or back not in ("nearest", "cubic"):
+        raise ValueError(f"unknown resize: {shrink}, {back}")
     key = _scorer_key(scorer)
+    enlarge = resize_cubic if back == "cubic" else resize_nearest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _worker_scorer(key, scorer)
 
+        def row(p: dict, found) -> dict:
+            out = {k: p[k] for k in ("image_id", "patch_id", "x0", "y0", "h", "w")}
+            try:
+                if isinstance(found, Exception):
+                    raise found
+                probs = np.ascontiguousarray(enlarge(np.asarray(found, np.float32), p["h"], p["w"]), np.float32)
+                return {**out, "status": "ok", "error": None, "probs": probs.tobytes()}
+            except Exception as error:
+                return {**out, "status": "error", "error": f"{type(error).__name__}: {error}", "probs": None}
+
         def rows():
-            for batch in batches:
-                for p in batch.to_pylist():
-                    out = {k: p[k] for k in ("image_id", "patch_id", "x0", "y0", "h", "w")}
-                    try:
-                        image = np.frombuffer(p["px"], np.uint8).reshape(p["h"], p["w"])
-                        size = target or image.shape
-                        probs = predict(resize_nearest(image, *size)[None].astype(np.float32) / 255.0)[0]
-                        probs = np.ascontiguousarray(resize_nearest(np.asarray(probs, np.float32), p["h"], p["w"]))
-                        yield {**out, "status": "ok", "error": None, "probs": probs.tobytes()}
-                    except Exception as error:  # the row carries the failure, the job goes on
-                        yield {**out, "status": "error", "error": f"{type(error).__name__}: {error}", "probs": None}
+            stacks, held = {}, 0
+            for p in (p for batch in batches for p in batch.to_pylist()):
+                try:
+                    image = np.frombuffer(p["px"], np.uint8).reshape(p["h"], p["w"])
+                    image = resize_array(image, *(target or image.shape), shrink).astype(np.float32) / np.float32(255.0)
+                except Exception as error:
+                    yield row(p, error)
+                    continue
+                stacks.setdefault(image.shape, []).append(({k: p[k] for k in p if k != "px"}, image))
+                held += image.nbytes
+                while held > stack_bytes:
+                    fullest = max(stacks, key=lambda shape: sum(i.nbytes for _, i in stacks[shape]))
+                    stack = stacks.pop(fullest)
+                    held -= sum(i.nbytes for _, i in stack)
+                    yield from (row(*judged) for judged in _judged(predict, stack))
+            for stack in stacks.values():
+                yield from (row(*judged) for judged in _judged(predict, stack))
 
         yield from _batched(rows(), _SCORED_ARROW)
 
@@ -245,3 +312,19 @@ def observe_classes(scored: DataFrame, name: str = "classes") -> tuple[DataFrame
     n = F.length("probs") / (F.col("h") * F.col("w") * 4)
     return scored.observe(seen, F.max(n).cast("int").alias("num_classes"), F.count_if(F.col("status") == "error").alias("errors")), seen
 
+
+def check_classes(scored: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Scored patches, stored, and one row (num_classes, errors, warnings) about what was in them.
+
+    Counts are measured while the patches are stored, so the check costs no second pass.  A mismatch
+    is a warning, never an error; ``num_classes`` is null and warned of if no patch could be scored.
+    """
+    observed, seen = observe_classes(scored)
+    kept = cut_lineage(observed)
+    n, errors = (seen.get[c] for c in ("num_classes", "errors"))
+    warnings = ["no patch was scored"] if n is None else class_warnings(n, names)
+    report = scored.sparkSession.range(1).select(
+        F.lit(n).cast("int").alias("num_classes"), F.lit(errors).cast("bigint").alias("errors"),
+        F.array(*map(F.lit, warnings)).cast("array<string>").alias("warnings"),
+    )
+    return kept, report

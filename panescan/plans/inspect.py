@@ -22,7 +22,7 @@ class Tables(dict):
         return self[name]
 
 
-def inspect(tiles: DataFrame, frames: DataFrame, scorer: scoring.Scorer, *, patch_size: int = 1024, overlap: float | int = 0.2, tile: int = 1024, full: bool = True, truth: DataFrame | None = None, only_image: int | None = None) -> dict[str, DataFrame]:
+def inspect(tiles: DataFrame, frames: DataFrame, scorer: scoring.Scorer, *, patch_size: int = 1024, overlap: float | int = 0.2, tile: int = 1024, full: bool = True, truth: DataFrame | None = None, only_image: int | None = None, stack_bytes: int = 0) -> dict[str, DataFrame]:
     """Result tables of a batch, or of one image, with or without truth, voted over the screen or per patch.
 
     ``tiles``: grey tiles of the photos; ``frames``: screen box per image (image_id, x, y, w,
@@ -31,13 +31,13 @@ def inspect(tiles: DataFrame, frames: DataFrame, scorer: scoring.Scorer, *, patc
     it every patch is an image of its own, truth has a patch_id and so have all tables but
     the summary.
 
-    Patches are scored once: scores and class runs are checkpointed, and every table reads
+    Patches are scored once, in stacks of ``stack_bytes`` (``scoring.score``): scores and class runs are checkpointed, and every table reads
     those.  Regions are found when ``tables["regions"]`` is first asked for.
     """
     if only_image is not None:
         tiles, frames = (d.where(F.col("image_id") == only_image) for d in (tiles, frames))
         truth = truth if truth is None else truth.where(F.col("image_id") == only_image)
-    scored = scoring.score(scoring.cut_patches(tiles, frames, patch_size, overlap), scorer)
+    scored = scoring.score(scoring.cut_patches(tiles, frames, patch_size, overlap), scorer, stack_bytes=stack_bytes)
     scored = cut_lineage(scored.withColumn("unit", F.monotonically_increasing_id()))  # names a patch, whatever the ids
     units = scored.select("unit", "image_id", "patch_id")
     if full:

@@ -318,3 +318,80 @@ def test_inspection_scores_every_patch_once(spark, full, with_truth, only):
         assert {r["image_id"] for r in rows} == images, name
         assert full or {r["patch_id"] for r in rows} <= set(range(4)), name
     assert tables["summary"].count() > 0 and calls.value == 4 * len(images)
+
+
+def some_patches(spark, n, shapes=((4, 4), (3, 5)), partitions=1):
+    rows = []
+    for i in range(n):
+        h, w = shapes[i % len(shapes)]
+        rows.append((i // 8, i % 8, 0, 0, h, w, bytearray(RNG.integers(0, 200, h * w).astype(np.uint8).tobytes())))
+    return spark.createDataFrame(rows, scoring.PATCH).coalesce(partitions)
+
+
+def counted(spark, bad=lambda image: False):
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer():
+        def predict(images):
+            calls.add(1)
+            if any(bad(i) for i in images):
+                raise RuntimeError("bad patch")
+            return np.stack([1 - images, images, images * 0, images * 0], axis=1)
+
+        return predict
+
+    return scorer, calls
+
+
+def as_rows(scored):
+    return sorted((r["image_id"], r["patch_id"], r["h"], r["w"], r["status"], r["error"], r["probs"]) for r in scored.collect())
+
+
+def test_stacks_give_the_rows_of_single_calls(spark):
+    patches = some_patches(spark, 64).cache()
+    alone, single_calls = counted(spark)
+    stacked, stacked_calls = counted(spark)
+    assert as_rows(scoring.score(patches, alone)) == as_rows(scoring.score(patches, stacked, stack_bytes=16 * 64))
+    assert single_calls.value == 64 and stacked_calls.value <= 8
+
+
+def test_failing_patches_are_found_in_their_stacks(spark):
+    marks = {3, 4, 17, 40}
+    rows = [(0, i, 0, 0, 2, 2, bytearray([255 if i in marks else i, 0, 0, 0])) for i in range(64)]
+    patches = spark.createDataFrame(rows, scoring.PATCH).coalesce(1).cache()
+    alone, _ = counted(spark, lambda image: image[0, 0] == 1)
+    stacked, calls = counted(spark, lambda image: image[0, 0] == 1)
+    wanted = as_rows(scoring.score(patches, alone))
+    assert wanted == as_rows(scoring.score(patches, stacked, stack_bytes=1 << 20))
+    assert {r[1] for r in wanted if r[4] == "error"} == marks and calls.value <= 2 * len(marks) * 7
+
+
+def test_wrong_number_of_results_and_bad_bytes_are_errors(spark):
+    patches = some_patches(spark, 6, ((2, 2),))
+    short = scoring.score(patches, lambda: lambda images: np.zeros((len(images) + 1, 4, 2, 2)), stack_bytes=1 << 20).collect()
+    assert all(r["status"] == "error" and "results for" in r["error"] for r in short)
+    cut = patches.withColumn("px", F.when(F.col("patch_id") == 2, F.lit(b"x").cast("binary")).otherwise(F.col("px")))
+    scorer, _ = counted(spark)
+    assert [r["patch_id"] for r in scoring.score(cut, scorer, stack_bytes=1 << 20).where("status = 'error'").collect()] == [2]
+
+
+def test_cubic_weights_keep_constants_and_lines():
+    for n, m in ((2, 4), (7, 3), (5, 5), (8, 21), (1, 6)):
+        weights = scoring._cubic_weights(n, m)
+        assert np.allclose(weights.sum(axis=1), 1)
+    line = scoring._cubic_weights(12, 12) @ np.arange(12.0)
+    assert np.allclose(line, np.arange(12))
+    flat = scoring.resize_cubic(np.full((3, 4, 4), 0.25), 9, 7)
+    assert flat.shape == (3, 9, 7) and np.allclose(flat, 0.25)
+    with pytest.raises(ValueError, match="unknown resize"):
+        scoring.score(None, None, shrink="cubic")
+
+
+def test_class_check_measures_while_it_stores(spark):
+    scorer, calls = counted(spark)
+    kept, report = scoring.check_classes(scoring.score(some_patches(spark, 8), scorer), ["a", "b", "c", "d"])
+    assert report.collect() == [(4, 0, [])] and kept.count() == 8 and calls.value == 8
+    _, odd = scoring.check_classes(scoring.score(some_patches(spark, 8), scorer), ["a"])
+    assert "4 classes but 1 names" in odd.first()["warnings"][0]
+    failing, _ = counted(spark, lambda image: True)
+    assert scoring.check_classes(scoring.score(some_patches(spark, 8), failing), ["a"])[1].collect() == [(None, 8, ["no patch was scored"])]
