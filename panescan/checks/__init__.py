@@ -7,7 +7,7 @@ from functools import wraps
 
 from panescan.session import ship_package
 
-MODULES = ["mask_metrics", "gray_layers", "mask_layers", "tile_forms", "regrid_forms", "boxes_patches", "mask_regions", "scores_votes", "training_history", "files_plans", "scoring_streams"]
+MODULES = ["mask_metrics", "gray_layers", "mask_layers", "tile_forms", "regrid_forms", "boxes_patches", "mask_regions", "scores_votes", "training_history", "files_plans", "scoring_streams", "file_round_trips"]
 
 
 def _shipped(fn):

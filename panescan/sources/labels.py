@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panescan import schema
+from panescan.sources.files import own_names, write_files
 
 
 def read_labels(spark: SparkSession, path: str, patch: bool = False) -> DataFrame:
@@ -52,8 +53,9 @@ def category_map() -> Column:
 
 
 def write_labels(documents: DataFrame, path: str, key: str = "image_id", text: str = "json") -> None:
-    """One text file partition per image."""
-    documents.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    """One file ``<key>.json`` per document, next to each other; a repeated key is an error."""
+    name = F.concat(F.url_encode(F.col(key).cast("string")), F.lit(".json"))
+    write_files(documents.select(name.alias("name"), F.col(text).alias("content")), path)
 
 
 def read_coco(spark: SparkSession, path: str) -> DataFrame:
@@ -89,7 +91,11 @@ def coco_to_yolo(boxes: DataFrame, scale: int = 25, cls: int = 0) -> DataFrame:
     )
 
 
-def write_yolo(rows: DataFrame, path: str, key: str = "file_name") -> None:
-    """Text rows ``cls cx cy w h``, one folder per photo."""
+def write_yolo(rows: DataFrame, path: str, key: str = "file_name", order: str = "ann_no") -> None:
+    """Text rows ``cls cx cy w h``, one file ``<stem>.txt`` per photo, next to each other.
+
+    Photos of equal stem from different COCO files (``origin``), or of different names, get files of their own.
+    """
     line = F.concat_ws(" ", *[F.col(c).cast(T.StringType()) for c in ("cls", "cx", "cy", "nw", "nh")])
-    rows.select(key, line.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    named = own_names(rows, key, [c for c in ("origin", key) if c in rows.columns], ".txt")
+    write_files(named.select("name", F.col(order).alias("part"), F.concat(line, F.lit("\n")).alias("content")), path, ["part", "content"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panescan.operators.masks import binary_union, split_by_class
+from panescan.sources.files import opened
 
 
 def patch_masks(runs: DataFrame) -> DataFrame:
@@ -40,11 +40,6 @@ def write_patches(tiles: DataFrame, runs: DataFrame, boxes: DataFrame, path: str
 
 def _copy(src: str, dst: str) -> None:
     """Copy a file between any two file systems that pyarrow knows; the folder is made."""
-
-    def opened(place: str) -> tuple[fs.FileSystem, str]:
-        local = re.sub("^file:/+", "/", place)
-        return fs.FileSystem.from_uri(local) if "://" in local else (fs.LocalFileSystem(), os.path.abspath(local))
-
     (source, start), (target, end) = opened(src), opened(dst)
     target.create_dir(os.path.dirname(end), recursive=True)
     fs.copy_files(start, end, source_filesystem=source, destination_filesystem=target)
