@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panescan import schema
-from panescan.checks.derived import boxes, frames, r6
+from panescan.checks.derived import boxes, frames, r6, table
 from panescan.checks.registry import registry
 from panescan.operators import geometry as geo
 from panescan.operators import patches
@@ -213,6 +213,18 @@ def category_stats(spark, sf_dir):
     return stats(annotations(spark, sf_dir), "name_then_id")
 
 
+@query("category_stats_of_all_images", "boxes", CATS + f""", m as (select image_id, case when cname is null or cname='unknown' then {NAMES}[cid+1] else cname end nm from a),
+ c as (select image_id, case when nm in ('condensation','dirt','scratch') then nm else 'unknown' end category from m)
+select i.image_id, k.category, count(c.category)::bigint n from (select vec_id::bigint image_id from embeddings) i cross join (values ('condensation'),('dirt'),('scratch'),('unknown')) k(category)
+ left join c on c.image_id=i.image_id and c.category=k.category group by all""")
+def category_stats_of_all_images(spark, sf_dir):
+    """Most of the listed images have no annotation."""
+    from panescan.operators.summary import category_stats as stats
+
+    listed = table(spark, sf_dir, "embeddings").select(C("vec_id").cast("bigint").alias("image_id"))
+    return stats(annotations(spark, sf_dir), "name_then_id", listed)
+
+
 @query("category_stats_name_or_id", "boxes", CATS + f""", c as (select image_id, case when cname='condensation' or cid=1 then 'condensation' when cname='dirt' or cid=2 then 'dirt'
   when cname='scratch' or cid=3 then 'scratch' else 'unknown' end category from a)
 select i.image_id, k.category, count(c.category)::bigint n from (select distinct image_id from boxes) i cross join (values ('condensation'),('dirt'),('scratch'),('unknown')) k(category)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panescan.checks.derived import MASK_H, MASK_W, class_runs, r6
+from panescan.checks.derived import MASK_H, MASK_W, class_runs, r6, table
 from panescan.checks.registry import registry
 from panescan.operators import metrics, raster, summary
 
@@ -32,6 +32,21 @@ def class_stats(spark, sf_dir):
     )
 
 
+@query("class_stats_empty_masks", "mask", """, c as (select image_id, layer, class_id, count(*) filter (case when image_id%3=0 then 0 else value end=class_id) n
+  from mask, range(4) r(class_id) group by all)
+select image_id, layer, class_id::int class_id, ['background','condensation','dirt','scratch'][class_id+1] class_name,
+ n::bigint pixels, round(n/2000.0e0*100,6) percentage from c""")
+def class_stats_empty_masks(spark, sf_dir):
+    """Every third image has no run at all; its masks are listed and so are all background."""
+    runs = class_runs(spark, sf_dir)
+    masks = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("bigint").alias("image_id"), F.explode(F.array(F.lit("pred"), F.lit("truth"))).alias("layer")
+    )
+    return summary.class_stats(runs.where("image_id % 3 <> 0"), MASK_H * MASK_W, masks=masks).select(
+        "image_id", "layer", "class_id", "class_name", "pixels", r6("percentage", "percentage")
+    )
+
+
 @query("class_distribution", "mask", """select value::int class_id, count(*)::bigint pixels,
  round(count(*)/sum(count(*)) over ()::double,6) share from mask group by value""")
 def class_distribution(spark, sf_dir):

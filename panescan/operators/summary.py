@@ -68,11 +68,13 @@ def with_labels(df: DataFrame) -> DataFrame:
 DEFECT_NAMES = [name for name, index, _ in schema.LABELS if index > 0]
 
 
-def category_stats(annotations: DataFrame, rule: str = "name_then_id") -> DataFrame:
+def category_stats(annotations: DataFrame, rule: str = "name_then_id", images: DataFrame | None = None) -> DataFrame:
     """Annotations per image and defect category, zero rows and ``unknown`` included.
 
     ``name_then_id``: the name counts; the id only where the name is missing or unknown.
     ``name_or_id``: the first label in index order that fits by name or by id.
+    ``images`` lists the images that exist (image_id, one row each): one without annotations has zero
+    rows, and annotations of other images are left out.  Without it such an image gives no rows.
     """
     name, cid = F.col("category_name"), F.col("category_id")
     if rule == "name_then_id":
@@ -86,6 +88,8 @@ def category_stats(annotations: DataFrame, rule: str = "name_then_id") -> DataFr
         raise ValueError(f"unknown rule {rule!r}")
     kinds = [*DEFECT_NAMES, "unknown"]
     wide = annotations.groupBy("image_id").agg(*[F.count_if(category == k).alias(k) for k in kinds])
+    if images is not None:
+        wide = images.select("image_id").join(wide, "image_id", "left").na.fill(0, kinds)
     return wide.select(
         "image_id", F.inline(F.array(*[F.struct(F.lit(k).alias("category"), F.col(k).alias("n")) for k in kinds]))
     )
