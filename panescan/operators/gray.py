@@ -198,8 +198,20 @@ def bright_line_flag(layer: DataFrame, rects: DataFrame, delta: float = 50.0) ->
     inside = layer.alias("p").join(
         rects.select("image_id", "rect_id", F.col("x").alias("rx"), F.col("y").alias("ry"), "w", "h").alias("r"), "image_id"
     ).where("x >= rx and x < rx + w and y >= ry and y < ry + h")
-    rows = inside.groupBy("image_id", "rect_id", "y").agg(F.avg("value").alias("row_mean"))
-    flags = rows.groupBy("image_id", "rect_id").agg((F.max("row_mean") > F.avg("row_mean") + delta).alias("hit"))
+    rows = inside.groupBy("image_id", "rect_id", "y").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    return bright_rows(rows, rects, delta)
+
+
+def bright_rows(rows: DataFrame, rects: DataFrame, delta: float) -> DataFrame:
+    """The flag out of ``total`` and ``n`` of each row of a rectangle.
+
+    Rows of one length are compared by whole sums, so a row brighter by ``delta`` to the dot is no hit
+    in any order of adding; only rectangles with holes need quotients.
+    """
+    mean = F.col("total") / F.col("n")
+    whole = F.max("total") * F.count(F.lit(1)) - F.sum("total") > F.lit(delta) * F.max("n") * F.count(F.lit(1))
+    hit = F.when(F.min("n") == F.max("n"), whole).otherwise(F.max(mean) > F.avg(mean) + delta)
+    flags = rows.where("n > 0").groupBy("image_id", "rect_id").agg(hit.alias("hit"))
     hits = flags.groupBy("image_id").agg(F.bool_or("hit").alias("power_on"))
     images = rects.select("image_id").distinct()
     return images.join(hits, "image_id", "left").select("image_id", F.coalesce("power_on", F.lit(False)).alias("power_on"))
