@@ -176,7 +176,5 @@ def bright_line_flag(tiles: DataFrame, rects: DataFrame, delta: float = 50.0) ->
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(types))
 
     parts = met.mapInArrow(sums, f"image_id long, rect_id {rect_type}, y int, total long, n long")
-    rows = parts.groupBy("image_id", "rect_id", "y").agg((F.sum("total") / F.sum("n")).alias("row_mean"))
-    flags = rows.groupBy("image_id", "rect_id").agg((F.max("row_mean") > F.avg("row_mean") + delta).alias("hit"))
-    hits = flags.groupBy("image_id").agg(F.bool_or("hit").alias("power_on"))
-    return rects.select("image_id").distinct().join(hits, "image_id", "left").select("image_id", F.coalesce("power_on", F.lit(False)).alias("power_on"))
+    rows = parts.groupBy("image_id", "rect_id", "y").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return gray.bright_rows(rows, rects, delta)

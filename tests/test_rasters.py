@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import dense, flood, pixel_rows
-from panescan.operators import focal, geometry, gray, masks, metrics, raster, regions, summary
+from panescan.operators import focal, geometry, gray, masks, metrics, raster, regions, summary, tiles
 
 RNG = np.random.default_rng(7)
 
@@ -366,3 +366,12 @@ def test_exact_median_of_skewed_series(spark, bits):
     df = spark.createDataFrame([(k, float(v)) for k, vs in series.items() for v in vs] + [(1, None), (6, None)], "k int, v double")
     got = {r["k"]: r["median"] for r in summary.exact_median(df, ["k"], "v", bits).collect()}
     assert got == {k: float(np.median(v)) for k, v in series.items()}
+
+
+def test_a_line_brighter_by_the_delta_to_the_dot_is_no_hit(spark):
+    rows = [320, 130, 60]  # sums of three pixels; 320 / 3 is 50 above the mean
+    image = np.array([[s // 3, s // 3, s - 2 * (s // 3)] for s in rows], int)
+    pixels = pixel_rows(spark, {(i, "g"): image + (np.arange(len(rows)) == 0)[:, None] * i for i in (0, 1)})
+    rects = spark.createDataFrame([(i, 0, 0, 0, 3, len(rows)) for i in (0, 1)], "image_id long, rect_id int, x int, y int, w int, h int")
+    for found in (gray.bright_line_flag(pixels, rects), tiles.bright_line_flag(raster.pixels_to_tiles(pixels, 2), rects)):
+        assert {r["image_id"]: r["power_on"] for r in found.collect()} == {0: False, 1: True}
