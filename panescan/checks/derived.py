@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panescan.functions import scores
 from panescan.operators import raster
+from panescan.session import spread
 
 MASK_H, MASK_W = 40, 50
 
@@ -23,9 +24,10 @@ def gray(spark, sf_dir) -> DataFrame:
     """8x8 grey image per embedding: levels are min-max scaled elements."""
     e = F.transform("embedding", lambda v: v.cast("double"))
     lo, hi = F.array_min("e"), F.array_max("e")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("image_id"), "embedding")
     return (
-        table(spark, sf_dir, "embeddings")
-        .select(F.col("vec_id").cast("bigint").alias("image_id"), e.alias("e"))
+        spread(rows, "image_id", 256)
+        .select("image_id", e.alias("e"))
         .select("image_id", F.posexplode("e").alias("pos", "v"), lo.alias("lo"), hi.alias("hi"))
         .select(
             "image_id",
@@ -45,9 +47,9 @@ gray as (select e.image_id, (pos//8)::int y, (pos%8)::int x, floor((v-lo)/(hi-lo
 def class_runs(spark, sf_dir) -> DataFrame:
     """Predicted and true 40x50 class mask per supplier, as runs that include background."""
     pick = F.conv(F.substring(F.md5(F.concat_ws("-", "image_id", "layer", "by", "bx")), 1, 6), 16, 10).cast("int") % 9
+    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("image_id"))
     blocks = (
-        table(spark, sf_dir, "supplier")
-        .select(F.col("s_suppkey").cast("bigint").alias("image_id"))
+        spread(ids, "image_id", 1040)
         .select("image_id", F.explode(F.array(F.lit("pred"), F.lit("truth"))).alias("layer"))
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(MASK_H // 5 - 1))).alias("by"))
         .select("*", F.explode(F.sequence(F.lit(0), F.lit((MASK_W - 1) // 4))).alias("bx"))
@@ -100,13 +102,14 @@ BOXES = """boxes as (select l_orderkey::bigint%50 image_id,
 def frames(spark, sf_dir) -> DataFrame:
     """One screen frame per part."""
     p = F.col("p_size").cast("bigint")
-    return table(spark, sf_dir, "part").select(
+    rows = table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("bigint").alias("image_id"),
         p.alias("x"),
         (2 * p).alias("y"),
         (1000 + p * 10).alias("w"),
         (2000 + p * 20).alias("h"),
     )
+    return spread(rows, "image_id", 64)
 
 
 FRAMES = """frames as (select p_partkey::bigint image_id, p_size::bigint x, 2*p_size::bigint y,
@@ -116,9 +119,12 @@ FRAMES = """frames as (select p_partkey::bigint image_id, p_size::bigint x, 2*p_
 def logits(spark, sf_dir) -> DataFrame:
     """Sixteen 4-class logit pixels per embedding, laid out as overlapping 4x4 patches."""
     e = F.transform("embedding", lambda v: v.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id div 16").alias("image_id"), F.col("vec_id").cast("bigint").alias("v"), F.col("label").cast("int").alias("label"), "embedding"
+    )
     return (
-        table(spark, sf_dir, "embeddings")
-        .select(F.col("vec_id").cast("bigint").alias("v"), F.col("label").cast("int").alias("label"), e.alias("e"))
+        spread(rows, "image_id", 64)
+        .select("v", "label", e.alias("e"))
         .select("v", "label", "e", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
         .select(
             F.expr("v div 16").alias("image_id"),

@@ -47,8 +47,9 @@ def placement_candidates(slots: DataFrame, attempts: int, seed: int) -> DataFram
             uniform(seed, F.lit("x"), *key).alias("ux"), uniform(seed, F.lit("y"), *key).alias("uy"),
         )
 
-    # each inline fixes its columns, so no draw is computed again in later expressions
-    tries = slots.select("*", F.inline(F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), draws)))
+    # each inline fixes its columns, so no draw is computed again in later expressions; the outer form, as the
+    # plain one infers a filter on the array's size, which draws everything once more next to the scan
+    tries = slots.select("*", F.inline_outer(F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), draws)))
     sized = tries.select("*", F.inline(F.array(turned_size(F.col("sw"), F.col("sh"), F.col("angle"), F.col("scale")).alias("t"))).alias("dw", "dh", "tw", "th"))
     fits = (F.col("tw") <= F.col("w")) & (F.col("th") <= F.col("h")) & (F.col("dw") > 0) & (F.col("dh") > 0)
     spot = F.struct(
@@ -78,7 +79,8 @@ def accept_non_overlapping(candidates: DataFrame) -> DataFrame:
         )
         return F.when(hit, acc).otherwise(F.concat(acc, F.array(n)))
 
-    return grouped.select("image_id", F.inline(F.aggregate("c", none, step)))
+    # never empty, as a first candidate overlaps nothing; the plain form would accept twice, to filter by size
+    return grouped.select("image_id", F.inline_outer(F.aggregate("c", none, step)))
 
 
 def jitter_polygon(shapes: DataFrame, per_side: int, distortion: float, seed: int, key: str = "image_id") -> DataFrame:
@@ -102,6 +104,6 @@ def jitter_polygon(shapes: DataFrame, per_side: int, distortion: float, seed: in
     xs, ys = F.transform("p", lambda q: q["x"]), F.transform("p", lambda q: q["y"])
     ends = ring.withColumns({"lx": F.array_min(xs), "hx": F.array_max(xs), "ly": F.array_min(ys), "hy": F.array_max(ys)})
     fit = lambda v, lo, hi, size: ((v - F.col(lo)) / (F.col(hi) - F.col(lo)) * F.col(size)).cast("int")
-    return ends.select(key, "w", "h", "lx", "hx", "ly", "hy", F.inline("p")).select(
+    return ends.select(key, "w", "h", "lx", "hx", "ly", "hy", F.inline_outer("p")).select(
         key, "i", fit(F.col("x"), "lx", "hx", "w").alias("px"), fit(F.col("y"), "ly", "hy", "h").alias("py")
     )

@@ -51,6 +51,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+CELLS_PER_TASK = 1 << 19
+
+
+def spread(rows: DataFrame, key: str, cells: int) -> DataFrame:
+    """Deal ``rows`` by ``key`` over so many tasks that each works out at most about CELLS_PER_TASK cells.
+
+    For short rows that grow: ``cells`` is what one of them is worth.  A file of millions of such rows is one
+    task to the reader, however much they become.  The number is fixed by the rows, so it grows with them and
+    adaptive execution, which sees the short rows only, does not merge the tasks again.
+    """
+    tasks = -(-rows.count() * cells // CELLS_PER_TASK)
+    return rows.repartition(tasks, key) if tasks > 1 else rows
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application."""
     if getattr(spark.sparkContext, "_panescan_shipped", False):

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from panescan.checks import derived, files_plans
 from panescan.operators import patches, scoring
 from panescan.plans import history, placement, sampling
 
@@ -147,3 +148,34 @@ def test_early_stop_of_a_million_epochs(spark):
 def test_class_warnings():
     assert scoring.class_warnings(4, ["a", "b", "c", "d"]) == []
     assert len(scoring.class_warnings(2, ["a"])) == 2
+
+
+def test_short_rows_that_grow_are_dealt_to_many_tasks(spark, tmp_path):
+    """One file is one task to the reader, and each of its rows becomes dozens."""
+    n = F.col("id")
+    part = spark.range(20_000).select(n.alias("p_partkey"), (n % 50).cast("int").alias("p_size"))
+    vectors = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i * n % 97).cast("float"))
+    embeddings = spark.range(10_000).select(n.alias("vec_id"), vectors.alias("embedding"), (n % 10).cast("int").alias("label"))
+    supplier = spark.range(2_000).select(n.alias("s_suppkey"))
+    for name, rows in (("part", part), ("embeddings", embeddings), ("supplier", supplier)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    made = {
+        "placement_candidates": lambda: files_plans.placement_candidates(spark, str(tmp_path)),
+        "jitter_polygon": lambda: files_plans.jitter_polygon(spark, str(tmp_path)),
+        "gray": lambda: derived.gray(spark, str(tmp_path)),
+        "logits": lambda: derived.logits(spark, str(tmp_path)),
+        "class_runs": lambda: derived.class_runs(spark, str(tmp_path)),
+    }
+    for name, make in made.items():
+        counts = [r["count"] for r in make().groupBy(F.spark_partition_id()).count().collect()]
+        assert max(counts) < 0.8 * sum(counts), name
+
+
+def test_draws_of_a_plan_are_made_once(spark):
+    """A filter on the size of an array of draws draws them all once more."""
+    shapes = spark.createDataFrame([(1, 100, 200)], "image_id long, w long, h long")
+    slots = shapes.selectExpr("*", "1 as slot", "0L as x", "0L as y", "10L as sw", "20L as sh")
+    found = placement.placement_candidates(slots, 3, 21)
+    for df in (found, placement.jitter_polygon(shapes, 3, 0.1, 31), placement.accept_non_overlapping(found)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter (size(" not in plan and "(size(" not in plan
