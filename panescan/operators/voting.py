@@ -58,15 +58,16 @@ _VOTED = pa.schema(
     + [(c, pa.int32()) for c in ("ty", "tx", "y0", "x0", "h", "w")]
     + [(c, pa.binary()) for c in ("px", "probs", "cover")]
 )
-BYTES_PER_BATCH = 1 << 24
+BYTES_PER_BATCH, ROWS_PER_BATCH = 1 << 24, 4096
 
 
 def _batched(rows: Iterator[dict], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches bounded by bytes, and by rows too: a row of a few bytes is a dict of a kilobyte until then."""
     held, weight = [], 0
     for row in rows:
         held.append(row)
         weight += sum(len(v) for v in row.values() if isinstance(v, bytes)) + 64
-        if weight > BYTES_PER_BATCH:
+        if weight > BYTES_PER_BATCH or len(held) >= ROWS_PER_BATCH:
             yield pa.RecordBatch.from_pylist(held, schema=arrow)
             held, weight = [], 0
     if held:

@@ -395,3 +395,9 @@ def test_class_check_measures_while_it_stores(spark):
     assert "4 classes but 1 names" in odd.first()["warnings"][0]
     failing, _ = counted(spark, lambda image: True)
     assert scoring.check_classes(scoring.score(some_patches(spark, 8), failing), ["a"])[1].collect() == [(None, 8, ["no patch was scored"])]
+
+
+def test_batches_of_small_rows_are_bounded_by_rows():
+    rows = ({"image_id": i, "patch_id": 0, "x0": 0, "y0": 0, "h": 1, "w": 1, "px": b"1"} for i in range(20_000))
+    sizes = [b.num_rows for b in voting._batched(rows, scoring._PATCH_ARROW)]
+    assert sum(sizes) == 20_000 and max(sizes) <= 4096
