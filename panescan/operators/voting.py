@@ -74,10 +74,17 @@ def _batched(rows: Iterator[dict], arrow: pa.Schema) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
 
+def _scores(data: bytes, classes: int, h: int, w: int) -> np.ndarray:
+    """Class-major scores; float32 or float64, as their bytes tell."""
+    kind = np.float64 if len(data) == 8 * classes * h * w else np.float32
+    return np.frombuffer(data, kind).reshape(classes, h, w)
+
+
 def vote_tiles(scored: DataFrame, frames: DataFrame, tile: int, num_classes: int = schema.CLASS_COUNT) -> DataFrame:
     """Voted tiles of each frame: class map, mean scores (float32, class-major) and cover count.
 
-    ``scored`` holds one row per patch with float32 scores (class-major).  A patch is cut to
+    ``scored`` holds one row per patch with float32 or float64 scores (class-major); the vote is on what they
+    are, and only the mean scores of the result are float32.  A patch is cut to
     the frame tiles it meets; a tile sums its pieces as they stream in, so its memory is one
     tile whatever the overlap.  ``frames``: image_id, h, w.
     """
@@ -88,7 +95,7 @@ def vote_tiles(scored: DataFrame, frames: DataFrame, tile: int, num_classes: int
             for batch in batches:
                 for p in batch.to_pylist():
                     fh, fw = p["fh"], p["fw"]
-                    scores = np.frombuffer(p["probs"], np.float32).reshape(n_cls, p["h"], p["w"])
+                    scores = _scores(p["probs"], n_cls, p["h"], p["w"])
                     y_end, x_end = min(p["y0"] + p["h"], fh), min(p["x0"] + p["w"], fw)
                     for ty in range(p["y0"] // tile, -(-y_end // tile)):
                         for tx in range(p["x0"] // tile, -(-x_end // tile)):
@@ -115,7 +122,7 @@ def vote_tiles(scored: DataFrame, frames: DataFrame, tile: int, num_classes: int
                     if r["probs"] is None:
                         continue
                     area = np.s_[r["y0"] - y0 : r["y0"] - y0 + r["h"], r["x0"] - x0 : r["x0"] - x0 + r["w"]]
-                    total[(slice(None), *area)] += np.frombuffer(r["probs"], np.float32).reshape(n_cls, r["h"], r["w"])
+                    total[(slice(None), *area)] += _scores(r["probs"], n_cls, r["h"], r["w"])
                     cover[area] += 1
                 cover = np.maximum(cover, 1)
                 mean = total / cover
@@ -142,7 +149,7 @@ def vote_tiles(scored: DataFrame, frames: DataFrame, tile: int, num_classes: int
 
 
 def pack_patches(pixels: DataFrame, num_classes: int = schema.CLASS_COUNT) -> DataFrame:
-    """Score pixels (image_id, patch_id, y, x, probs) of full rectangular patches as patch rows."""
+    """Score pixels (image_id, patch_id, y, x, probs) of full rectangular patches as patch rows; scores stay doubles."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def patches():
@@ -151,7 +158,7 @@ def pack_patches(pixels: DataFrame, num_classes: int = schema.CLASS_COUNT) -> Da
                 cells = list(group)  # one patch
                 ys, xs = [c["y"] for c in cells], [c["x"] for c in cells]
                 h, w = max(ys) - min(ys) + 1, max(xs) - min(xs) + 1
-                scores = np.array([c["probs"] for c in cells], np.float32).reshape(h, w, num_classes)
+                scores = np.array([c["probs"] for c in cells], np.float64).reshape(h, w, num_classes)
                 yield {
                     "image_id": image_id, "patch_id": patch_id, "x0": min(xs), "y0": min(ys), "h": h, "w": w,
                     "status": "ok", "probs": scores.transpose(2, 0, 1).tobytes(),

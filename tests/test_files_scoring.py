@@ -401,3 +401,12 @@ def test_batches_of_small_rows_are_bounded_by_rows():
     rows = ({"image_id": i, "patch_id": 0, "x0": 0, "y0": 0, "h": 1, "w": 1, "px": b"1"} for i in range(20_000))
     sizes = [b.num_rows for b in voting._batched(rows, scoring._PATCH_ARROW)]
     assert sum(sizes) == 20_000 and max(sizes) <= 4096
+
+
+def test_tiles_vote_on_doubles(spark):
+    """Class 1 leads by less than a float32 can hold."""
+    probs = [0.3, 0.3 + 1e-12, 0.2, 0.2 - 1e-12]
+    px = spark.createDataFrame([(1, 0, 0, x, probs) for x in range(2)], "image_id long, patch_id long, y int, x int, probs array<double>")
+    frames = spark.createDataFrame([(1, 1, 2)], "image_id long, h int, w int")
+    tiles = voting.vote_tiles(voting.pack_patches(px), frames, 1)
+    assert [r["value"] for r in raster.tiles_to_pixels(tiles.drop("probs", "cover")).collect()] == [1, 1]
