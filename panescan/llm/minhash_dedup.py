@@ -40,6 +40,7 @@ PERCENT = 75
 MARGIN = 0.23  # six standard deviations of the estimate at the threshold
 BLOCK = 400_000  # shingles of a block of round two
 TOGETHER = 100_000  # shingles of the sets multiplied at once
+CELLS = 1 << 22  # pairs of sets judged at once: sets of few shingles are many in a block
 SLICE = 256  # documents that are compared with one copy of a hub
 BROADCAST_ROWS = 1_000_000  # more routes than this meet the documents by a shuffle
 CHUNK = 1 << 15  # shingles hashed at once
@@ -199,6 +200,20 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def links(own_ids: list[int], own: list[np.ndarray], ids: list[int], others: list[np.ndarray]) -> pa.RecordBatch:
+    """Links (a, b) that connect what is similar among ``own`` and ``others``: a star for each component. Pairs are judged CELLS at a time."""
+    nodes, place = np.unique(np.r_[np.array(own_ids), np.array(ids)], return_inverse=True)
+    labels, left, right = np.arange(len(nodes)), place[: len(own)], place[len(own) :]
+    sizes, step = np.array([len(s) for s in others]), max(1, CELLS // len(others))
+    for first in range(0, len(own), step):
+        some, rows = own[first : first + step], left[first : first + step]
+        both = overlaps(some, others)
+        total = np.array([len(s) for s in some])[:, None] + sizes
+        a, b = np.nonzero((100 * both >= PERCENT * (total - both)) & (rows[:, None] != right))
+        labels = join_labels(labels, rows[a], right[b])
+    return pa.RecordBatch.from_arrays([pa.array(nodes[labels], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
+
+
 def confirm_blocks(texts: DataFrame, roles: DataFrame) -> DataFrame:
     """Links (a, b) that connect what is similar among ``roles`` (hub, id, n, outside): of each hub, the ids outside against all its ids."""
     spark = texts.sparkSession
@@ -222,15 +237,6 @@ def confirm_blocks(texts: DataFrame, roles: DataFrame) -> DataFrame:
     dealt = made.join(routes, "id").select("hub", "r", "c", "kind", "id", "data")
     dealt = dealt.repartition(partitions(spark), "hub", "r", "c").sortWithinPartitions("hub", "r", "c", "kind", "id")
 
-    def links(own_ids, own, ids, others):
-        both = overlaps(own, others)
-        total = np.array([len(s) for s in own])[:, None] + np.array([len(s) for s in others])
-        near = (100 * both >= PERCENT * (total - both)) & (np.array(own_ids)[:, None] != np.array(ids))
-        a, b = np.nonzero(near)
-        nodes, place = np.unique(np.r_[np.array(own_ids)[a], np.array(ids)[b]], return_inverse=True)
-        labels = join_labels(np.arange(len(nodes)), place[: len(a)], place[len(a) :])
-        return pa.RecordBatch.from_arrays([pa.array(nodes[labels], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
-
     def compare(batches):
         at, own_ids, own, ids, others, held = None, [], [], [], [], 0
         for batch in batches:

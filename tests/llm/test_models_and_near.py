@@ -308,6 +308,17 @@ def test_overlaps():
     assert minhash_dedup.overlaps(sets, other).tolist() == want and minhash_dedup.overlaps(sets, other[2:]).tolist() == [[0]] * 5
 
 
+def test_pairs_of_a_block_are_judged_in_bounded_parts(monkeypatch):
+    draw, judged, whole = np.random.default_rng(5), [], minhash_dedup.overlaps
+    monkeypatch.setattr(minhash_dedup, "CELLS", 600, raising=False)
+    monkeypatch.setattr(minhash_dedup, "overlaps", lambda x, y: judged.append(len(x) * len(y)) or whole(x, y))
+    sets = [np.unique(draw.integers(0, 1 << 40, 20).astype(np.uint64)) for _ in range(100)] * 3
+    links = minhash_dedup.links(list(range(300)), sets, list(range(60)), sets[:60])
+    least = {b: a for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist()) if a != b}
+    assert max(judged) <= 600 and sum(judged) == 300 * 60
+    assert least == {i: i % 100 for i in range(100, 300) if i % 100 < 60}
+
+
 def test_estimate_is_corrected_for_collisions():
     draw = np.random.default_rng(2)
     for share in (0.0, 0.5, 0.9):
