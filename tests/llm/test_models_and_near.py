@@ -404,6 +404,40 @@ def test_near_vectors_empty(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_toxicity_learns_from_rows_beyond_the_start(spark, monkeypatch):
+    """One word tells the class of few documents, which no small start needs to hold."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    draw = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in draw.integers(0, 300, 12)), i % 2, i % 40 < 2) for i in range(6000)]
+    texts = [t + (" rareword" if rare else " badword") if toxic else t + (" fineword" if rare else "") for _, t, toxic, rare in rows]
+    labels = spark.createDataFrame([(i, 0, toxic) for i, _, toxic, _ in rows], "doc_id long, quality int, toxic int")
+    docs = documents(spark, texts)
+    model = toxicity.train(docs, labels)
+    seen = {r["doc_id"] for r in toxicity.score_documents(docs, model).where("predicted = 1").collect()}
+    rare = [i for i, _, toxic, few in rows if toxic and few]
+    assert len(set(rare) & seen) >= 0.95 * len(rare)
+    again = toxicity.train(docs.repartition(5), labels.repartition(3))
+    assert (again.embedding == model.embedding).all() and again.thresholds == model.thresholds
+
+
+def test_toxicity_thresholds_count_all_rows(spark):
+    model = toxicity.fit([], np.array([], int)).model
+    rows = spark.createDataFrame([("a", "en", i % 2) for i in range(9000)], "text string, lang string, toxic int")
+    assert toxicity.thresholds(rows, model) == {"en": toxicity.best_threshold({(0, 0): 4500, (1, 0): 4500})}
+    assert toxicity.best_threshold({(0, 3): 900, (0, 6): 100, (1, 10): 30, (1, 21): 70}) == 0.65  # 0.62 to 0.68 are best
+    assert toxicity.best_threshold({(0, 3): 900, (1, 21): 9}) == toxicity.CUT
+
+
+def test_peaks_of_long_texts(monkeypatch):
+    learner = toxicity.fit([], np.array([], int))
+    draw, blanks = np.random.default_rng(2), np.zeros((2, toxicity.PARTS), np.int32)
+    texts = [draw.integers(1, 900, (n, toxicity.PARTS)).astype(np.int32) for n in (1, 3, 50, 700)]
+    codes, starts = np.vstack([x for t in texts for x in (t, blanks)]), [0, 3, 8, 60]
+    whole = learner.peaks(codes, starts)
+    monkeypatch.setattr(toxicity, "TOGETHER", 37)
+    assert (learner.peaks(codes, starts) == whole).all()
+
+
 # pipeline
 
 
