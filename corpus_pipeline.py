@@ -11,6 +11,8 @@ from panescan.llm import exact_dedup, minhash_dedup, packing, queries, secret_sc
 from panescan.llm.common import keep, table
 from panescan.session import ship_package
 
+PACKING_BYTES = 16 << 20  # Spark's idle Python workers of earlier stages take their turns in packing, and each remembers
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity reaches their language's threshold go."""
@@ -39,7 +41,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 ids."""
     ship_package(spark)
-    return packing.pack(docs, queries.word_vocabulary(), with_ids=False)
+    return packing.pack(docs, queries.word_vocabulary(), with_ids=False, chunk_bytes=PACKING_BYTES)
 
 
 STAGES = [

@@ -54,10 +54,10 @@ class ChunkEncoder:
     chunk that holds one of the file's special strings goes through the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chunk_bytes: int = CHUNK_BYTES):
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
-        self.known, self.pieces = Remembered(self.chunk, CHUNK_BYTES), Remembered(self.piece, PIECE_BYTES)
+        self.known, self.pieces = Remembered(self.chunk, chunk_bytes), Remembered(self.piece, chunk_bytes * PIECE_BYTES // CHUNK_BYTES)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marked = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         steps = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [{}])
@@ -87,16 +87,16 @@ class ChunkEncoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, chunk_bytes: int = CHUNK_BYTES) -> ChunkEncoder:
     """The encoder of this worker process: its tasks follow each other and share what it remembers."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, chunk_bytes)
 
 
-def encode(docs: DataFrame, path: str, end: int) -> DataFrame:
+def encode(docs: DataFrame, path: str, end: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, part, before, tokens, wide, ids) of every document, ``end`` added to its ids; a null text is empty."""
 
     def run(batches):
-        part, before, ids_of, press = TaskContext.get().partitionId(), 0, encoder(path), zstandard.ZstdCompressor(1).compress
+        part, before, ids_of, press = TaskContext.get().partitionId(), 0, encoder(path, chunk_bytes), zstandard.ZstdCompressor(1).compress
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -143,14 +143,15 @@ def cut(encoded: DataFrame, width: int, with_ids: bool = True) -> DataFrame:
     return placed.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
 
 
-def pack(docs: DataFrame, path: str, end: int = 1, width: int = 2048, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, end: int = 1, width: int = 2048, with_ids: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Pieces of all documents in sequences of ``width`` ids; only the last sequence may be shorter.
 
     Every row is packed, repeated rows and null or repeated doc_ids too; an empty text gives its end id
     alone, a very long one as many pieces as it needs. An empty table gives no rows. Other columns play
-    no part. ``ids`` are left out unless ``with_ids``.
+    no part. ``ids`` are left out unless ``with_ids``. Each worker process remembers up to twice
+    ``chunk_bytes`` of chunks, and keeps them as long as it lives.
     """
-    return cut(keep(encode(docs, path, end)), width, with_ids)
+    return cut(keep(encode(docs, path, end, chunk_bytes)), width, with_ids)
 
 
 def sequences(pieces: DataFrame, width: int = 2048, pad: int = 0) -> DataFrame:

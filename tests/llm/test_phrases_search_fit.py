@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from panescan.llm import best_fit, collocations, lexical_search, packing, queries
 from panescan.llm.common import Remembered
 from tests.llm.conftest import EXTRA, documents
@@ -40,6 +41,14 @@ def test_one_encoder_serves_a_worker():
     assert packing.encoder(queries.word_vocabulary()) is packing.encoder(queries.word_vocabulary())
 
 
+def test_an_encoder_remembers_within_its_own_bound():
+    words = [f"w{i}x" for i in range(30_000)]
+    wide, narrow = packing.ChunkEncoder(queries.word_vocabulary()), packing.ChunkEncoder(queries.word_vocabulary(), 1 << 20)
+    assert (wide(" ".join(words)) == narrow(" ".join(words))).all()
+    assert len(wide.known) == 30_000 and len(narrow.known) + len(narrow.known.older) < 15_000
+    assert corpus_pipeline.PACKING_BYTES < packing.CHUNK_BYTES
+
+
 # best fit
 
 
