@@ -34,6 +34,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTER, _NUMBER = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 _BEYOND = re.compile("[^\x00-\u024f]")
+# Not in a text that is lower-cased as a whole: what is not Latin in either case, and what neither prints nor is blank. NFC changes no text of the rest.
+_ODD = re.compile("[" + "".join(rf"\u{ord(c):04x}" for c in map(chr, range(0x250)) if _BEYOND.search(c.lower()) or not (c.isprintable() or _BLANK.match(c))) + "\u0250-\U0010ffff]")
 _BYTES = {b: c for c, b in byte_letters().items()}
 
 
@@ -62,19 +64,26 @@ class ChunkEncoder:
         self.marked = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         steps = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.plain = steps[0].get("pattern") == {"Regex": SPLIT} and not any(s.isalpha() for s in self.special)
+        self.even = False  # whether the text at hand holds nothing of _ODD and no special string
 
     def chunk(self, text: str) -> bytes:
+        if self.even:
+            return self.latin(text)
         if self.plain and (text.isascii() or not _BEYOND.search(text)):
             normal = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-            if normal.isalpha() and not _BEYOND.search(normal):
-                return self.pieces[normal]  # letters alone are one piece
-            if text.isprintable() and not self.marked(text):
-                return b"".join(map(self.pieces.__getitem__, _PIECE.findall(normal)))
+            if not _BEYOND.search(normal) and text.isprintable() and not self.marked(text):
+                return self.latin(normal)
         if self.marked(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         normal = self.tokenizer.normalizer.normalize_str(text)
         return b"".join([self.ids(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)])
 
+    def latin(self, normal: str) -> bytes:
+        if normal.isalpha():  # letters alone are one piece
+            return self.pieces.get(normal) or self.piece(normal)
+        known, pieces = self.known, self.pieces
+        return b"".join([known.get(p) or pieces[p] for p in _PIECE.findall(normal)])
+
     def piece(self, text: str) -> bytes:
         return self.ids(text if text.isascii() else text.encode().decode("latin-1").translate(_BYTES))
 
@@ -82,7 +91,12 @@ class ChunkEncoder:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
-        chunks = _BLANK.split(text) if any(c in text for c in _INFO) else text.split()
+        normal = text.lower()
+        self.even = self.plain and not _ODD.search(text) and not any(s in text or s in normal for s in self.special)
+        if self.even:  # chunks in either case are remembered once
+            chunks = normal.split()
+        else:
+            chunks = _BLANK.split(text) if any(c in text for c in _INFO) else text.split()
         return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.uint32)
 
 

@@ -49,6 +49,15 @@ def test_an_encoder_remembers_within_its_own_bound():
     assert corpus_pipeline.PACKING_BYTES < packing.CHUNK_BYTES
 
 
+def test_chunks_have_the_library_s_ids():
+    """Texts that are lower-cased as a whole and others share one memory; letters whose lower case is beyond Latin too."""
+    encode = packing.ChunkEncoder(queries.word_vocabulary())
+    special = ["<|endoftext|> The", "<|ENDOFTEXT|> the", "a<|EndOfText|>b", "THE the. It's \xa0x\x85y\x1cz", "\u0130 i\u0307", "e\u0301 \xe9."]
+    texts = [t for c in map(chr, range(0x250)) for t in (f"A{c}b, It'S", f"{c}{c.upper()} \u0253")] + special
+    wrong = [t for t in texts if encode(t).tolist() != encode.tokenizer.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
 # best fit
 
 
