@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def stream_images(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png,bmp,tiff,tif}", max_files: int = 16, clean: str | None = None, archive: str | None = None) -> DataFrame:
@@ -164,23 +165,32 @@ def early_stops(epochs: DataFrame, patience: int, min_delta: float = 0.0) -> Dat
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession):
-    """RocksDB state store for queries started inside; the former setting comes back."""
-    former = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def setting(spark: SparkSession, key: str, value: str):
+    """``key`` as ``value`` for queries started inside; the former setting comes back."""
+    former = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if former is None:
-            spark.conf.unset(PROVIDER)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(PROVIDER, former)
+            spark.conf.set(key, former)
+
+
+def rocksdb_state(spark: SparkSession):
+    """RocksDB state store for queries started inside; the former setting comes back."""
+    return setting(spark, PROVIDER, ROCKSDB)
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over everything that has arrived, into Parquet, and return the table."""
+    """Run a stream over everything that has arrived, into Parquet, and return the table.
+
+    A micro-batch of files lists them once more, by default in a task per file, each of which reports to the
+    driver; here that takes as many tasks as there are cores.
+    """
     spark = stream.sparkSession
-    with rocksdb_state(spark):
+    with rocksdb_state(spark), setting(spark, LISTING, str(spark.sparkContext.defaultParallelism)):
         query = (
             stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from panescan.streaming import monitors
 
@@ -64,3 +65,20 @@ def test_provider_setting_comes_back(spark):
     with monitors.rocksdb_state(spark):
         assert spark.conf.get(monitors.PROVIDER) == monitors.ROCKSDB
     assert spark.conf.get(monitors.PROVIDER) == former
+
+
+def test_files_of_a_batch_are_listed_in_few_tasks(spark, tmp_path, monkeypatch):
+    """Each task of a listing reports to the driver, so a task per photo grows with the photos."""
+    started, start, n = [], DataStreamWriter.start, 2 * spark.sparkContext.defaultParallelism + 40
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: started.append(start(self, *a, **k)) or started[-1])
+    (tmp_path / "in").mkdir()
+    for i in range(n):
+        (tmp_path / "in" / f"p{i}.bmp").write_bytes(b"BM%d" % i)
+    rows = monitors.stream_images(spark, str(tmp_path / "in"), "*.bmp", max_files=n).select("path", "length", "content")
+    out = monitors.drain(rows, str(tmp_path / "out"))
+    assert sorted(bytes(r["content"]) for r in out.collect()) == sorted(b"BM%d" % i for i in range(n))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(str(started[0].runId))]
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    assert len(tasks) >= 2 and max(tasks) < n
+    assert spark.conf.get(monitors.LISTING) == "10000"
