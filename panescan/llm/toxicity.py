@@ -40,12 +40,24 @@ CUT = 0.7
 SIDES = "".join(chr(c) for c in range(0x250) if not chr(c).isalnum())
 
 
+# a word's own bucket and those of its stems begin their checksums with a mark of their own
+WHOLE, MARKS = crc32(b"w"), [(n, crc32(b"%d" % n)) for n in STEMS]
+
+
 def features(word: str) -> tuple[int, ...]:
     """Buckets of a word and of its stems; bucket 0 stays zero."""
     word = word.lower().strip(SIDES)
     data = word.encode()
-    parts = [b"w" + data, *(b"%d" % n + word[:n].encode() if len(word) >= n else b"" for n in STEMS)]
-    return tuple(1 + crc32(p) % (BUCKETS - 1) if len(p) > 1 else 0 for p in parts)
+    if not data:
+        return (0,) * PARTS
+    size, text = len(word), data if len(word) == len(data) else None
+    out = [1 + crc32(data, WHOLE) % (BUCKETS - 1)]
+    for n, mark in MARKS:
+        if size < n:
+            out += [0] * (PARTS - len(out))
+            break
+        out.append(1 + crc32(text[:n] if text else word[:n].encode(), mark) % (BUCKETS - 1))
+    return tuple(out)
 
 
 @dataclass
@@ -327,11 +339,15 @@ class Scorer:
         self.rows = np.zeros((WORDS + 1, sum(WIDTHS) * FILTERS), np.float32)
 
     def learn(self, flat: list[str]) -> None:
-        new = list(set(flat).difference(self.known))
-        if len(self.known) + len(new) > len(self.rows):
-            self.known, new = {"": 0}, list(set(flat) - {""})
-            if len(new) >= len(self.rows):  # one text with more words than are remembered
-                self.rows = np.zeros((len(new) + 1, self.rows.shape[1]), np.float32)
+        words = set(flat)
+        new = list(words.difference(self.known))
+        if len(self.known) + len(new) > len(self.rows):  # what is met again now stays, all else is forgotten
+            kept = [w for w in words.intersection(self.known) if w]
+            rows = self.rows[[self.known[w] for w in kept]]
+            if len(kept) + len(new) >= len(self.rows):  # one text with more words than are remembered
+                self.rows = np.zeros((len(kept) + len(new) + 1, self.rows.shape[1]), np.float32)
+            self.rows[1 : len(kept) + 1] = rows
+            self.known = {"": 0} | dict(zip(kept, range(1, len(kept) + 1)))
         if new:
             n = len(self.known)
             self.rows[n : n + len(new)] = self.model.rows(np.array([features(w) for w in new]))

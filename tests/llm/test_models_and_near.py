@@ -439,6 +439,30 @@ def test_peaks_of_long_texts(monkeypatch):
     assert (learner.peaks(codes, starts) == whole).all()
 
 
+def test_words_met_again_are_not_worked_out_anew(monkeypatch):
+    learner, asked, plain = toxicity.fit([], np.array([], int)), [], toxicity.features
+    monkeypatch.setattr(toxicity, "WORDS", 20)
+    monkeypatch.setattr(toxicity, "features", lambda word: asked.append(word) or plain(word))
+    scorer = toxicity.Scorer(learner.model)
+    for turn in range(8):
+        texts = [" ".join(["often", "Heard,", *(f"new{turn}x{i}" for i in range(n))]) for n in (9, 0)]
+        assert np.allclose(scorer(texts), toxicity.Scorer(learner.model)(texts))
+        asked, scorer_asked = [], asked
+        assert turn == 0 or scorer_asked.count("often") == 1  # by the second scorer only
+    big = " ".join(["often", *(f"big{i}" for i in range(60))])
+    assert np.allclose(scorer([big, "often"]), toxicity.Scorer(learner.model)([big, "often"]))
+
+
+def test_buckets_of_words():
+    def slow(word):
+        word = word.lower().strip(toxicity.SIDES)
+        parts = [b"w" + word.encode(), *(b"%d" % n + word[:n].encode() if len(word) >= n else b"" for n in toxicity.STEMS)]
+        return tuple(1 + crc32(p) % (toxicity.BUCKETS - 1) if len(p) > 1 else 0 for p in parts)
+
+    for word in ("", "...", "a", "Abcd,", "abcde", "abcdefg", "abcdefgh", "abcdefghij", "ß", "Ärger", "Äpfelchen!", "İstanbul", "日本語日本語日本語", "😀" * 6):
+        assert toxicity.features(word) == slow(word)
+
+
 # pipeline
 
 
