@@ -22,13 +22,14 @@ from panescan import schema
 from panescan.operators.metrics import ratio
 from panescan.operators.raster import length, run_events, sweep
 from panescan.operators.summary import exact_median
-from panescan.session import cut_lineage
+from panescan.session import cut_lineage, deal, tasks_for
 
 # a pixel position as one number: row * X_SPAN + column
 X_SPAN = 1 << 24
 LAYER_KEY = ("image_id", "layer", "class_id")
 BLOCK_KEY = ("image_id", "by", "bx")
 ROWS_PER_CHUNK = 1 << 16
+BORDER_CELLS = 4  # what a run at a border is worth: two events, or three rows of a join
 
 LABELLED = "image_id long, layer string, class_id int, y int, x0 int, x1 int, by int, bx int, piece long"
 
@@ -134,25 +135,33 @@ def label_blocks(cut: DataFrame, connectivity: int) -> DataFrame:
     return cut.repartition(*BLOCK_KEY).sortWithinPartitions(*order).mapInArrow(label, LABELLED)
 
 
-def _border_edges(labelled: DataFrame, block: int, connectivity: int) -> DataFrame:
-    """Pairs of pieces that touch over a block border, from border rows and columns only."""
+def _at_border(block: int) -> list[Column]:
+    """Whether a run lies above, below, left and right of a block border."""
+    y, x0, x1 = F.col("y"), F.col("x0"), F.col("x1")
+    return [y % block == block - 1, (y % block == 0) & (y > 0), (x1 + 1) % block == 0, (x0 % block == 0) & (x0 > 0)]
+
+
+def _border_edges(labelled: DataFrame, block: int, connectivity: int, tasks: int = 1) -> DataFrame:
+    """Pairs of pieces that touch over a block border, from border rows and columns only, found in ``tasks`` tasks."""
+    is_upper, is_lower, is_left, is_right = _at_border(block)
     reach = 0 if connectivity == 4 else 1
     key = [*LAYER_KEY, "line"]
     one = F.lit(0).cast("bigint")
     # horizontal borders: the last row of a block against the first row below
-    upper = labelled.where(F.col("y") % block == block - 1).withColumn("line", F.col("y"))
-    lower = labelled.where((F.col("y") % block == 0) & (F.col("y") > 0)).withColumn("line", F.col("y") - 1)
+    upper = labelled.where(is_upper).withColumn("line", F.col("y"))
+    lower = labelled.where(is_lower).withColumn("line", F.col("y") - 1)
     grown = F.col("x1") + reach  # overlap with one spare column on the right equals touching corners
     events = run_events(upper.withColumn("x1", grown), key, a=F.col("piece") + 1, b=one).unionByName(
         run_events(lower.withColumn("x1", grown), key, a=one, b=F.col("piece") + 1)
     )
-    across_rows = sweep(events, key, ("a", "b")).where("a > 0 and b > 0")
+    across_rows = sweep(deal(events, tasks, *key), key, ("a", "b")).where("a > 0 and b > 0")
     # vertical borders: runs that end at a border column against runs that start behind it
-    left = labelled.where((F.col("x1") + 1) % block == 0).select(*LAYER_KEY, (F.col("x1") + 1).alias("bar"), "y", (F.col("piece") + 1).alias("a"))
-    right = labelled.where((F.col("x0") % block == 0) & (F.col("x0") > 0)).select(*LAYER_KEY, F.col("x0").alias("bar"), "y", (F.col("piece") + 1).alias("b"))
+    left = labelled.where(is_left).select(*LAYER_KEY, (F.col("x1") + 1).alias("bar"), "y", (F.col("piece") + 1).alias("a"))
+    right = labelled.where(is_right).select(*LAYER_KEY, F.col("x0").alias("bar"), "y", (F.col("piece") + 1).alias("b"))
     shifts = F.array(*[F.lit(d) for d in range(-reach, reach + 1)])
     moved = left.select(*LAYER_KEY, "bar", "a", F.explode(F.transform(shifts, lambda d: F.col("y") + d)).alias("y"))
-    across_cols = moved.join(right, [*LAYER_KEY, "bar", "y"])
+    cell = [*LAYER_KEY, "bar", "y"]
+    across_cols = deal(moved, tasks, *cell).join(deal(right, tasks, *cell), cell)
     pair = [*LAYER_KEY, (F.col("a") - 1).alias("u"), (F.col("b") - 1).alias("v")]
     return across_rows.select(*pair).unionByName(across_cols.select(*pair)).where("u <> v")
 
@@ -205,12 +214,18 @@ def _point_and_jump(edges: DataFrame, keys: list[str], turn: int) -> DataFrame:
 
 
 def label_runs(runs: DataFrame, connectivity: int = 4, block: int = 1024) -> DataFrame:
-    """Runs of defect classes with ``region``: the first pixel of the whole region."""
+    """Runs of defect classes with ``region``: the first pixel of the whole region.
+
+    Runs shrink a hundredfold in a shuffle, so the tasks at borders are set by rows: adaptive execution
+    would join them by bytes.
+    """
     if connectivity not in (4, 8):
         raise ValueError("connectivity must be 4 or 8")
     cut = cut_into_blocks(runs.where("class_id > 0"), block)
     labelled = cut_lineage(label_blocks(cut, connectivity))
-    roots = contract(_border_edges(labelled, block, connectivity), LAYER_KEY)
+    at_borders = labelled.where(reduce(Column.__or__, _at_border(block))).count()
+    tasks = tasks_for(runs.sparkSession, at_borders * BORDER_CELLS)
+    roots = contract(_border_edges(labelled, block, connectivity, tasks), LAYER_KEY)
     if roots is None:
         return labelled.withColumnRenamed("piece", "region")
     return labelled.join(

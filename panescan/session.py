@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,15 +55,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 CELLS_PER_TASK = 1 << 19
 
 
-def spread(rows: DataFrame, key: str, cells: int) -> DataFrame:
+def spread(rows: DataFrame, key: str | Sequence[str], cells: int) -> DataFrame:
     """Deal ``rows`` by ``key`` over so many tasks that each works out at most about CELLS_PER_TASK cells.
 
     For short rows that grow: ``cells`` is what one of them is worth.  A file of millions of such rows is one
     task to the reader, however much they become.  The number is fixed by the rows, so it grows with them and
     adaptive execution, which sees the short rows only, does not merge the tasks again.
     """
-    tasks = -(-rows.count() * cells // CELLS_PER_TASK)
-    return rows.repartition(tasks, key) if tasks > 1 else rows
+    return deal(rows, tasks_for(rows.sparkSession, rows.count() * cells), *([key] if isinstance(key, str) else key))
+
+
+def tasks_for(spark: SparkSession, cells: int) -> int:
+    """Tasks of at most about CELLS_PER_TASK ``cells`` each: 1 if one will do, else as many as cores at least."""
+    tasks = -(-cells // CELLS_PER_TASK)
+    return max(tasks, spark.sparkContext.defaultParallelism) if tasks > 1 else 1
+
+
+def deal(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` over ``tasks`` tasks; with a single one they stay as they are, for adaptive execution."""
+    return rows.repartition(tasks, *keys) if tasks > 1 else rows
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -64,6 +64,17 @@ def test_regions_equal_flood_fill(spark, connectivity, block):
             assert r["cy"] == pytest.approx(np.mean(ys)) and r["cx"] == pytest.approx(np.mean(xs))
 
 
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_tasks_at_block_borders_follow_the_rows(spark, monkeypatch, connectivity):
+    runs = raster.pixels_to_runs(pixel_rows(spark, {(1, "a"): np.random.default_rng(5).integers(0, 3, (30, 30))}))
+    plain = sorted(regions.connected_regions(runs, connectivity, 0, 5).collect())
+    plans, contract = [], regions.contract
+    monkeypatch.setattr(regions, "contract", lambda edges, keys: plans.append(edges._jdf.queryExecution().toString()) or contract(edges, keys))
+    monkeypatch.setattr("panescan.session.CELLS_PER_TASK", 40)
+    assert sorted(regions.connected_regions(runs, connectivity, 0, 5).collect()) == plain
+    assert "REPARTITION_BY_NUM" in plans[0]
+
+
 def test_regions_do_not_depend_on_partitions(spark):
     runs = raster.pixels_to_runs(pixel_rows(spark, masks_of_every_kind()))
     results = []
