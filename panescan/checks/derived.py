@@ -76,9 +76,9 @@ def boxes(spark, sf_dir) -> DataFrame:
     """Annotation boxes from order lines; all 50 images are hot keys."""
     i = lambda c: F.col(c).cast("bigint")
     dup = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+        spread(lines, ["l_orderkey", "l_linenumber"], 2)
         .withColumn("rn", F.row_number().over(dup))
         .select(
             (i("l_orderkey") % 50).alias("image_id"),

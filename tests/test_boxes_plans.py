@@ -179,3 +179,12 @@ def test_draws_of_a_plan_are_made_once(spark):
     for df in (found, placement.jitter_polygon(shapes, 3, 0.1, 31), placement.accept_non_overlapping(found)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Filter (size(" not in plan and "(size(" not in plan
+
+
+def test_boxes_are_numbered_in_tasks_by_rows(spark, monkeypatch):
+    plain = derived.boxes(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr("panescan.session.CELLS_PER_TASK", 300)
+    dealt = derived.boxes(spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert dealt.rdd.getNumPartitions() == -(-2 * lines // 300)
+    assert sorted(dealt.collect()) == sorted(plain.collect())
