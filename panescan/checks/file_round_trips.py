@@ -53,7 +53,7 @@ def written_labels(spark, sf_dir):
     path = folder(spark, "labels")
     documents = files_plans.QUERIES["detail_json"](spark, sf_dir)
     labels.write_labels(documents, path)
-    rows = spark.read.schema("image_id bigint, x int, y int, w int, h int").json(path)
+    rows = labels.read_rows(spark, path, "image_id bigint, x int, y int, w int, h int")
     return rows.select("image_id", "x", "y", "w", "h")
 
 

@@ -1,9 +1,9 @@
-"""Files as rows: a sink that writes one file per name, in the tasks, and photos as bitmaps.
+"""Files as rows: a sink that writes one file per name, in the tasks, a reader of many, and photos as bitmaps.
 
 The sink is a Python data source.  Executors write straight to the target, which all of them
-reach; each file is written under a hidden name and renamed when it is whole, so that a task
-that is lost and run again leaves the same files, and readers never see half of one.  Tasks
-report counts only.  ``_SUCCESS`` with the number of files and bytes is written at the end: a
+reach; each file is written in a hidden folder of its task and renamed when it is whole, so that a task
+that is lost and run again leaves the same files, and readers never see half of one.  The names of a folder
+are changed one at a time, so a file costs its folder the rename only.  Tasks report counts only.  ``_SUCCESS`` with the number of files and bytes is written at the end: a
 folder without it is not complete.
 """
 
@@ -16,17 +16,21 @@ import struct
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from panescan.operators.raster import tile_array
+from panescan.session import spread
 
 FORMAT = "panescan_files"
+BLOCK, BATCH_LINES = 4 << 20, 4096
+FILE_CELLS = 64  # what opening a file is worth: 8,192 files a task
 
 
 def opened(place: str) -> tuple[fs.FileSystem, str]:
@@ -51,7 +55,9 @@ class FileWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         target, root = opened(self.path)
-        made, files, size, name, sink, hidden = {root}, 0, 0, None, None, None
+        made, files, size, name, sink = {root}, 0, 0, None, None
+        own = f"{root}/.{uuid.uuid4().hex}"
+        hidden = f"{own}/part"
 
         def close() -> None:
             if sink is not None:
@@ -65,17 +71,17 @@ class FileWriter(DataSourceArrowWriter):
                     sink = None
                     if not row or any(part in ("", ".", "..") for part in row.split("/")):
                         raise ValueError(f"not a file name below the folder: {row!r}")
-                    folder, _, last = f"{root}/{row}".rpartition("/")
-                    if folder not in made:
+                    for folder in {own, f"{root}/{row}".rpartition("/")[0]} - made:
                         target.create_dir(folder, recursive=True)
                         made.add(folder)
-                    hidden = f"{folder}/.{last}.{uuid.uuid4().hex}"
                     sink, name, files = target.open_output_stream(hidden), row, files + 1
                 if content.is_valid:
                     data = content.as_buffer()
                     sink.write(data)
                     size += data.size
         close()
+        if own in made:
+            target.delete_dir(own)
         return Written(files, size)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -117,6 +123,72 @@ def write_files(rows: DataFrame, path: str, order: Sequence[str] = (), overwrite
     files.write.format(FORMAT).option("path", path).mode("overwrite" if overwrite else "append").save()
 
 
+def names_below(place: str) -> Iterator[str]:
+    """Names of all files below a folder; what starts with ``.`` or ``_`` is hidden, as it is for Spark."""
+    target, root = opened(place)
+    folders = [""]
+    while folders:
+        folder = folders.pop()
+        if isinstance(target, fs.LocalFileSystem):  # streams, and asks nothing about the files
+            found = ((entry.name, entry.is_dir()) for entry in os.scandir(f"{root}/{folder}"))
+        else:
+            infos = target.get_file_info(fs.FileSelector(f"{root}/{folder}".rstrip("/")))
+            found = ((info.base_name, info.type == fs.FileType.Directory) for info in infos)
+        for name, is_folder in found:
+            if name.startswith(".") or (name.startswith("_") and "=" not in name):
+                continue
+            if is_folder:
+                folders.append(f"{folder}{name}/")
+            else:
+                yield folder + name
+
+
+def lines_of(stream: pa.NativeFile) -> Iterator[bytes]:
+    """Lines that are not blank, without their ends; memory is a block and a line."""
+    rest = b""
+    while block := stream.read(BLOCK):
+        *lines, rest = (rest + block).splitlines(keepends=True)
+        if rest.endswith(b"\n"):
+            lines, rest = [*lines, rest], b""
+        yield from (line.rstrip(b"\r\n") for line in lines if line.strip())
+    if rest.strip():
+        yield rest.rstrip(b"\r\n")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all files below a folder as (name, value), blank ones left out; for very many small files.
+
+    Spark's own readers hold the status of each file on the driver and open few files a task.  Here a task
+    lists the names, once to count them and once to deal them out, and they are opened where they come to.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            names = names_below(path)
+            while some := list(islice(names, BATCH_LINES)):
+                yield pa.RecordBatch.from_pydict({"name": some})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, root = opened(path)
+        names, values, size = [], [], 0
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with target.open_input_stream(f"{root}/{name}") as stream:
+                    for line in lines_of(stream):
+                        names.append(name)
+                        values.append(line)
+                        size += len(line)
+                        if size >= BLOCK or len(names) >= BATCH_LINES:
+                            yield pa.RecordBatch.from_pydict({"name": names, "value": pa.array(values, pa.binary())})
+                            names, values, size = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_pydict({"name": names, "value": pa.array(values, pa.binary())})
+
+    names = spark.range(0, 1, 1, 1).mapInArrow(listed, "name string")
+    rows = spread(names, "name", FILE_CELLS).mapInArrow(read, "name string, value binary")
+    return rows.withColumn("value", F.col("value").cast("string"))
+
+
 def own_names(rows: DataFrame, name: str, keys: Sequence[str], suffix: str) -> DataFrame:
     """Adds ``name`` of the file of each (keys): the stem of the ``name`` column and ``suffix``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panescan import schema
-from panescan.sources.files import own_names, write_files
+from panescan.sources.files import own_names, read_lines, write_files
 
 
 def read_labels(spark: SparkSession, path: str, patch: bool = False) -> DataFrame:
@@ -58,6 +58,12 @@ def write_labels(documents: DataFrame, path: str, key: str = "image_id", text: s
     write_files(documents.select(name.alias("name"), F.col(text).alias("content")), path)
 
 
+def read_rows(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Rows of ``columns`` out of all files below a folder, one JSON object a line; a line that is none has nulls."""
+    parsed = read_lines(spark, path).select(F.from_json("value", columns).alias("r"))
+    return parsed.select("r.*")
+
+
 def read_coco(spark: SparkSession, path: str) -> DataFrame:
     """COCO files below ``path``: origin, images, annotations, categories."""
     rows = spark.read.schema(schema.COCO_FILE).option("multiLine", True).option("recursiveFileLookup", True).json(path)

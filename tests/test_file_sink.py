@@ -1,12 +1,16 @@
 """The file sink: one file per name, parts in order, nothing mixed or half written."""
 
+import gzip
 import json
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from panescan import session
+from panescan.checks import file_round_trips
 from panescan.operators import raster
 from panescan.sources import catalog, files, labels
 
@@ -74,3 +78,54 @@ def test_bitmaps_are_read_back(spark, tmp_path, shape):
     files.write_files(files.bitmap_files(patches), str(tmp_path / "photos"))
     tiles = catalog.images_to_tiles(catalog.scan_images(spark, str(tmp_path / "photos")), 8).collect()
     assert [(raster.tile_array(t["px"], t["h"], t["w"]) == a).all() for t in tiles] == [True]
+
+
+def test_a_task_writes_in_its_own_folder(tmp_path):
+    """A folder's names change one at a time, so files in the making lie elsewhere."""
+    making = []
+
+    def batches():
+        for k in range(3):
+            yield pa.RecordBatch.from_pydict({"name": [f"{k}.txt", f"deep/{k}.txt"], "content": [b"a", b"b"]})
+            making.extend(p.relative_to(tmp_path) for p in tmp_path.rglob("*") if p.is_file() and p.suffix != ".txt")
+
+    done = files.FileWriter(str(tmp_path), True).write(batches())
+    assert (done.files, done.size) == (6, 6)
+    assert len(making) == 3 and all(len(p.parts) == 2 and p.parts[0].startswith(".") for p in making)
+    assert made(tmp_path) == {f"{d}{k}.txt": c for k in range(3) for d, c in (("", b"a"), ("deep/", b"b"))}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["0.txt", "1.txt", "2.txt", "deep"]
+
+
+def test_many_small_files_are_read_in_few_tasks(spark):
+    """Spark's reader opens about thirty files a task."""
+    rows = file_round_trips.QUERIES["written_labels"](spark, "/root/testdata/sf0.01")
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert rows.distinct().count() == spark.read.parquet("/root/testdata/sf0.01/part.parquet").count()
+
+
+def test_lines_of_all_files_are_read(spark, tmp_path):
+    texts = {"a": b'{"x": 1}', "b": b'{"x": 2}\n\n  \r\n{"x": 3}\r\n', "c": b"", "deep/er/d": b"{}\nno json\n", "e.gz": gzip.compress(b'{"x": 4}\n')}
+    hidden = {".h": b'{"x": 5}', "_SUCCESS": b'{"x": 6}', "_own/x": b'{"x": 7}', ".own/x": b'{"x": 8}'}
+    for name, text in (texts | hidden).items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    lines = sorted(map(tuple, files.read_lines(spark, str(tmp_path)).collect()))
+    assert lines == [("a", '{"x": 1}'), ("b", '{"x": 2}'), ("b", '{"x": 3}'), ("deep/er/d", "no json"), ("deep/er/d", "{}"), ("e.gz", '{"x": 4}')]
+    same = spark.read.schema("x int").option("recursiveFileLookup", True).json(str(tmp_path))
+    found = [r["x"] for r in labels.read_rows(spark, str(tmp_path), "x int").collect()]
+    assert sorted(map(str, found)) == sorted(str(r["x"]) for r in same.collect()) == ["1", "2", "3", "4", "None", "None"]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 100])
+def test_lines_go_over_blocks(monkeypatch, block):
+    monkeypatch.setattr(files, "BLOCK", block)
+    text = b"ab\r\nc d \r\n\n \nlong line of words\r\nlast"
+    assert list(files.lines_of(pa.BufferReader(text))) == [b"ab", b"c d ", b"long line of words", b"last"]
+
+
+def test_tasks_follow_the_number_of_files(spark, tmp_path, monkeypatch):
+    for k in range(50):
+        (tmp_path / f"{k}.json").write_text(f'{{"x": {k}}}')
+    monkeypatch.setattr(files, "FILE_CELLS", session.CELLS_PER_TASK // 2)
+    rows = labels.read_rows(spark, str(tmp_path), "x int")
+    assert rows.rdd.getNumPartitions() == 25 and sorted(r["x"] for r in rows.collect()) == list(range(50))
