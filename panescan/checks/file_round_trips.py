@@ -27,7 +27,7 @@ def photos(spark, sf_dir):
     """The grey images as bitmaps in a folder per parity of their id."""
     path = folder(spark, "photos")
     whole = photo_tiles(spark, sf_dir, 8).withColumn("name", F.concat(C("image_id") % 2, F.lit("/p"), C("image_id"), F.lit(".bmp")))
-    files.write_files(files.bitmap_files(whole), path)
+    files.write_files(files.bitmap_files(whole), path, names=whole)
     return path
 
 

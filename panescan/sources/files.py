@@ -29,7 +29,7 @@ from panescan.operators.raster import tile_array
 from panescan.session import spread
 
 FORMAT = "panescan_files"
-BLOCK, BATCH_LINES = 4 << 20, 4096
+BLOCK, BATCH_ROWS = 4 << 20, 4096
 FILE_CELLS = 64  # what opening a file is worth: 8,192 files a task
 
 
@@ -103,11 +103,12 @@ class FileSink(DataSource):
         return FileWriter(self.options["path"], overwrite)
 
 
-def write_files(rows: DataFrame, path: str, order: Sequence[str] = (), overwrite: bool = True) -> None:
+def write_files(rows: DataFrame, path: str, order: Sequence[str] = (), overwrite: bool = True, names: DataFrame | None = None) -> None:
     """One file per ``name`` (a path below ``path``) with ``content``, text or bytes; null content is empty.
 
     Without ``order`` a row is a file, written where it lies, and a repeated name is an error,
-    found on the names alone before anything is written.  With ``order`` the rows of a name are the
+    found on the names alone before anything is written.  ``names`` are the same names where they are had
+    without making the contents, which are else made twice if Python makes them.  With ``order`` the rows of a name are the
     file's parts in that order: they meet in one task and stream into the file, so that memory is one batch
     however long a file is.  ``overwrite`` empties the folder first, else files of equal name are replaced.
     """
@@ -116,7 +117,7 @@ def write_files(rows: DataFrame, path: str, order: Sequence[str] = (), overwrite
     if order:
         rows = rows.repartition("name").sortWithinPartitions("name", *order)
     else:
-        twice = rows.groupBy("name").count().where("count > 1").select("name").take(1)
+        twice = (rows if names is None else names).groupBy("name").count().where("count > 1").select("name").take(1)
         if twice:
             raise ValueError(f"several rows are named {twice[0]['name']}")
     files = rows.select("name", F.col("content").cast("binary").alias("content"))
@@ -143,6 +144,24 @@ def names_below(place: str) -> Iterator[str]:
                 yield folder + name
 
 
+def batched(rows: Iterator[tuple[str, bytes]], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (name, ``column``) that hold at most BATCH_ROWS rows and, but for a single row, BLOCK bytes."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.binary())], ["name", column])
+
+    names, values, size = [], [], 0
+    for name, value in rows:
+        if names and (size + len(value) > BLOCK or len(names) >= BATCH_ROWS):
+            yield batch()
+            names, values, size = [], [], 0
+        names.append(name)
+        values.append(value)
+        size += len(value)
+    if names:
+        yield batch()
+
+
 def lines_of(stream: pa.NativeFile) -> Iterator[bytes]:
     """Lines that are not blank, without their ends; memory is a block and a line."""
     rest = b""
@@ -165,24 +184,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             names = names_below(path)
-            while some := list(islice(names, BATCH_LINES)):
+            while some := list(islice(names, BATCH_ROWS)):
                 yield pa.RecordBatch.from_pydict({"name": some})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, root = opened(path)
-        names, values, size = [], [], 0
-        for batch in batches:
-            for name in batch.column("name").to_pylist():
-                with target.open_input_stream(f"{root}/{name}") as stream:
-                    for line in lines_of(stream):
-                        names.append(name)
-                        values.append(line)
-                        size += len(line)
-                        if size >= BLOCK or len(names) >= BATCH_LINES:
-                            yield pa.RecordBatch.from_pydict({"name": names, "value": pa.array(values, pa.binary())})
-                            names, values, size = [], [], 0
-        if names:
-            yield pa.RecordBatch.from_pydict({"name": names, "value": pa.array(values, pa.binary())})
+
+        def lines():
+            for batch in batches:
+                for name in batch.column("name").to_pylist():
+                    with target.open_input_stream(f"{root}/{name}") as stream:
+                        yield from ((name, line) for line in lines_of(stream))
+
+        yield from batched(lines(), "value")
 
     names = spark.range(0, 1, 1, 1).mapInArrow(listed, "name string")
     rows = spread(names, "name", FILE_CELLS).mapInArrow(read, "name string, value binary")
@@ -217,9 +231,7 @@ def bitmap_files(patches: DataFrame, name: str = "name") -> DataFrame:
     """Grey images that lie whole in a row (h, w, px) as (name, content) of a bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                content = bitmap(tile_array(row["px"], row["h"], row["w"]))
-                yield pa.RecordBatch.from_pydict({"name": [row["name"]], "content": pa.array([content], pa.binary())})
+        rows = (row for batch in batches for row in batch.to_pylist())
+        yield from batched(((row["name"], bitmap(tile_array(row["px"], row["h"], row["w"]))) for row in rows), "content")
 
     return patches.select(F.col(name).alias("name"), "h", "w", "px").mapInArrow(run, "name string, content binary")

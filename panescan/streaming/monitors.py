@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+OPEN_COST = "spark.sql.files.openCostInBytes"
+COMPACTION = "spark.sql.streaming.fileSource.log.compactInterval"
+MANAGER = "spark.sql.streaming.checkpointFileManagerClass"
+LOCAL_MANAGER = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
 
 
 def stream_images(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png,bmp,tiff,tif}", max_files: int = 16, clean: str | None = None, archive: str | None = None) -> DataFrame:
@@ -183,14 +187,30 @@ def rocksdb_state(spark: SparkSession):
     return setting(spark, PROVIDER, ROCKSDB)
 
 
-def drain(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over everything that has arrived, into Parquet, and return the table.
+def batch_settings(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Settings under which a micro-batch of files costs little more than its files.
 
-    A micro-batch of files lists them once more, by default in a task per file, each of which reports to the
-    driver; here that takes as many tasks as there are cores.
+    Files are listed once more, by default in a task per file, each of which reports to the driver, and read by
+    thirty a task; here both take as many tasks as there are cores, larger files more for their bytes. The log of
+    files seen, which is part of the checkpoint, is written anew every 100 batches, not every 10, as that grows
+    with all files so far; a query that takes up the checkpoint needs the same interval. That of files written
+    keeps its interval, as whoever reads the table has to know it. In a local folder the logs are put in place by
+    plain renames, which replace at once there; the default starts processes to look for links.
     """
+    found = {LISTING: str(spark.sparkContext.defaultParallelism), OPEN_COST: str(1 << 20), COMPACTION: "100"}
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if place.getUri().getScheme() == "file" and spark.conf.get(MANAGER, None) is None:
+        found[MANAGER] = LOCAL_MANAGER
+    return found
+
+
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over everything that has arrived, into Parquet, and return the table."""
     spark = stream.sparkSession
-    with rocksdb_state(spark), setting(spark, LISTING, str(spark.sparkContext.defaultParallelism)):
+    with ExitStack() as held:
+        held.enter_context(rocksdb_state(spark))
+        for key, value in batch_settings(spark, folder).items():
+            held.enter_context(setting(spark, key, value))
         query = (
             stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

@@ -129,3 +129,28 @@ def test_tasks_follow_the_number_of_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "FILE_CELLS", session.CELLS_PER_TASK // 2)
     rows = labels.read_rows(spark, str(tmp_path), "x int")
     assert rows.rdd.getNumPartitions() == 25 and sorted(r["x"] for r in rows.collect()) == list(range(50))
+
+
+def test_contents_are_made_once(spark, tmp_path):
+    made_rows = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for batch in batches:
+            made_rows.add(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("name")], ["name", "content"])
+
+    names = spark.range(40).select(F.concat(F.lit("f"), "id").alias("name"))
+    files.write_files(names.mapInArrow(make, "name string, content string"), str(tmp_path / "out"), names=names)
+    assert made_rows.value == 40 and len(made(tmp_path / "out")) == 41
+    twice = names.unionByName(names.limit(1))
+    with pytest.raises(ValueError, match="several rows are named f"):
+        files.write_files(twice.withColumn("content", F.lit("x")), str(tmp_path / "twice"), names=twice)
+
+
+def test_batches_of_files_are_bounded(monkeypatch):
+    monkeypatch.setattr(files, "BLOCK", 10)
+    monkeypatch.setattr(files, "BATCH_ROWS", 3)
+    rows = [("a", b"x" * 6), ("b", b"x" * 4), ("c", b"x"), ("d", b"x" * 30), ("e", b""), ("f", b""), ("g", b""), ("h", b"")]
+    found = list(files.batched(iter(rows), "content"))
+    assert [b.column("name").to_pylist() for b in found] == [["a", "b"], ["c"], ["d"], ["e", "f", "g"], ["h"]]
+    assert [tuple(r.values()) for b in found for r in b.to_pylist()] == rows

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -82,3 +83,63 @@ def test_files_of_a_batch_are_listed_in_few_tasks(spark, tmp_path, monkeypatch):
     tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
     assert len(tasks) >= 2 and max(tasks) < n
     assert spark.conf.get(monitors.LISTING) == "10000"
+
+
+def photos(path, ids):
+    path.mkdir(exist_ok=True)
+    for i in ids:
+        (path / f"p{i}.bmp").write_bytes(b"BM%d" % i)
+
+
+def arrived(spark, tmp_path, max_files):
+    rows = monitors.stream_images(spark, str(tmp_path / "in"), "*.bmp", max_files=max_files).select("path", "length", "content")
+    return sorted(int(bytes(r["content"])[2:]) for r in monitors.drain(rows, str(tmp_path / "run")).collect())
+
+
+def test_files_of_a_batch_are_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    """Each task of a batch starts a file of its own; the default is a task for some thirty photos."""
+    started, start, cores = [], DataStreamWriter.start, spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: started.append(start(self, *a, **k)) or started[-1])
+    photos(tmp_path / "in", range(50 * cores))
+    assert arrived(spark, tmp_path, 50 * cores) == list(range(50 * cores))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(str(started[0].runId))]
+    assert max(tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds) <= cores
+    assert len(list((tmp_path / "run/out").glob("*.parquet"))) <= cores
+
+
+@pytest.mark.parametrize("former", [None, {}])
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path, monkeypatch, former):
+    """Also from a checkpoint of the default settings, and over the compaction of its log."""
+    photos(tmp_path / "in", range(12))
+    with monkeypatch.context() as m:
+        if former is not None:
+            m.setattr(monitors, "batch_settings", lambda *a: former)
+        assert arrived(spark, tmp_path, 1) == list(range(12))
+    log = tmp_path / "run/state/sources/0"
+    assert bool(list(log.glob("*.compact"))) == (former is not None)
+    for more in (range(12, 15), range(15, 27)):
+        photos(tmp_path / "in", more)
+        assert arrived(spark, tmp_path, 1) == list(range(more.stop))
+    assert spark.read.parquet(str(tmp_path / "run/out")).count() == 27
+
+
+def test_log_of_files_grows_over_its_compactions(spark, tmp_path, monkeypatch):
+    settings = monitors.batch_settings
+    monkeypatch.setattr(monitors, "batch_settings", lambda *a: settings(*a) | {monitors.COMPACTION: "4"})
+    for n in (10, 11, 17):
+        photos(tmp_path / "in", range(n))
+        assert arrived(spark, tmp_path, 1) == list(range(n))
+    assert (tmp_path / "run/state/sources/0/15.compact").exists()
+
+
+def test_logs_in_local_folders_are_renamed(spark, tmp_path):
+    found = monitors.batch_settings(spark, str(tmp_path))
+    assert found[monitors.MANAGER] == monitors.LOCAL_MANAGER and found == monitors.batch_settings(spark, f"file://{tmp_path}")
+    assert monitors.MANAGER not in monitors.batch_settings(spark, "http://localhost/run")
+    with monitors.setting(spark, monitors.MANAGER, "of.ones.Own"):
+        assert monitors.MANAGER not in monitors.batch_settings(spark, str(tmp_path))
+    photos(tmp_path / "in", range(3))
+    former = {key: spark.conf.get(key, None) for key in found}
+    assert arrived(spark, tmp_path, 2) == [0, 1, 2]
+    assert {key: spark.conf.get(key, None) for key in found} == former
