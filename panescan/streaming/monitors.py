@@ -16,6 +16,7 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 OPEN_COST = "spark.sql.files.openCostInBytes"
 COMPACTION = "spark.sql.streaming.fileSource.log.compactInterval"
+CLEANUP = ("spark.sql.streaming.fileSource.log.cleanupDelay", "spark.sql.streaming.fileSink.log.cleanupDelay")
 MANAGER = "spark.sql.streaming.checkpointFileManagerClass"
 LOCAL_MANAGER = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
 
@@ -194,10 +195,12 @@ def batch_settings(spark: SparkSession, folder: str) -> dict[str, str]:
     thirty a task; here both take as many tasks as there are cores, larger files more for their bytes. The log of
     files seen, which is part of the checkpoint, is written anew every 100 batches, not every 10, as that grows
     with all files so far; a query that takes up the checkpoint needs the same interval. That of files written
-    keeps its interval, as whoever reads the table has to know it. In a local folder the logs are put in place by
+    keeps its interval, as whoever reads the table has to know it. What a compaction has taken up goes a minute
+    later, not ten, as each batch lists the folders of both logs. In a local folder the logs are put in place by
     plain renames, which replace at once there; the default starts processes to look for links.
     """
     found = {LISTING: str(spark.sparkContext.defaultParallelism), OPEN_COST: str(1 << 20), COMPACTION: "100"}
+    found |= dict.fromkeys(CLEANUP, "1m")
     place = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     if place.getUri().getScheme() == "file" and spark.conf.get(MANAGER, None) is None:
         found[MANAGER] = LOCAL_MANAGER

@@ -126,11 +126,13 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path, monkeypatch, former)
 
 def test_log_of_files_grows_over_its_compactions(spark, tmp_path, monkeypatch):
     settings = monitors.batch_settings
-    monkeypatch.setattr(monitors, "batch_settings", lambda *a: settings(*a) | {monitors.COMPACTION: "4"})
+    faster = {monitors.COMPACTION: "4"} | dict.fromkeys(monitors.CLEANUP, "0s")
+    monkeypatch.setattr(monitors, "batch_settings", lambda *a: settings(*a) | faster)
     for n in (10, 11, 17):
         photos(tmp_path / "in", range(n))
         assert arrived(spark, tmp_path, 1) == list(range(n))
-    assert (tmp_path / "run/state/sources/0/15.compact").exists()
+    log = tmp_path / "run/state/sources/0"
+    assert (log / "15.compact").exists()
 
 
 def test_logs_in_local_folders_are_renamed(spark, tmp_path):
